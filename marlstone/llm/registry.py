@@ -7,6 +7,8 @@ import importlib
 #: query -> module that holds a function of that name
 MODULES = {
     "op4_mph_token_index": "token_index",
+    "op8_pareto_mix": "mixing",
+    "op9_pattern_packing": "packing",
 }
 ORACLE: dict[str, str] = {}
 
