@@ -22,7 +22,7 @@ ignored.
 from __future__ import annotations
 
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +35,7 @@ from .tokenizing import default_file, encoder
 
 CAPACITY = 4096
 #: Coarse bins of a sequence, and the most documents in a pattern.
-COARSE, MOST_IN_PATTERN = 64, 4
+COARSE, MOST_IN_PATTERN = 64, 3
 
 
 def patterns(units: int, most: int) -> list[tuple[int, ...]]:
@@ -84,6 +84,31 @@ def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 400) -> np.ndarray:
     return x
 
 
+def _draw(left: np.ndarray, pools: dict[int, list[int]], shape: tuple[int, ...], capacity: int) -> Counter | None:
+    """Exact lengths for one sequence of a pattern, the longest of each bin; None if a bin is used up.
+
+    The last piece is the longest that still fits, of any bin, so that rounding
+    lengths up to bins leaves no gap.
+    """
+    drawn: Counter = Counter()
+    for b in shape[:-1]:
+        while pools[b] and not left[pools[b][-1]]:
+            pools[b].pop()
+        length = next((x for x in reversed(pools[b]) if left[x] > drawn[x]), None)
+        if length is None:
+            return None
+        drawn[length] += 1
+    gap = capacity - sum(length * q for length, q in drawn.items())
+    there = left[: gap + 1] > 0
+    for length, q in drawn.items():
+        if length <= gap:
+            there[length] = left[length] > q
+    if not there.any():
+        return None
+    drawn[gap - int(there[::-1].argmax())] += 1
+    return drawn
+
+
 def make_plan(histogram: dict[int, int], capacity: int = CAPACITY, coarse: int = COARSE, most: int = MOST_IN_PATTERN) -> dict[str, np.ndarray]:
     """Segments (length, first rank, first sequence, pieces of it a sequence, offset) from counts by length.
 
@@ -121,30 +146,12 @@ def make_plan(histogram: dict[int, int], capacity: int = CAPACITY, coarse: int =
         repeats = np.floor(nnls(a * weight, coarse_counts * weight[:, 0]) + 1e-6).astype(np.int64)
         for k in np.argsort(-repeats, kind="stable").tolist():
             todo = int(repeats[k])
-            need = {b: shapes[k].count(b) for b in shapes[k]}
-            while todo > 0:
-                items, most_here = [], todo
-                for b, times in need.items():
-                    while pools[b] and not left[pools[b][-1]]:
-                        pools[b].pop()
-                    picked = 0
-                    for length in reversed(pools[b]):
-                        q = int(min(times - picked, left[length]))
-                        if q:
-                            items.append((length, q))
-                            most_here = min(most_here, int(left[length]) // q)
-                            picked += q
-                        if picked == times:
-                            break
-                    if picked < times:
-                        most_here = 0
-                        break
-                if not most_here:
-                    break
-                for length, q in items:
-                    left[length] -= q * most_here
-                put(most_here, items)
-                todo -= most_here
+            while todo > 0 and (drawn := _draw(left, pools, shapes[k], capacity)):
+                times = min(todo, min(int(left[length]) // q for length, q in drawn.items()))
+                for length, q in drawn.items():
+                    left[length] -= q * times
+                put(times, list(drawn.items()))
+                todo -= times
     open_gaps = np.zeros(capacity + 1, dtype=bool)
     open_gaps[[g for g, v in by_gap.items() if v]] = True
     for length in np.flatnonzero(left)[::-1].tolist():
