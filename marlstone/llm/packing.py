@@ -213,8 +213,8 @@ def pieces(docs: DataFrame, file: str, end_id: int = 1, capacity: int = CAPACITY
         end, task, seen = int(end_id).to_bytes(4, "little"), TaskContext.get().partitionId(), defaultdict(int)
         for batch in batches:
             out = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                got = ids.ids(text) + end
+            for doc_id, got in zip(batch.column(0).to_pylist(), ids.ids_many(batch.column(1).to_pylist())):
+                got += end
                 for k, at in enumerate(range(0, len(got), 4 * capacity)):
                     part = got[at : at + 4 * capacity]
                     n = len(part) // 4

@@ -178,8 +178,8 @@ def write_shards(docs: DataFrame, file: str, end_id: int = 0, keeps_space: bool
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, [pa.int64()] * 5 + [pa.binary()] * 3)], names=[c.split()[0] for c in SHARDS.split(", ")])
 
         for batch in batches:
-            for k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                got = ids.ids(text) + end
+            for k, got in zip(batch.column(0).to_pylist(), ids.ids_many(batch.column(1).to_pylist())):
+                got += end
                 keys.append(k)
                 lengths.append(len(got) // id_bytes)
                 payload.append(got)

@@ -10,21 +10,32 @@ this against the library on whole texts.
 from __future__ import annotations
 
 import re
-
-import numpy as np
+import sys
+from array import array
 
 from ._common import single_threaded
 
 #: Unicode White_Space, as the tokenizers' patterns see it (Python's ``\s`` has four more).
 _WS = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: A word with the one space before it; else white space but for what belongs to the next word.
-_WITH_SPACE = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
-_WORDS = re.compile(f"[^{_WS}]+")
+#: Letters and marks that make up most text. A run of letters that a mark or white space follows, and a
+#: run of marks that a letter or white space follows, are whole parts of either vocabulary's own split.
+_LETTERS, _MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", r".,;:!?%$&*#|"
+
+
+def _parts(space: str, white: str) -> re.Pattern:
+    return re.compile(f"{space}[{_LETTERS}]+(?=[{_WS}{_MARKS}]|\\Z)|{space}[{_MARKS}]+(?=[{_WS}{_LETTERS}]|\\Z)|{space}[^{_WS}]+{white}")
+
+
+#: Byte-level: words keep the one space before them; else white space but for what belongs to the next word.
+_WITH_SPACE = _parts(" ?", f"|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
+#: White space dropped.
+_WORDS = _parts("", "")
+_WIDE = re.compile("[^\x00-\xff]")
 #: Parts longer than this many characters are encoded each time, so that the cache stays small.
 LONGEST_CACHED = 48
 #: A worker's cache has two generations of at most this many parts each: what is used moves to the
 #: younger one, and the older one is dropped when the younger is full.
-MOST_CACHED = 400_000
+MOST_CACHED = 700_000
 
 
 class CachedEncoder(dict):
@@ -36,33 +47,54 @@ class CachedEncoder(dict):
 
     def __init__(self, file: str, keeps_space: bool, dtype: str = "<u4"):
         super().__init__()
+        self.code = {"<u2": "H", "<u4": "I"}[dtype]  # of the array module, on little-endian machines
+        if sys.byteorder != "little":
+            raise NotImplementedError("ids are written as the machine holds them")
         single_threaded()
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
+        self.lowers = not keeps_space
         self.pattern = _WITH_SPACE if keeps_space else _WORDS
-        self.dtype = dtype
         self.older: dict[str, bytes] = {}
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
-
-    def __missing__(self, part: str) -> bytes:
-        ids = self.older.get(part)
-        if ids is None:
-            ids = self._whole(part)
-        if len(part) <= LONGEST_CACHED:
-            self[part] = ids
-        return ids
+        return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _learn(self, parts: set[str]) -> dict[str, bytes]:
+        """Caches parts that are not cached; returns those too long to keep."""
+        old = {p: self.older[p] for p in parts if p in self.older}
+        self.update(old)
+        new = [p for p in parts if p not in old]
+        long = {}
+        for part, got in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
+            (self if len(part) <= LONGEST_CACHED else long)[part] = array(self.code, got.ids).tobytes()
+        return long
+
+    def _plain(self, text: str) -> str:
+        """Lower case, where the vocabulary asks for it and each letter maps to one: fewer parts to know."""
+        return text.lower() if self.lowers and not _WIDE.search(text) else text
+
+    def ids_many(self, texts: list[str]) -> list[bytes]:
+        out = []
+        for at in range(0, len(texts), 200):
+            some = texts[at : at + 200]
+            # a special token may hold what the split would cut
+            parts = [None if any(s in t for s in self.specials) else self.pattern.findall(self._plain(t)) for t in some]
+            if len(self) > MOST_CACHED:
+                self.older = dict(self)
+                self.clear()
+            got = [p if p is None else list(map(self.get, p)) for p in parts]
+            missing = {x for p, g in zip(parts, got) if p and None in g for x, known in zip(p, g) if known is None}
+            long = self._learn(missing) if missing else {}
+            get = (self | long).__getitem__ if long else self.__getitem__
+            for t, p, g in zip(some, parts, got):
+                out.append(self._whole(t) if p is None else b"".join(map(get, p) if None in g else g))
+        return out
 
     def ids(self, text: str) -> bytes:
-        if any(s in text for s in self.specials):  # a special token may hold what the split would cut
-            return self._whole(text)
-        if len(self) > MOST_CACHED:
-            self.older = dict(self)
-            self.clear()
-        return b"".join(map(self.__getitem__, self.pattern.findall(text)))
+        return self.ids_many([text])[0]
 
 
 _encoders: dict[tuple, CachedEncoder] = {}
