@@ -7,6 +7,9 @@ import importlib
 #: query -> module that holds a function of that name
 MODULES = {
     "op4_mph_token_index": "token_index",
+    "op5_tree_scored_html": "html_text",
+    "op6_secret_worklist": "secrets",
+    "op7_seekable_warc": "warc",
     "op8_pareto_mix": "mixing",
     "op9_pattern_packing": "packing",
 }
