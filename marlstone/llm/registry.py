@@ -6,6 +6,8 @@ import importlib
 
 #: query -> module that holds a function of that name
 MODULES = {
+    "op1_quality_cnn": "quality",
+    "op2_webp_media": "media",
     "op4_mph_token_index": "token_index",
     "op5_tree_scored_html": "html_text",
     "op6_secret_worklist": "secrets",
