@@ -8,6 +8,7 @@ import importlib
 MODULES = {
     "op1_quality_cnn": "quality",
     "op2_webp_media": "media",
+    "op3_syncmer_fingerprints": "syncmers",
     "op4_mph_token_index": "token_index",
     "op5_tree_scored_html": "html_text",
     "op6_secret_worklist": "secrets",
