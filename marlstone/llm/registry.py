@@ -7,6 +7,7 @@ import importlib
 #: query -> module that holds a function of that name
 MODULES = {
     "op1_quality_cnn": "quality",
+    "op10_ngram_jaccard": "ngram_join",
     "op2_webp_media": "media",
     "op3_syncmer_fingerprints": "syncmers",
     "op4_mph_token_index": "token_index",
