@@ -49,6 +49,11 @@ def stored(df: DataFrame, name: str, partition_by: list[str] | None = None) -> D
     return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
 
 
+def broadcast_if_small(df: DataFrame, most_rows: int = 50_000) -> DataFrame:
+    """``df``, a stored or cheap table of narrow rows, with a broadcast hint if it has at most ``most_rows``."""
+    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+
+
 def text_or_empty(column: str = "text"):
     """The text column with null as the empty string."""
     return F.coalesce(F.col(column), F.lit(""))

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import stored, table, text_or_empty
+from ._common import broadcast_if_small, stored, table, text_or_empty
 
 #: Bins of the Pareto key; a bin of a hot source has about this fraction of its rows.
 BINS = 4096
@@ -71,6 +71,7 @@ def pareto_mix(docs: DataFrame, most_copies: int = 3, weights: tuple[int, ...] =
     copies = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     targets = targets.withColumn("whole", F.floor(copies + F.lit(1e-12))).withColumn("p", F.greatest(copies - F.col("whole"), F.lit(0.0)))
     targets = stored(targets.withColumn("rest", F.greatest(F.col("target") - F.col("whole") * F.col("source_size"), F.lit(0.0))), "mix-targets")
+    targets = broadcast_if_small(targets)  # one row a source; a hot source's rows then stay where they are
 
     ranked = rows.where("size > 0").join(targets, "skey").where("rest > 0")
     odds = F.col("u") / (1 - F.col("u")) / (F.col("p") / (1 - F.col("p")))
@@ -80,6 +81,7 @@ def pareto_mix(docs: DataFrame, most_copies: int = 3, weights: tuple[int, ...] =
     sums = sums.withColumn("upto", upto).where("upto >= rest")
     edge = sums.groupBy("skey").agg(F.min_by(F.struct("bin", (F.col("upto") - F.col("words")).alias("before")), "bin").alias("edge"))
     edge = edge.select("skey", F.col("edge.bin").alias("edge_bin"), F.col("edge.before").alias("before"))
+    edge = broadcast_if_small(stored(edge, "mix-edges"))
 
     ranked = ranked.join(edge, "skey", "left").withColumn("edge_bin", F.coalesce("edge_bin", F.lit(BINS + 1)))
     inside = ranked.where("bin < edge_bin").select("row", "skey", "size")
@@ -89,7 +91,8 @@ def pareto_mix(docs: DataFrame, most_copies: int = 3, weights: tuple[int, ...] =
 
     got = taken.groupBy("skey").agg(F.sum("size").alias("got"))
     gaps = targets.where("rest > 0").join(got, "skey", "left").select("skey", (F.col("rest") - F.coalesce("got", F.lit(0))).alias("gap"))
-    left = rows.where("size > 0").join(gaps.where("gap > 0"), "skey").where(F.col("size") < 2 * F.col("gap"))
+    gaps = broadcast_if_small(stored(gaps.where("gap > 0"), "mix-gaps"))
+    left = rows.where("size > 0").join(gaps, "skey").where(F.col("size") < 2 * F.col("gap"))
     left = left.join(taken.select("row"), "row", "left_anti")
     closest = F.struct(F.abs(F.col("size") - F.col("gap")), "u", "doc_id", "row")
     last = left.groupBy("skey").agg(F.min(closest).alias("best")).select(F.col("best.row").alias("row"))
