@@ -60,12 +60,14 @@ def source_targets(sizes: DataFrame, most_copies: int = 3, weights: tuple[int, .
     return out.select("skey", "source_size", F.when(free, F.col("weight") * F.col("first.level")).otherwise(F.col("cap")).alias("target"))
 
 
-def pareto_mix(docs: DataFrame, most_copies: int = 3, weights: tuple[int, ...] = (1, 2, 3), seed: int = 20240501) -> DataFrame:
-    """Per row of ``docs(doc_id, text, source)``: doc_id, size, source, source_size, target, copies, taken."""
+def pareto_mix(docs: DataFrame, most_copies: int = 3, weights: tuple[int, ...] = (1, 2, 3), seed: int = 20240501, keep: list[str] | None = None) -> DataFrame:
+    """Per row of ``docs(doc_id, text, source)``: doc_id, size, source, source_size, target, copies, taken, and columns to ``keep``."""
+    keep = keep or []
     skey = F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), "source"))
     u = (F.xxhash64(F.lit(seed), "doc_id", "text", "source").bitwiseAND((1 << 52) - 1) + F.lit(0.5)) / F.lit(float(1 << 52))
-    rows = docs.select("doc_id", "source", skey.alias("skey"), word_count(text_or_empty()).alias("size"), u.alias("u"))
-    rows = stored(rows.withColumn("row", F.monotonically_increasing_id()), "mix-rows")
+    rows = docs.select("doc_id", "source", *keep, skey.alias("skey"), word_count(text_or_empty()).alias("size"), u.alias("u"))
+    whole = stored(rows.withColumn("row", F.monotonically_increasing_id()), "mix-rows")
+    rows = whole.drop(*keep)
 
     targets = source_targets(rows.groupBy("skey", "source").agg(F.sum("size").alias("source_size")), most_copies, weights)
     copies = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
@@ -98,9 +100,9 @@ def pareto_mix(docs: DataFrame, most_copies: int = 3, weights: tuple[int, ...] =
     last = left.groupBy("skey").agg(F.min(closest).alias("best")).select(F.col("best.row").alias("row"))
 
     extra = taken.select("row").unionByName(last).withColumn("extra", F.lit(1))
-    out = rows.join(extra, "row", "left").join(targets, "skey")
+    out = whole.join(extra, "row", "left").join(targets, "skey")
     out = out.withColumn("copies", F.col("whole") + F.coalesce("extra", F.lit(0)))
-    return out.select("doc_id", "size", "source", "source_size", "target", F.col("copies").cast("int").alias("copies"), (F.col("copies") * F.col("size")).alias("taken"))
+    return out.select("doc_id", "size", "source", "source_size", "target", F.col("copies").cast("int").alias("copies"), (F.col("copies") * F.col("size")).alias("taken"), *keep)
 
 
 def op8_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
