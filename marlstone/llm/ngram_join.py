@@ -296,7 +296,8 @@ def candidate_edges(nodes: DataFrame, percent: int) -> DataFrame:
 def verified_edges(docs: DataFrame, families: DataFrame, classes, k: int, percent: int) -> DataFrame:
     """Edges (u, v) of a forest of exact links; ``families(node, label, family, size)``, label a doc_id of the node."""
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("label"), text_or_empty().alias("text"))
-    rows = _dealt(rows.join(families, "label"), "family", "size", "node")
+    # merged at every size: what is moved then follows the input, also where few families would fit a broadcast
+    rows = _dealt(rows.join(families.hint("merge"), "label"), "family", "size", "node")
     rows = rows.repartition("family", "lo", "hi").sortWithinPartitions("family", "lo", "hi").select("family", "lo", "hi", "node", "text")
 
     def verify(batches):
