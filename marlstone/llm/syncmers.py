@@ -106,6 +106,11 @@ def matches(a: Column, b: Column) -> Column:
     return let(where, lambda m: F.filter(F.transform(a, lambda x: F.struct(x["pos"].alias("a_pos"), F.element_at(m, x["hash"]).alias("b_pos"))), lambda x: x["b_pos"].isNotNull()))
 
 
+def in_order():
+    """Descending doc_id within a bucket, then the guest of the bucket below."""
+    return Window.partitionBy("bucket").orderBy("guest", F.desc("key"), "tie")
+
+
 def with_next(docs: DataFrame) -> DataFrame:
     """Rows ``doc_id, text, bucket, guest, key, tie, next_text`` in descending doc_id within buckets, guests included."""
     spark = docs.sparkSession
@@ -128,10 +133,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("bucket", bucket).select("doc_id", "text", "key", "tie", F.explode(places).alias("place"))
     rows = rows.select("doc_id", "text", "key", "tie", "place.bucket", "place.guest")
     rows = rows.repartition(n, "bucket")
-    return rows.withColumn("next_text", F.lead("text").over(IN_ORDER))
-
-
-IN_ORDER = Window.partitionBy("bucket").orderBy("guest", F.desc("key"), "tie")
+    return rows.withColumn("next_text", F.lead("text").over(in_order()))
 
 
 def op3_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,7 +156,7 @@ def op3_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
 
     rows = rows.select("doc_id", F.col("n_chars").cast("long").alias("n_chars"), F.sha2(edited, 256).alias("edited_sha256"), "bucket", "guest", "key", "tie", let(anchors(text), described).alias("f"))
-    rows = rows.withColumn("following", F.lead("f.own").over(IN_ORDER)).where("guest = 0")
+    rows = rows.withColumn("following", F.lead("f.own").over(in_order())).where("guest = 0")
     return rows.select(
         "doc_id", "n_chars", "edited_sha256", as_string(F.col("f.own")).alias("fingerprint"), as_string(F.col("f.edited")).alias("edited_fingerprint"),
         likeness(F.col("f.own"), F.col("f.edited")).alias("near_edited"), likeness(F.col("f.own"), F.col("following")).alias("near_next"),
