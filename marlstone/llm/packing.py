@@ -36,6 +36,8 @@ from .tokenizing import default_file, encoder
 CAPACITY = 4096
 #: Coarse bins of a sequence, and the most documents in a pattern.
 COARSE, MOST_IN_PATTERN = 64, 3
+#: Shares of the fitted repeats that plans take; the rest is packed best fit.
+SHARES = (1.0, 0.9, 0.6, 0.3)
 
 
 def patterns(units: int, most: int) -> list[tuple[int, ...]]:
@@ -109,7 +111,13 @@ def _draw(left: np.ndarray, pools: dict[int, list[int]], shape: tuple[int, ...],
     return drawn
 
 
-def make_plan(histogram: dict[int, int], capacity: int = CAPACITY, coarse: int = COARSE, most: int = MOST_IN_PATTERN) -> dict[str, np.ndarray]:
+def make_plan(histogram: dict[int, int], capacity: int = CAPACITY, coarse: int = COARSE) -> dict[str, np.ndarray]:
+    """The plan with the fewest sequences of those that round the fitted repeats down by several shares."""
+    plans = (one_plan(histogram, capacity, coarse, most, share) for most in range(2, MOST_IN_PATTERN + 1) for share in SHARES)
+    return min(plans, key=lambda p: int(p["sequences"][0]))
+
+
+def one_plan(histogram: dict[int, int], capacity: int, coarse: int, most: int, share: float) -> dict[str, np.ndarray]:
     """Segments (length, first rank, first sequence, pieces of it a sequence, offset) from counts by length.
 
     Counts are placed, not pieces: a class is a number of sequences filled
@@ -143,7 +151,7 @@ def make_plan(histogram: dict[int, int], capacity: int = CAPACITY, coarse: int =
                 a[b - 1, k] += 1
         # long pieces weigh more: short ones are filling that the residual step places well
         weight = np.sqrt(np.arange(1, units + 1) / units)[:, None]
-        repeats = np.floor(nnls(a * weight, coarse_counts * weight[:, 0]) + 1e-6).astype(np.int64)
+        repeats = np.floor(share * nnls(a * weight, coarse_counts * weight[:, 0]) + 1e-6).astype(np.int64)
         for k in np.argsort(-repeats, kind="stable").tolist():
             todo = int(repeats[k])
             while todo > 0 and (drawn := _draw(left, pools, shapes[k], capacity)):
