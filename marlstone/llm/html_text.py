@@ -34,13 +34,15 @@ ENDS_P = BLOCK - {"body", "html", "caption", "td", "th", "tr", "tbody", "thead",
 IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 #: Words in class, id or role that mark what is not main text.
 UNLIKELY = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|breadcrumbs?|byline-share|comments?|commentlist|respond|replies|disqus|consent|cookies?|copyright|dialog|footer|gdpr|header|masthead|login|menu|modal|nav\w*|newsletter|notices?|notification|alert|pager|pagination|paywall|popup|promo\w*|recommend\w*|related|search|share|sharing|sidebar|signup|skip|social|sponsor\w*|subscribe|subscription|tags|toolbar|widget|complementary|contentinfo)(?:$|[\s_-])",
+    r"(?:^|[\s_-])(?:ads?|ad(?:box|slot|unit|block|wrap|container)|advert\w*|adsense|aside|banner|breadcrumbs?|byline-share|comments?|comment(?:list|area|form|s?section)|discussion|respond|replies|disqus|consent|cookies?|copyright|dialog|footer|gdpr|header|masthead|topbar|login|menu|modal|nav\w*|newsletter|notices?|notification|alert|pager|pagination|paywall|popup|promo\w*|recommend\w*|related|search|share|sharing|side|sidebar|signup|skip|social|sponsor\w*|subscribe|subscription|tags|toolbar|widget|complementary|contentinfo)(?:$|[\s_-])",
     re.I,
 )
 LIKELY = re.compile(r"(?:^|[\s_-])(?:article|body|content|entry|main|page|post|story|text)(?:$|[\s_-])", re.I)
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(>|\Z)""", re.S)
 _ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden|style)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
+#: Words that mark an article element as a reader's, an advert's or a teaser of another page.
+NOT_ARTICLE = re.compile(r"(?:^|[\s_-])(?:comments?|repl(?:y|ies)|ads?|advert\w*|promo\w*|sponsor\w*|related|teaser)(?:$|[\s_-])", re.I)
 _HIDDEN = re.compile(r"display\s*:\s*none", re.I)
 
 
@@ -126,14 +128,26 @@ def _spaced(parts: list[str]) -> str:
     return " ".join("".join(parts).split())
 
 
+def _holds_article(node: Node) -> bool:
+    """Whether an element of an unlikely name wraps the article itself, as a layout with a sidebar may."""
+    stack = [node]
+    while stack:
+        for c in stack.pop().children:
+            if isinstance(c, Node) and not c.cut:
+                if c.tag == "main" or c.tag == "article" and not NOT_ARTICLE.search(c.marks):
+                    return not re.search(r"comments?|repl(?:y|ies)|related", node.marks, re.I)
+                stack.append(c)
+    return False
+
+
 def _score(root: Node, cut_unlikely: bool) -> list[Node]:
     """Fills in points and text lengths from the leaves up; returns the containers that have points."""
     order, stack = [], [root]
     while stack:
         x = stack.pop()
         order.append(x)
-        if cut_unlikely and x.marks and not x.cut and x.tag not in ("html", "body", "article", "main", "#root"):
-            x.cut = bool(UNLIKELY.search(x.marks)) and not (LIKELY.search(x.marks) and len(x.marks.split()) == 1 and "-" in x.marks and not UNLIKELY.match(x.marks))
+        if cut_unlikely and x.marks and not x.cut and x.tag not in ("html", "body", "main", "#root"):
+            x.cut = bool(NOT_ARTICLE.search(x.marks)) if x.tag == "article" else bool(UNLIKELY.search(x.marks)) and not _holds_article(x)
         if not x.cut:
             stack += [c for c in x.children if isinstance(c, Node)]
     own: dict[int, tuple[int, int]] = {}
