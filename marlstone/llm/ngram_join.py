@@ -44,8 +44,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.components import components
 from ._common import stored, table, text_or_empty
-from .components import components
 from .token_index import mix64
 
 _U = np.uint64

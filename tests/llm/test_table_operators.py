@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from marlstone.llm import html_text, ngram_join, packing, quality, registry, secrets, warc
-from marlstone.llm.components import components
+from marlstone.operators.components import components
 
 SF = "/root/testdata/sf0.001"
 
