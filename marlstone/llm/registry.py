@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import importlib
 
+from .oracle import ORACLE
+
 #: query -> module that holds a function of that name
 MODULES = {
     "op1_quality_cnn": "quality",
@@ -17,7 +19,6 @@ MODULES = {
     "op8_pareto_mix": "mixing",
     "op9_pattern_packing": "packing",
 }
-ORACLE: dict[str, str] = {}
 
 
 def queries() -> dict:

@@ -200,4 +200,4 @@ def read_records(bundles: DataFrame) -> DataFrame:
 
 
 def op7_seekable_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_records(write_bundles(table(spark, sf_dir, "pages"))).drop("url")
+    return read_records(write_bundles(table(spark, sf_dir, "pages"))).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
