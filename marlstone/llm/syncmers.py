@@ -1,14 +1,15 @@
 """Document fingerprints from closed syncmers, in DataFrame functions alone (operator 3).
 
-A k-mer of ``K`` characters is kept where the smallest hash of its ``W`` inner
-substrings of ``S`` characters is that of the first or the last of them. This
-looks at nothing outside the k-mer, so the same passage keeps the same anchors in
-any document, and an edited text's anchors are those of its parts and of the
-few k-mers across their joint. A fingerprint is the ``SKETCH`` smallest anchor
-hashes; the likeness of two is the Jaccard estimate over the smallest of both.
+The alphabet of a text is its words (what single spaces part), or its characters
+where words are longer than ``LONG_WORDS`` characters on average, as in scripts
+without spaces. A k-mer is kept where the smallest hash of its inner pairs of
+tokens is that of the first or the last pair: W pairs, so k = W + 1 tokens.
+This looks at nothing outside the k-mer, so the same passage keeps the same
+anchors in any document. A fingerprint is the ``SKETCH`` smallest anchor hashes;
+the likeness of two is the Jaccard estimate over the smallest of both.
 
-Texts are worked on in blocks that overlap by K - 1 characters, so that a very
-long text never needs arrays of its own length for each step.
+Tokens are worked on in blocks that overlap by k - 1, so that a very long text
+never needs arrays of its own length for each step.
 
 The next document comes from one range exchange: bucket borders and each
 bucket's top doc_id are at most one number a shuffle partition, and each
@@ -17,7 +18,7 @@ followed by.
 
 Defined cases: null text is the empty string, with the empty fingerprint; two
 empty fingerprints have likeness 1, an empty and another one 0; a text without
-a syncmer (shorter than K, say) has the hash of the whole text as its anchor; rows
+a syncmer (shorter than k, say) has the hash of the whole text as its anchor; rows
 with equal doc_id follow each other by a hash of their text; null doc_id comes
 last; a single document follows itself; other columns are ignored.
 """
@@ -29,8 +30,8 @@ from pyspark.sql import functions as F
 
 from ._common import table, text_or_empty
 
-S, W = 4, 16
-K = S + W - 1
+#: Inner pairs of a k-mer of words, and of one of characters.
+WORD_PAIRS, CHAR_PAIRS, LONG_WORDS = 4, 16, 24
 BLOCK, SKETCH = 16_384, 64
 _ALL = 1 << 30
 
@@ -48,34 +49,42 @@ def _hash32(*parts: Column) -> Column:
     return F.xxhash64(*parts).bitwiseAND(0xFFFFFFFF)
 
 
-def _block_anchors(text: Column, base: Column) -> Column:
-    """array<struct<pos, hash>> of one block; entries near its end that lack characters are never kept."""
+def _block_anchors(tokens: Column, base: Column, pairs: int) -> Column:
+    """array<struct<pos, hash>> of one block; entries near its end that lack tokens are never kept."""
 
-    def from_chars(chars: Column) -> Column:
-        pairs = F.zip_with(chars, _ahead(chars, 1), lambda a, b: F.xxhash64(a, b))
-        inner = let(pairs, lambda p: F.zip_with(p, _ahead(p, 2), lambda a, b: F.xxhash64(a, b)))
-        return let(inner, lambda h: let(_window_min(h), lambda m: _kept(h, m, F.size(chars))))
+    def from_tokens(t: Column) -> Column:
+        inner = F.zip_with(t, _ahead(t, 1), lambda a, b: F.xxhash64(a, b))
+        return let(inner, lambda h: let(window_min(h), lambda m: kept(h, m, F.size(t))))
 
-    def _window_min(h: Column) -> Column:
+    def window_min(h: Column) -> Column:
         step = 1
-        while step < W:
+        while step < pairs:
             h = let(h, lambda x, n=step: F.zip_with(x, _ahead(x, n), lambda a, b: F.least(a, b)))
             step *= 2
         return h
 
-    def _kept(h: Column, m: Column, n: Column) -> Column:
-        at = F.transform(m, lambda x, i: F.when((i <= n - K) & ((x == F.get(h, i)) | (x == F.get(h, i + (W - 1)))), i))
+    def kept(h: Column, m: Column, n: Column) -> Column:
+        last = pairs - 1
+        at = F.transform(m, lambda x, i: F.when((i < n - pairs) & ((x == F.get(h, i)) | (x == F.get(h, i + last))), i))
         at = F.filter(at, lambda i: i.isNotNull())
-        return F.transform(at, lambda i: F.struct((i + base).alias("pos"), _hash32(F.get(h, i), F.get(h, i + 4), F.get(h, i + 8), F.get(h, i + 12), F.get(h, i + 15)).alias("hash")))
+        covers = [*range(0, last, 2), last]  # pairs that hold every token of the k-mer
+        return F.transform(at, lambda i: F.struct((i + base).alias("pos"), _hash32(*(F.get(h, i + c) for c in covers)).alias("hash")))
 
-    return let(F.split(text, ""), from_chars)
+    return let(tokens, from_tokens)
+
+
+def _anchors_of(tokens: Column, pairs: int) -> Column:
+    def blocks(t: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.floor(F.greatest(F.size(t) - pairs - 1, F.lit(0)) / BLOCK).cast("int"))
+        return F.flatten(F.transform(starts, lambda b: _block_anchors(F.slice(t, b * BLOCK + 1, F.lit(BLOCK + pairs)), b * BLOCK, pairs)))
+
+    return let(tokens, blocks)
 
 
 def anchors(text: Column) -> Column:
-    """Closed syncmers of a text: array<struct<pos, hash>>, positions in characters."""
-    starts = F.sequence(F.lit(0), F.floor(F.greatest(F.char_length(text) - K, F.lit(0)) / BLOCK).cast("int"))
-    blocks = F.transform(starts, lambda b: _block_anchors(F.substring(text, b * BLOCK + 1, F.lit(BLOCK + K - 1)), b * BLOCK))
-    return F.when(F.char_length(text) < K, F.array().cast("array<struct<pos:int,hash:bigint>>")).otherwise(F.flatten(blocks))
+    """Closed syncmers of a text: array<struct<pos, hash>>, positions in tokens of its alphabet."""
+    spaces = F.char_length(text) - F.char_length(F.replace(text, F.lit(" "), F.lit("")))
+    return F.when((spaces + 1) * LONG_WORDS >= F.char_length(text), _anchors_of(F.split(text, " "), WORD_PAIRS)).otherwise(_anchors_of(F.split(text, ""), CHAR_PAIRS))
 
 
 def sketch(hashes: Column, text: Column) -> Column:
@@ -144,18 +153,11 @@ def op3_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rows.withColumn("cut", cut).withColumn("n_chars", n)
     part = F.when(F.col("cut") < F.col("n_chars"), F.substring(following, F.lit(1), F.col("n_chars") - F.col("cut"))).otherwise("")
     rows = rows.withColumn("part", part)
-    # across the joint: the last K - 1 characters that stay, and what is put in
-    head = F.substring(text, F.greatest(F.col("cut") - (K - 2), F.lit(1)), F.least(F.col("cut"), F.lit(K - 1)))
-    edited = F.concat(F.substring(text, F.lit(1), F.col("cut")), F.col("part"))
-
-    def described(own: Column) -> Column:
-        stays = F.filter(own, lambda a: a["pos"] + K <= F.col("cut"))["hash"]
-        return F.struct(
-            sketch(own["hash"], text).alias("own"),
-            F.when(F.col("guest") == 1, F.array().cast("array<bigint>")).otherwise(sketch(F.concat(stays, anchors(F.concat(head, F.col("part")))["hash"]), edited)).alias("edited"),
-        )
-
-    rows = rows.select("doc_id", F.col("n_chars").cast("long").alias("n_chars"), F.sha2(edited, 256).alias("edited_sha256"), "bucket", "guest", "key", "tie", let(anchors(text), described).alias("f"))
+    rows = rows.withColumn("edited", F.when(F.col("guest") == 1, "").otherwise(F.concat(F.substring(text, F.lit(1), F.col("cut")), F.col("part"))))
+    rows = rows.select(
+        "doc_id", F.col("n_chars").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "bucket", "guest", "key", "tie",
+        F.struct(*(sketch(anchors(F.col(c))["hash"], F.col(c)).alias(n) for c, n in (("text", "own"), ("edited", "edited")))).alias("f"),
+    )
     rows = rows.withColumn("following", F.lead("f.own").over(in_order())).where("guest = 0")
     return rows.select(
         "doc_id", "n_chars", "edited_sha256", as_string(F.col("f.own")).alias("fingerprint"), as_string(F.col("f.edited")).alias("edited_fingerprint"),

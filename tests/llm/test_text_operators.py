@@ -187,14 +187,16 @@ def test_secrets(spark, docs):
 
 def test_syncmers_are_context_free(spark):
     rng = random.Random(4)
-    passage = "".join(rng.choice("abcdefgh ") for _ in range(400))
-    texts = [(1, "x" * 37 + passage + "tail"), (2, passage), (3, "abc"), (4, ""), (5, None), (6, ("".join(rng.choice("abc ") for _ in range(40000))))]
+    passage = " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randrange(1, 9))) for _ in range(120))
+    dense = "".join(rng.choice("abcdefgh") for _ in range(400))
+    texts = [(1, "x y z " + passage + " tail end"), (2, passage), (3, "abc"), (4, ""), (5, None), (6, " ".join(rng.choice("abcdefg") for _ in range(40000))), (7, "q" * 37 + dense), (8, dense)]
     out = {r["doc_id"]: r for r in syncmers.fingerprints(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
-    inside = {(a["pos"] - 37, a["hash"]) for a in out[1]["anchors"] if 37 <= a["pos"] <= 37 + len(passage) - syncmers.K}
-    assert inside == {(a["pos"], a["hash"]) for a in out[2]["anchors"]} and inside
+    for whole, part, shift, tokens, k in ((1, 2, 3, 120, syncmers.WORD_PAIRS + 1), (7, 8, 37, 400, syncmers.CHAR_PAIRS + 1)):
+        inside = {(a["pos"] - shift, a["hash"]) for a in out[whole]["anchors"] if shift <= a["pos"] <= shift + tokens - k}
+        assert inside == {(a["pos"], a["hash"]) for a in out[part]["anchors"]} and inside
     assert out[4]["fingerprint"] == [] == out[5]["fingerprint"] and len(out[3]["fingerprint"]) == 1
-    long = [a["pos"] for a in out[6]["anchors"]]
-    assert long == sorted(set(long)) and max(b - a for a, b in zip(long, long[1:])) <= syncmers.K
+    long = [a["pos"] for a in out[6]["anchors"]]  # more than two blocks: each window of k-mers has an anchor, once
+    assert long == sorted(set(long)) and max(b - a for a, b in zip(long, long[1:])) <= syncmers.WORD_PAIRS and long[-1] > 39990
 
 
 def test_syncmer_query(spark, docs, tmp_path):
