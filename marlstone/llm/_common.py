@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -34,19 +35,26 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
-    """``df`` written as a table in the shared folder and read back.
+def stored(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """``df`` written as a table in the shared folder, at a fresh path or a given one, and read back.
 
     This cuts lineage: a lost executor never costs more than the stages after
     the table, and what is nondeterministic upstream is fixed once.
     """
     spark = df.sparkSession
-    path = shared_path(spark, name)
-    writer = df.write.option("compression", "zstd")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
+    path = path or shared_path(spark, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def removed(spark: SparkSession, *paths: str) -> None:
+    """Deletes stored tables that nothing reads any more, and lets Spark find the shuffle files that nothing refers to."""
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(hadoop).delete(at, True)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def broadcast_if_small(df: DataFrame, most_rows: int = 50_000) -> DataFrame:

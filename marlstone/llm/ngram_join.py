@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.components import components
-from ._common import stored, table, text_or_empty
+from ._common import removed, shared_path, stored, table, text_or_empty
 from .token_index import mix64
 
 _U = np.uint64
@@ -340,13 +340,19 @@ def link(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     classes = spark.sparkContext.broadcast(sketch_classes(docs, k))  # SLOTS bytes
-    described = stored(describe(docs, classes, k, percent), "ngram-documents")
-    members = described.select("doc_id", "n_shingles", "node")
-    nodes = described.where("node is not null").groupBy("node").agg(
+    wide = shared_path(spark, "ngram-documents"), shared_path(spark, "ngram-nodes")
+    described = stored(describe(docs, classes, k, percent), "", wide[0])
+    members = stored(described.select("doc_id", "n_shingles", "node"), "ngram-members")
+    facts = described.where("node is not null").groupBy("node").agg(
         F.min("doc_id").alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("tokens").alias("tokens"), F.first("parts").alias("parts")
     )
-    nodes = stored(nodes, "ngram-nodes")
-    families = components(candidate_edges(nodes, percent)).withColumnRenamed("root", "family")
+    facts = stored(facts, "", wide[1])
+    del described
+    removed(spark, wide[0])  # prefixes lie with the nodes now
+    nodes = stored(facts.select("node", "least"), "ngram-least")
+    families = components(candidate_edges(facts, percent)).withColumnRenamed("root", "family")
+    del facts
+    removed(spark, wide[1])  # the families stand in tables of their own
     sizes = families.groupBy("family").agg(F.count(F.lit(1)).alias("size"))
     families = families.join(sizes, "family").join(nodes.select("node", F.coalesce("least", F.lit(-(2**63))).alias("label")), "node")
     edges = stored(verified_edges(docs, stored(families, "ngram-families"), classes, k, percent), "ngram-links")
