@@ -165,7 +165,7 @@ def sketch_classes(docs: DataFrame, k: int) -> np.ndarray:
 
 
 def describe(docs: DataFrame, classes, k: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, node (hash of the set), tokens (prefix under the first order) and parts; ``classes`` is a broadcast."""
+    """doc_id, key, n_shingles, node (hash of the set), tokens (prefix under the first order) and parts of ``docs(doc_id, text, key)``; ``classes`` is a broadcast."""
 
     def run(batches):
         for batch in batches:
@@ -174,12 +174,12 @@ def describe(docs: DataFrame, classes, k: int, percent: int) -> DataFrame:
             tokens = [prefix(s, classes.value, 0, percent).tobytes() if len(s) else None for s in sets]
             parts = [part_counts(s, PARTS).tobytes() if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64()), pa.array(tokens, pa.binary()), pa.array(parts, pa.binary())],
-                names=["doc_id", "n_shingles", "node", "tokens", "parts"],
+                [batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64()), pa.array(tokens, pa.binary()), pa.array(parts, pa.binary())],
+                names=["doc_id", "key", "n_shingles", "node", "tokens", "parts"],
             )
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, node long, tokens binary, parts binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), "key")
+    return rows.mapInArrow(run, "doc_id long, key long, n_shingles long, node long, tokens binary, parts binary")
 
 
 def _grouped(batches, keys: int):
@@ -335,14 +335,28 @@ def verified_edges(docs: DataFrame, families: DataFrame, classes, k: int, percen
     return rows.mapInArrow(verify, "u long, v long")
 
 
+def _label():
+    """The doc_id, with null as a value of its own."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
+
+
+def _row_key(columns: list[str]):
+    """A hash of these columns of a row; the hash of Spark skips nulls, so where they are counts too."""
+    return F.xxhash64(*columns, *[F.col(c).isNull() for c in columns])
+
+
 def link(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, node and component_id of each row of ``docs(doc_id, text)``."""
+    return _linked(docs.select("doc_id", "text", _row_key(["text"]).alias("key")), k, percent).drop("key", "root")
+
+
+def _linked(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """What :func:`link` returns, with the key of each row of ``docs(doc_id, text, key)`` and root, the same in a component and null for empty sets."""
     spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
     classes = spark.sparkContext.broadcast(sketch_classes(docs, k))  # SLOTS bytes
     wide = shared_path(spark, "ngram-documents"), shared_path(spark, "ngram-nodes")
     described = stored(describe(docs, classes, k, percent), "", wide[0])
-    members = stored(described.select("doc_id", "n_shingles", "node"), "ngram-members")
+    members = stored(described.select("doc_id", "key", "n_shingles", "node"), "ngram-members")
     facts = described.where("node is not null").groupBy("node").agg(
         F.min("doc_id").alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("tokens").alias("tokens"), F.first("parts").alias("parts")
     )
@@ -359,16 +373,25 @@ def link(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     joined = components(edges)
     least = nodes.select("node", "least").join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
     roots = least.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_node = least.join(roots, "root").select("node", "component_id")
+    by_node = least.join(roots, "root").select("node", "root", "component_id")
     out = members.join(by_node, "node", "left")
-    return out.select("doc_id", "n_shingles", "node", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    return out.select("doc_id", "n_shingles", "node", component.alias("component_id"), "key", "root")
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each component: that with the least doc_id, one row of it."""
-    kept = link(docs, k, percent).where("doc_id <=> component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    rows = docs.join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi")
-    return rows
+    """``docs`` with one row of each component: of its least doc_id, null last, and of rows that repeat this doc_id that of the least key.
+
+    Empty sets link with nothing: of them, only rows that repeat in all columns become one.
+    """
+    key = _row_key(docs.columns)
+    linked = _linked(docs.select("doc_id", "text", key.alias("key")), k, percent)
+    alone = F.when(F.col("root").isNull(), F.struct("doc_id", "key"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), _label().alias("label"), "key"))
+    kept = linked.groupBy("root", alone.alias("alone")).agg(first.alias("row"))
+    kept = kept.select(F.col("row.label").alias("__label"), F.col("row.key").alias("__key"))
+    rows = docs.withColumns({"__label": _label(), "__key": key}).join(kept, ["__label", "__key"], "left_semi")
+    return rows.dropDuplicates(["__label", "__key"]).select(docs.columns)
 
 
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -148,6 +148,24 @@ def test_ngram_join_of_nothing(spark):
     assert ngram_join.keep_one(spark.createDataFrame([(1, None), (2, None), (3, "a b"), (4, "a b")], "doc_id long, text string")).count() == 3
 
 
+def test_keep_one_row_of_each_component(spark):
+    rows = [
+        (None, "alone with no id", "x"),
+        (None, "b c d e f", "x"), (5, "b c d e f", "x"),
+        (7, "g h i j k", "x"), (7, "g h i j k", "x"), (7, "g h i j k", "y"),
+        (7, "another text of this id", "x"), (2, "another text of this id", "x"),
+        (None, "l m n o p", "x"), (None, "l m n o p", "x"),
+        (None, None, "x"), (None, None, "x"), (None, "", "x"), (None, None, "y"), (8, " ", None),
+        (7, "the third text of seven", "x"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = collections.Counter(map(tuple, ngram_join.keep_one(docs).collect()))
+    seven = [r for r in got if r[1] == "g h i j k"]
+    assert len(seven) == 1 and seven[0][0] == 7
+    want = [rows[0], rows[2], rows[7], rows[8], rows[10], rows[12], rows[13], rows[14], rows[15], seven[0]]
+    assert got == collections.Counter(want)
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(i, i + 1) for i in range(100, 160)] + [(200, 200 + i) for i in range(1, 50)] + [(rng.randrange(60), rng.randrange(60)) for _ in range(50)]
