@@ -294,10 +294,12 @@ def candidate_edges(nodes: DataFrame, percent: int) -> DataFrame:
 
 
 def verified_edges(docs: DataFrame, families: DataFrame, classes, k: int, percent: int) -> DataFrame:
-    """Edges (u, v) of a forest of exact links; ``families(node, label, family, size)``, label a doc_id of the node."""
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("label"), text_or_empty().alias("text"))
+    """Edges (u, v) of a forest of exact links; ``families(node, label, key, family, size)``, label and key those of one row of ``docs(doc_id, text, key)``."""
+    rows = docs.select(_label().alias("label"), "key", text_or_empty().alias("text"))
     # merged at every size: what is moved then follows the input, also where few families would fit a broadcast
-    rows = _dealt(rows.join(families.hint("merge"), "label"), "family", "size", "node")
+    rows = rows.join(families.hint("merge"), ["label", "key"])
+    once = [F.first(c).alias(c) for c in ("node", "family", "size", "text")]  # rows that repeat meet as one
+    rows = _dealt(rows.groupBy("label", "key").agg(*once).drop("label", "key"), "family", "size", "node")
     rows = rows.repartition("family", "lo", "hi").sortWithinPartitions("family", "lo", "hi").select("family", "lo", "hi", "node", "text")
 
     def verify(batches):
@@ -358,17 +360,17 @@ def _linked(docs: DataFrame, k: int, percent: int) -> DataFrame:
     described = stored(describe(docs, classes, k, percent), "", wide[0])
     members = stored(described.select("doc_id", "key", "n_shingles", "node"), "ngram-members")
     facts = described.where("node is not null").groupBy("node").agg(
-        F.min("doc_id").alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("tokens").alias("tokens"), F.first("parts").alias("parts")
+        F.min("doc_id").alias("least"), F.min(F.struct(_label().alias("label"), "key")).alias("row"), F.first("n_shingles").alias("n_shingles"), F.first("tokens").alias("tokens"), F.first("parts").alias("parts")
     )
     facts = stored(facts, "", wide[1])
     del described
     removed(spark, wide[0])  # prefixes lie with the nodes now
-    nodes = stored(facts.select("node", "least"), "ngram-least")
+    nodes = stored(facts.select("node", "least", "row"), "ngram-least")
     families = components(candidate_edges(facts, percent)).withColumnRenamed("root", "family")
     del facts
     removed(spark, wide[1])  # the families stand in tables of their own
     sizes = families.groupBy("family").agg(F.count(F.lit(1)).alias("size"))
-    families = families.join(sizes, "family").join(nodes.select("node", F.coalesce("least", F.lit(-(2**63))).alias("label")), "node")
+    families = families.join(sizes, "family").join(nodes.select("node", "row.label", "row.key"), "node")
     edges = stored(verified_edges(docs, stored(families, "ngram-families"), classes, k, percent), "ngram-links")
     joined = components(edges)
     least = nodes.select("node", "least").join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))

@@ -142,6 +142,24 @@ def test_ngram_join(spark, families, monkeypatch, k, percent, block):
     assert got == brute(families, k, percent)
 
 
+def test_ngram_join_of_null_and_repeated_ids(spark):
+    words = [f"w{i}" for i in range(100)]
+    changed = lambda *at: " ".join("x" + w if i in at else w for i, w in enumerate(words))
+    # of one family at 0.9, since prefixes meet, but none is like another
+    apart = [changed(), changed(50), changed(20, 50), changed(20, 50, 80)]
+    far = [changed(10, 30, 50), changed(10, 30, 60), changed(10, 40, 70)]
+    rows = [(None, t) for t in apart + far] * 3 + [(7, t) for t in far] + [(7, apart[3]), (9, apart[0]), (None, changed(5, 15))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for percent in (80, 90, 95):
+        got = collections.Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.link(docs, 3, percent).collect())
+        assert got == brute(rows, 3, percent)
+    nodes = spark.createDataFrame([(i, -(2**63), i, 1, 7) for i in range(7)], "node long, label long, key long, family long, size long")
+    texts = spark.createDataFrame([(None, t, i) for i, t in enumerate(apart + far)] * 3, "doc_id long, text string, key long")
+    classes = spark.sparkContext.broadcast(ngram_join.sketch_classes(texts, 3))
+    edges = {tuple(sorted(e)) for e in ngram_join.verified_edges(texts, nodes, classes, 3, 90).collect()}
+    assert edges == {(0, 1), (1, 2), (2, 3)}
+
+
 def test_ngram_join_of_nothing(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert ngram_join.link(docs).count() == 0
