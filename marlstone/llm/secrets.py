@@ -2,7 +2,9 @@
 
 Base spans come from three patterns over the whole text. A worklist then
 unwraps layers: percent escapes and Unicode escapes of a whole layer, base64
-runs, and compressed bytes inside them. Each layer is scanned again, each of
+runs, also over line breaks and at every alignment, and compressed bytes inside
+what any of them decodes to. Bytes that are not UTF-8 are read as latin-1, so that no
+layer is left out. Each layer is scanned again, each of
 its characters knows the span of the original text that it came from, and its
 own wrapped parts join the worklist. Every decoded layer is remembered by its
 hash and place, so a layer that decodes to itself ends; the list runs until
@@ -15,7 +17,7 @@ rows; other columns are ignored by :func:`scan` and kept by :func:`redact`.
 from __future__ import annotations
 
 import base64
-import binascii
+import bisect
 import bz2
 import hashlib
 import lzma
@@ -41,7 +43,19 @@ _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|%u[0-9A-Fa-f]{4})+")
 _UNICODE_ONE = re.compile(r"(?:\\u|\\U|\\x|%u)([0-9A-Fa-f]+)")
 #: The shortest base64 run that can hold a secret; shorter ones decode to less than `token=` and a value.
-_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
+LEAST_BASE64 = 16
+_BASE64 = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{{LEAST_BASE64},}}={{0,2}}")
+#: Line breaks in a base64 run, also written as escapes.
+_BREAK = re.compile(r"[ \t]*(?:\r\n?|\n|(?:\\r)?\\n)[ \t]*")
+_WRAPPED = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{4,}}+(?:{_BREAK.pattern}[A-Za-z0-9+/_-]++)+={{0,2}}")
+_MAGIC = re.compile(rb"(\x1f\x8b\x08)|(x[\x01\x5e\x9c\xda])|(BZh[1-9]1AY&SY)|(\xfd7zXZ\x00)")
+_OPENS = (lambda: zlib.decompressobj(31), zlib.decompressobj, bz2.BZ2Decompressor, lzma.LZMADecompressor)
+#: Escapes of single bytes by decoder; those of one letter stand in strings whose other bytes are written out.
+_BYTES = {
+    "url": re.compile(rb"%([0-9A-Fa-f]{2})"),
+    "unicode": re.compile(rb"(?:\\x|(?:\\|%)u00|\\U000000)([0-9A-Fa-f]{2})|\\([abfnrtv0\\'\"/])"),
+}
+_LETTER = dict(zip(b"abfnrtv0", b"\a\b\f\n\r\t\v\0"))
 _URLSAFE = str.maketrans("-_", "+/")
 
 
@@ -120,67 +134,125 @@ def _unicode(run: str):
         if 0xD800 <= code < 0xDC00 and k + 1 < len(units) and 0xDC00 <= units[k + 1][0] < 0xE000:
             code, e, k = 0x10000 + ((code - 0xD800) << 10) + units[k + 1][0] - 0xDC00, units[k + 1][2], k + 1
         k += 1
-        if code > 0x10FFFF or 0xD800 <= code < 0xE000:
-            return None
+        if code > 0x10FFFF or 0xD800 <= code < 0xE000:  # no character: stays as it is written
+            chars += run[s:e]
+            starts += range(s, e)
+            ends += range(s + 1, e + 1)
+            continue
         chars.append(chr(code))
         starts.append(s)
         ends.append(e)
-    return "".join(chars), starts, ends
+    return ("".join(chars), starts, ends) if len(chars) < len(run) else None
 
 
-def _inflate(raw: bytes) -> bytes | None:
-    """The content of compressed bytes, or None."""
+def _inflate(opens, raw: bytes) -> tuple[bytes, int]:
+    """What compressed bytes hold, as far as they are sound, and the length of a stream that ends; else 0."""
+    d = opens()
+    try:
+        return d.decompress(raw), len(raw) - len(d.unused_data) if d.eof else 0
+    except (zlib.error, OSError, ValueError, EOFError, lzma.LZMAError):
+        d, out = opens(), []
     try:
-        if raw[:2] == b"\x1f\x8b":
-            return zlib.decompressobj(31).decompress(raw)
-        if raw[:1] == b"\x78" and raw[1:2] in (b"\x01", b"\x5e", b"\x9c", b"\xda"):
-            return zlib.decompressobj().decompress(raw)
-        if raw[:3] == b"BZh":
-            return bz2.decompress(raw)
-        if raw[:6] == b"\xfd7zXZ\x00":
-            return lzma.decompress(raw)
+        for k in range(len(raw)):
+            out.append(d.decompress(raw[k : k + 1]))
     except (zlib.error, OSError, ValueError, EOFError, lzma.LZMAError):
         pass
-    return None
+    return b"".join(out), 0
+
+
+def _streams(raw: bytes) -> list[tuple[int, int, bytes]]:
+    """(start, end, content) of the compressed streams in bytes."""
+    out, at = [], 0
+    while m := _MAGIC.search(raw, at):
+        content, length = _inflate(_OPENS[m.lastindex - 1], raw[m.start() :])
+        at = m.start() + (length or 1)
+        if content:
+            out.append((m.start(), at if length else len(raw), content))
+    return out
 
 
-def _readable(raw: bytes) -> str | None:
+def _text(raw: bytes) -> tuple[str, np.ndarray, np.ndarray]:
+    """Bytes as UTF-8, or as latin-1 where they are not, with first and end byte of each character."""
     try:
         text = raw.decode()
     except UnicodeDecodeError:
-        return None
-    return text if text.translate({9: 32, 10: 32, 13: 32}).isprintable() else None
+        first = np.arange(len(raw))
+        return raw.decode("latin-1"), first, first + 1
+    return text, *_by_char(raw, text)
+
+
+def _inflated(layer: Layer, raw: bytes, step: str, span) -> list[Layer]:
+    """Layers of the compressed streams in bytes, and of those in their content; ``span(start, end)`` is that of bytes in the layer."""
+    out, todo = [], [(*span(s, e), content, f"{layer.path}>{step}>inflate") for s, e, content in _streams(raw)]
+    while todo:
+        s, e, content, path = todo.pop()
+        text, *_ = _text(content)
+        s0, e0 = layer.origin(s, e)
+        out.append(Layer(text, np.full(len(text), s0), np.full(len(text), e0), path))
+        todo += [(s, e, inner, f"{path}>inflate") for _, _, inner in _streams(content) if inner != content]
+    return out
+
+
+def _escaped(layer: Layer, step: str) -> list[Layer]:
+    """Layers of compressed bytes that are written as escapes, with others between them as they are."""
+    written = layer.text.encode("utf-8", "surrogatepass")
+    ends, starts, parts, size, at = [0], [0], [], 0, 0  # byte of the decoded and of the written form, after each escape
+    for m in _BYTES[step].finditer(written):
+        byte = bytes.fromhex(m[1].decode()) if m[1] else bytes([_LETTER.get(m[2][0], m[2][0])])
+        parts += [written[at : m.start()], byte]
+        size += m.start() - at
+        ends += [size, size + 1]
+        starts += [m.start(), m.end()]
+        size, at = size + 1, m.end()
+    raw = b"".join(parts) + written[at:]
+
+    def place(k: int) -> int:
+        i = bisect.bisect_right(ends, k) - 1
+        return len(written[: starts[i] + k - ends[i]].decode("utf-8", "replace"))
+
+    return _inflated(layer, raw, step, lambda s, e: (place(s), place(e))) if parts else []
+
+
+def _base64(layer: Layer, run: str, places: np.ndarray, end: int) -> list[Layer]:
+    """Layers of a base64 run whose characters are at ``places``, at each alignment, since what it begins with may be no part of it."""
+    out = []
+    run = run.rstrip("=").translate(_URLSAFE)
+    for skip in range(4):
+        part = run[skip:]
+        part = part[: len(part) - (len(part) % 4 == 1)]
+        if len(part) < LEAST_BASE64:
+            break
+        raw = base64.b64decode(part + "=" * (-len(part) % 4))
+        text, first, stop = _text(raw)
+        lo = places[skip + first * 8 // 6]
+        hi = places[skip + np.minimum(-(-stop * 8 // 6), len(part)) - 1] + 1
+        if layer.lo is not None:
+            lo, hi = layer.lo[lo], layer.hi[hi - 1]
+        out.append(Layer(text, lo, hi, f"{layer.path}>base64"))
+        at = places[skip:]
+        out += _inflated(layer, raw, "base64", lambda s, e: (int(at[s * 8 // 6]), end if e == len(raw) else int(at[min(-(-e * 8 // 6), len(part)) - 1]) + 1))
+    return out
 
 
 def _unwrapped(layer: Layer) -> list[Layer]:
     out = []
     if "\\" in layer.text or "%u" in layer.text:
-        out.append(_rewritten(layer, _UNICODE, _unicode, "unicode"))
+        if (new := _rewritten(layer, _UNICODE, _unicode, "unicode")) is not None:
+            out += [new, *_escaped(layer, "unicode")]
     if "%" in layer.text:
-        out.append(_rewritten(layer, _PERCENT, _percent, "url"))
+        if (new := _rewritten(layer, _PERCENT, _percent, "url")) is not None:
+            out += [new, *_escaped(layer, "url")]
     for m in _BASE64.finditer(layer.text):
-        run = m[0].rstrip("=")
-        if len(run) % 4 == 1:
-            continue
-        try:
-            raw = base64.b64decode(run.translate(_URLSAFE) + "=" * (-len(run) % 4))
-        except (binascii.Error, ValueError):
-            continue
-        s, step, inflated = m.start(), "base64", False
-        while (content := _inflate(raw)) is not None and content != raw:  # compressed, perhaps again
-            raw, step, inflated = content, f"{step}>inflate", True
-        text = _readable(raw)
-        if not text:
-            continue
-        if inflated:
-            lo, hi = np.full(len(text), s), np.full(len(text), m.end())
-        else:
-            first, end = _by_char(raw, text)
-            lo, hi = s + first * 8 // 6, s + np.minimum(-(-end * 8 // 6), len(run))
-        if layer.lo is not None:
-            lo, hi = layer.lo[lo], layer.hi[hi - 1]
-        out.append(Layer(text, lo, hi, f"{layer.path}>{step}"))
-    return [x for x in out if x is not None]
+        out += _base64(layer, m[0], np.arange(m.start(), m.end()), m.end())
+    for m in _WRAPPED.finditer(layer.text):
+        places, at = [], m.start()
+        for x in _BREAK.finditer(layer.text, m.start(), m.end()):
+            places.append(np.arange(at, x.start()))
+            at = x.end()
+        places = np.concatenate([*places, np.arange(at, m.end())])
+        if len(places) >= LEAST_BASE64:
+            out += _base64(layer, _BREAK.sub("", m[0]), places, m.end())
+    return out
 
 
 def scan_text(text: str) -> tuple[list[tuple[int, int, int]], dict[tuple[int, int, int], str]]:

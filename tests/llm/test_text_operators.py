@@ -2,9 +2,12 @@
 
 import base64
 import bisect
+import bz2
 import collections
 import gzip
 import hashlib
+import json
+import lzma
 import random
 import re
 import urllib.parse
@@ -157,6 +160,36 @@ def test_mixing(spark, docs):
     assert mixing.pareto_mix(docs.where("false")).count() == 0
 
 
+def test_secrets_of_every_decoded_layer():
+    b64 = lambda x: base64.b64encode(x).decode()
+    plain = b"some text and then token=abcdefgh and more of it, up to the end of this line"
+    packed, twice = zlib.compress(plain), gzip.compress(gzip.compress(plain, mtime=0), mtime=0)
+    lines = lambda x, n, end="\n": end.join(x[i : i + n] for i in range(0, len(x), n))
+    wrapped = {
+        **{f"odd {x!r}": b64(f"token=abcdefgh{x}ok".encode()) for x in "\xa0\xad\u200d\ufeff\f\0"},
+        "latin-1": b64("password=hunter22 caf\xe9".encode("latin-1")),
+        "latin-1 inflated": b64(gzip.compress("password=hunter22 caf\xe9".encode("latin-1"))),
+        "lone surrogate": "\\ud800\\u0074oken=abcdefgh",
+        "beyond Unicode": "\\u0074\\u006fken=abcdefgh\\U00110000",
+        "percent": urllib.parse.quote(packed), "all percent": "".join(f"%{b:02X}" for b in bz2.compress(plain)),
+        "\\x": "".join(f"\\x{b:02x}" for b in lzma.compress(plain)), "repr": repr(gzip.compress(plain))[2:-1], "JSON": json.dumps(packed.decode("latin-1")),
+        "twice": urllib.parse.quote(twice), "members": b64(gzip.compress(b"nothing") + gzip.compress(plain)), "cut off": b64(bz2.compress(b"x" * 99) + packed[:-6]),
+        "percent of base64 of percent": urllib.parse.quote(b64(urllib.parse.quote(packed).encode())),
+        **{f"lines of {n}": lines(b64(plain), n, end) for n, end in ((76, "\n"), (64, "\r\n"), (20, "\n  "), (10, "\n"), (64, "\\n"))},
+        "lines, inflated": lines(b64(packed), 40),
+        **{f"after {x}": x + b64(plain) for x in ("a/", "ab/", "abc/", "abcd/", "of/a/path-", "key_")}, "inflated after": "ab/" + b64(packed),
+        "five left over": b64(plain)[:77],
+    }
+    for name, x in wrapped.items():
+        text = f"é before {x} after"
+        base, found = secrets.scan_text(text)
+        assert not base or name in ("lone surrogate", "beyond Unicode"), name
+        assert found and all(9 <= s < e <= 9 + len(x) for s, _, e in found), (name, found)
+        masked = secrets.mask(text)
+        assert "removed]" in masked and not secrets.scan_text(masked)[1] and masked.startswith("é before ") and masked.endswith(" after"), (name, masked)
+    assert not secrets.scan_text("plain words of a/path/that-is_long/enough and\nlines\nof words 100% \\ud800 %41")[1]
+
+
 def test_secrets(spark, docs):
     inner = "api_key: abcdefgh12"
     layers = {
