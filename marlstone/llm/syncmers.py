@@ -1,12 +1,13 @@
 """Document fingerprints from closed syncmers, in DataFrame functions alone (operator 3).
 
-The alphabet of a text is its words (what single spaces part), or its characters
+The alphabet of a text is its words (what white space parts), or its characters
 where words are longer than ``LONG_WORDS`` characters on average, as in scripts
-without spaces. A k-mer is kept where the smallest hash of its inner pairs of
+without spaces; texts under ``SHORT`` characters have shorter k-mers of characters. A k-mer is kept where the smallest hash of its inner pairs of
 tokens is that of the first or the last pair: W pairs, so k = W + 1 tokens.
 This looks at nothing outside the k-mer, so the same passage keeps the same
-anchors in any document. A fingerprint is the ``SKETCH`` smallest anchor hashes;
-the likeness of two is the Jaccard estimate over the smallest of both.
+anchors in any document. A fingerprint is all distinct anchor hashes, ascending; with the
+first position of each it is matched, and the likeness of two texts is the share of matches in
+their union. Texts of different alphabets are compared in the finer one.
 
 Tokens are worked on in blocks that overlap by k - 1, so that a very long text
 never needs arrays of its own length for each step.
@@ -32,7 +33,9 @@ from ._common import table, text_or_empty
 
 #: Inner pairs of a k-mer of words, and of one of characters.
 WORD_PAIRS, CHAR_PAIRS, LONG_WORDS = 4, 16, 24
-BLOCK, SKETCH = 16_384, 64
+#: Characters under which a text is short, and the inner pairs of its k-mers.
+SHORT, SHORT_PAIRS = 160, 4
+BLOCK = 16_384
 _ALL = 1 << 30
 
 
@@ -81,22 +84,54 @@ def _anchors_of(tokens: Column, pairs: int) -> Column:
     return let(tokens, blocks)
 
 
-def anchors(text: Column) -> Column:
-    """Closed syncmers of a text: array<struct<pos, hash>>, positions in tokens of its alphabet."""
-    spaces = F.char_length(text) - F.char_length(F.replace(text, F.lit(" "), F.lit("")))
-    return F.when((spaces + 1) * LONG_WORDS >= F.char_length(text), _anchors_of(F.split(text, " "), WORD_PAIRS)).otherwise(_anchors_of(F.split(text, ""), CHAR_PAIRS))
+def alphabet(text: Column) -> Column:
+    """0 for words, 1 for characters, 2 for characters of a short text: from coarse to fine."""
+    n = F.char_length(text)
+    spaces = n - F.char_length(F.replace(text, F.lit(" "), F.lit("")))
+    return F.when(n < SHORT, 2).when((spaces + 1) * LONG_WORDS >= n, 0).otherwise(1)
+
+
+def anchors(text: Column, kind: Column | None = None) -> Column:
+    """Closed syncmers of a text: array<struct<pos, hash>>, positions in tokens of its alphabet or of a given one."""
+    kind = alphabet(text) if kind is None else kind
+    words, chars = F.split(text, r"[ \t\r\n]+"), F.split(text, "")
+    return F.when(kind == 0, _anchors_of(words, WORD_PAIRS)).when(kind == 1, _anchors_of(chars, CHAR_PAIRS)).otherwise(_anchors_of(chars, SHORT_PAIRS))
+
 
+def firsts(found: Column, text: Column) -> Column:
+    """Each distinct anchor hash with its first position, ascending, as hash * 2**31 + pos; the hash of the whole text where there are no anchors."""
+    packed = F.sort_array(F.transform(found, lambda x: F.shiftleft(x["hash"], 31) + x["pos"]))
+    some = let(packed, lambda s: F.filter(s, lambda x, i: (i == 0) | (_hash_of(F.get(s, i - 1)) != _hash_of(x))))
+    return let(some, lambda x: F.when((F.size(x) > 0) | (F.char_length(text) == 0), x).otherwise(F.array(F.shiftleft(_hash32(text), 31))))
 
-def sketch(hashes: Column, text: Column) -> Column:
-    """The smallest distinct hashes, ascending; of the whole text where there are none."""
-    some = F.slice(F.sort_array(F.array_distinct(hashes)), 1, SKETCH)
-    return let(some, lambda x: F.when(F.size(x) > 0, x).when(F.char_length(text) > 0, F.array(_hash32(text))).otherwise(x))
+
+def _hash_of(x: Column) -> Column:
+    return F.shiftrightunsigned(x, 31)
+
+
+def hashes(x: Column) -> Column:
+    return F.transform(x, _hash_of)
+
+
+def matches(a: Column, b: Column) -> Column:
+    """Positional matching: (a_pos, b_pos) of the hashes that two results of :func:`firsts` share."""
+    side = lambda x, k: F.transform(x, lambda v: F.struct(_hash_of(v).alias("hash"), F.lit(k).alias("side"), v.bitwiseAND(2**31 - 1).alias("pos")))
+    pair = lambda x, y: F.when((x["side"] == 0) & (y["hash"] == x["hash"]), F.struct(x["pos"].alias("a_pos"), y["pos"].alias("b_pos")))
+    both = F.sort_array(F.concat(side(a, 0), side(b, 1)))
+    return let(both, lambda s: F.filter(F.transform(s, lambda x, i: pair(x, F.get(s, i + 1))), lambda x: x.isNotNull()))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Jaccard estimate from two sketches, 0 to 1."""
-    both = let(F.slice(F.sort_array(F.array_union(a, b)), 1, SKETCH), lambda u: F.size(F.array_intersect(u, F.array_intersect(a, b))) / F.greatest(F.size(u), F.lit(1)))
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(both)
+    """Matches of two results of :func:`firsts` in proportion to their union, 0 to 1."""
+    share = let(F.size(matches(a, b)), lambda m: m / F.greatest(F.size(a) + F.size(b) - m, F.lit(1)))
+    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(share)
+
+
+def near(text: Column, own: Column, other_text: Column, other: Column) -> Column:
+    """Likeness of two texts with what :func:`firsts` gave for each; anew in the finer alphabet where theirs differ."""
+    kind = F.greatest(alphabet(text), alphabet(other_text))
+    again = let(firsts(anchors(text, kind), text), lambda a: let(firsts(anchors(other_text, kind), other_text), lambda b: likeness(a, b)))
+    return F.when(alphabet(text) == alphabet(other_text), likeness(own, other)).otherwise(again)
 
 
 def as_string(x: Column) -> Column:
@@ -106,13 +141,7 @@ def as_string(x: Column) -> Column:
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, anchors and fingerprint (array) of ``docs(doc_id, text)``."""
     rows = docs.select("doc_id", text_or_empty().alias("text")).withColumn("anchors", anchors(F.col("text")))
-    return rows.select("doc_id", F.char_length("text").alias("n_chars"), "anchors", sketch(F.col("anchors.hash"), F.col("text")).alias("fingerprint"))
-
-
-def matches(a: Column, b: Column) -> Column:
-    """Positional matching: (a_pos, b_pos) of anchors that two texts share, the first of each hash in ``b``."""
-    where = F.map_from_entries(F.transform(F.array_distinct(b["hash"]), lambda h: F.struct(h, F.get(b["pos"], F.array_position(b["hash"], h).cast("int") - 1))))
-    return let(where, lambda m: F.filter(F.transform(a, lambda x: F.struct(x["pos"].alias("a_pos"), F.element_at(m, x["hash"]).alias("b_pos"))), lambda x: x["b_pos"].isNotNull()))
+    return rows.select("doc_id", F.char_length("text").alias("n_chars"), "anchors", hashes(firsts(F.col("anchors"), F.col("text"))).alias("fingerprint"))
 
 
 def in_order():
@@ -154,12 +183,13 @@ def op3_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = F.when(F.col("cut") < F.col("n_chars"), F.substring(following, F.lit(1), F.col("n_chars") - F.col("cut"))).otherwise("")
     rows = rows.withColumn("part", part)
     rows = rows.withColumn("edited", F.when(F.col("guest") == 1, "").otherwise(F.concat(F.substring(text, F.lit(1), F.col("cut")), F.col("part"))))
+    rows = rows.withColumns({c: firsts(anchors(F.col(t)), F.col(t)) for c, t in (("f_own", "text"), ("f_edited", "edited"))})
     rows = rows.select(
-        "doc_id", F.col("n_chars").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "bucket", "guest", "key", "tie",
-        F.struct(*(sketch(anchors(F.col(c))["hash"], F.col(c)).alias(n) for c, n in (("text", "own"), ("edited", "edited")))).alias("f"),
+        "doc_id", F.col("n_chars").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "bucket", "guest", "key", "tie", "text", "next_text", "f_own",
+        as_string(hashes(F.col("f_edited"))).alias("edited_fingerprint"), near(F.col("text"), F.col("f_own"), F.col("edited"), F.col("f_edited")).alias("near_edited"),
     )
-    rows = rows.withColumn("following", F.lead("f.own").over(in_order())).where("guest = 0")
+    rows = rows.withColumn("following", F.lead("f_own").over(in_order())).where("guest = 0")
     return rows.select(
-        "doc_id", "n_chars", "edited_sha256", as_string(F.col("f.own")).alias("fingerprint"), as_string(F.col("f.edited")).alias("edited_fingerprint"),
-        likeness(F.col("f.own"), F.col("f.edited")).alias("near_edited"), likeness(F.col("f.own"), F.col("following")).alias("near_next"),
+        "doc_id", "n_chars", "edited_sha256", as_string(hashes(F.col("f_own"))).alias("fingerprint"), "edited_fingerprint", "near_edited",
+        near(F.col("text"), F.col("f_own"), F.coalesce("next_text", F.lit("")), F.coalesce("following", F.array().cast("array<bigint>"))).alias("near_next"),
     )

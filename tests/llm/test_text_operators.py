@@ -15,6 +15,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from marlstone.llm import media, mixing, packing, quality, secrets, syncmers, token_index, webp
 from marlstone.llm.tokenizing import CachedEncoder, default_file
@@ -272,6 +273,24 @@ def test_edited_fingerprint_equals_that_of_the_edited_text(spark):
         assert out[i]["edited_fingerprint"] == "".join(f"{h:08x}" for h in direct[i]), i
 
 
+def test_syncmer_fingerprints_hold_the_whole_text(spark, tmp_path):
+    rng = random.Random(5)
+    words = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randrange(3, 9))) for _ in range(n))
+    passage, dense = words(500), words(300)
+    texts = [(9, words(9000) + " " + passage + " " + words(9000)), (8, words(200) + " " + passage), (7, words(7)), (6, words(600)), (5, dense.replace(" ", "")), (4, dense[:900].replace(" ", "") + " " + words(200)), (3, passage.replace(" ", "\n "))]
+    texts.append((2, passage))
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    out = {r["doc_id"]: r for r in syncmers.op3_syncmer_fingerprints(spark, str(tmp_path)).collect()}
+    assert len(out[9]["fingerprint"]) > 8 * 5000  # in proportion to the text
+    assert 0.015 < out[9]["near_next"] < 0.05  # the passage is some 250 of 9500 anchors
+    assert out[7]["near_edited"] > 0.2 and out[6]["near_edited"] > 0.3
+    assert out[5]["near_next"] > 0.1  # characters and words, in one alphabet
+    assert out[3]["near_next"] == 1  # other white space
+    rows = spark.createDataFrame([("p q r s t " + passage, passage)], "a string, b string")
+    pairs = rows.select(syncmers.matches(*(syncmers.firsts(syncmers.anchors(F.col(c)), F.col(c)) for c in "ab")).alias("m")).first()["m"]
+    assert len(pairs) > 150 and {x["a_pos"] - x["b_pos"] for x in pairs} == {5}
+
+
 def test_webp_round_trips():
     rng = np.random.default_rng(1)
     for k in range(12):
