@@ -28,6 +28,10 @@ from ._common import table, text_or_empty
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template svg math".split())
 CUT = frozenset("head script style textarea title noscript iframe xmp noembed noframes template svg math nav header footer aside form button select option menu dialog object embed canvas audio video map".split())
+#: Elements of CUT that stay where a layout wraps the page's main text in them.
+WRAPPERS = frozenset("form header dialog object map".split())
+#: What stays beside an article in main if few of its words stand in links.
+BESIDE = frozenset("h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre table figure".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
 ENDS_P = BLOCK - {"body", "html", "caption", "td", "th", "tr", "tbody", "thead", "tfoot", "option", "optgroup", "legend", "summary"}
 #: An opening tag closes open ones of these names, up to the nearest element that contains such.
@@ -74,6 +78,7 @@ def _marks(attrs: str) -> tuple[str, bool]:
 def parse(html: str) -> Node:
     """A tree of elements and strings. Tolerant: stray ends are ignored, open elements end with the page."""
     root = Node("#root", None)
+    wrappers: list[Node] = []
     at, node, n = 0, root, len(html)
     while at < n:
         m = _TOKEN.search(html, at)
@@ -114,6 +119,8 @@ def parse(html: str) -> Node:
         marks, hidden = _marks(m[3]) if m[3] else ("", False)
         new = Node(tag, node, marks, hidden or tag in CUT)
         node.children.append(new)
+        if tag in WRAPPERS and not hidden:
+            wrappers.append(new)
         if tag in VOID or (m[3].endswith("/") and tag in ("svg", "math")):
             continue
         if tag in RAW:
@@ -121,9 +128,38 @@ def parse(html: str) -> Node:
             at = end.end() if end else n
             continue
         node = new
+    if wrappers:
+        _keep_wrappers(root, wrappers)
     return root
 
 
+def _text_size(node: Node) -> int:
+    size, stack = 0, [node]
+    while stack:
+        for c in stack.pop().children:
+            if isinstance(c, str):
+                size += len(c.strip())
+            elif not c.cut:
+                stack.append(c)
+    return size
+
+
+def _keep_wrappers(root: Node, wrappers: list[Node]) -> None:
+    """Keeps what wraps the article, or, on a page without one, more text than stands outside."""
+    for x in reversed(wrappers):
+        if _holds_article(x):
+            x.cut = False
+    if _holds_article(root):
+        return
+    outside = _text_size(root)
+    for x in reversed(wrappers):
+        if x.cut and (size := _text_size(x)) > outside:
+            x.cut = False
+            while x is not root and not x.cut:
+                x = x.parent
+            outside += size if x is root else 0  # inside another that is cut, it counts with that one
+
+
 def _spaced(parts: list[str]) -> str:
     return " ".join("".join(parts).split())
 
@@ -217,6 +253,29 @@ def _blocks(nodes: list, out: list[str]) -> None:
     flush()
 
 
+def _with_rest_of_main(article: Node, near: list) -> list:
+    """``near``, siblings of an article, with the headings, paragraphs and texts beside it up to the main element, in page order."""
+    x = article.parent
+    while x is not None and x.tag != "main":
+        x = x.parent
+    if x is None:
+        return near
+    main, x, level = x, article, max(10.0, 0.2 * article.points)
+    while x is not main:
+        beside = []
+        for c in x.parent.children:
+            if c is x and x is not article:
+                beside += near
+            elif isinstance(c, str) or any(c is k for k in near):
+                beside.append(c)
+            elif not c.cut and c.tag != "article":
+                density = c.linked / max(1, c.chars)
+                if c.points >= level or c.tag in BESIDE and density < 0.25 or c.tag == "p" and (density < 0.25 or not c.linked) or c.tag not in BLOCK and c.tag != "a":
+                    beside.append(c)
+        near, x = beside, x.parent
+    return near
+
+
 def main_text(html: str) -> str:
     """The main text: blocks of the best container and its kept siblings, joined by newlines."""
     if not html:
@@ -238,6 +297,7 @@ def main_text(html: str) -> str:
         near = [best]
         if best.tag == "article":  # a page of several articles
             near = [c for c in best.parent.children if c is best or isinstance(c, Node) and c.tag == "article" and not c.cut and c.points >= 0.2 * best.points]
+            near = _with_rest_of_main(best, near)
         return _kept(near)
     level = max(10.0, 0.2 * best.points)
     near = []

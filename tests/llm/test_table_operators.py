@@ -38,6 +38,20 @@ def test_html_text():
     assert html_text.main_text("<article><p>one<p>two &lt;x <a hre") == "one\ntwo <x"
 
 
+def test_html_wrappers_and_rest_of_main():
+    text = "<p>Some text, with commas, that goes on and on for a while, and ends.</p>"
+    for tag in ("form", "header", "dialog", "object", "map"):
+        for inner in (text * 4, f"<article>{text * 4}</article>", f"<div class=story>{text * 4}</div><form><p>Search, now</p></form>"):
+            page = f"<body><{tag} id=x action=y><nav><a href=x>Home</a></nav>{inner}</{tag}><footer><p>foot</p></footer></body>"
+            got = html_text.main_text(page)
+            assert got.count("Some text") == 4 and "Search" not in got and "Home" not in got and "foot" not in got, page
+    assert html_text.main_text(f"<p>short<form><header>{text * 4}</header></form>").count("Some text") == 4
+    kept = html_text.main_text(f"<header><p>{'Site, of words ' * 30}</p></header><form><p>{'Fill in, please ' * 30}</p></form><article>{text}</article>")
+    assert kept.startswith("Some text") and "\n" not in kept
+    page = f"<main><h1>Title</h1><p>Lead, in short.</p><div><article>{text * 4}</article><p>After it.</p></div>bare words<ul><li>Item</ul><ul><li><a href=x>Link</a></ul><aside>side</aside><article><p>x</p></article></main><p>out"
+    assert html_text.main_text(page).split("\n") == ["Title", "Lead, in short.", *["Some text, with commas, that goes on and on for a while, and ends."] * 4, "After it.", "bare words", "Item"]
+
+
 def test_extract_pages(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     for r in html_text.extract(pages).join(pages.select("page_id", "html"), "page_id").collect():
