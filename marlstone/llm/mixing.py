@@ -8,7 +8,8 @@ inclusion probability p. Documents of a source are ranked by the Pareto key
     (u / (1 - u)) / (p / (1 - p)),   u uniform from a hash of the row,
 
 and those with the smallest keys are taken until the source's remaining words
-are used up. One more document, the one whose size is closest to the words
+are used up; past one that does not fit, those that do are taken in passes, until little
+is missing. p is the same in a source, so the order is a simple random one. One more document, the one whose size is closest to the words
 then missing, is taken where this brings the sum nearer to the target.
 
 No source is ever sorted in one task: keys fall into fixed bins whose sums
@@ -29,6 +30,8 @@ from ._common import broadcast_if_small, stored, table, text_or_empty
 
 #: Bins of the Pareto key; a bin of a hot source has about this fraction of its rows.
 BINS = 4096
+#: Share of a target that may be missing before documents past one that did not fit are tried, and how often they are.
+SMALL_GAP, MOST_PASSES = 0.001, 20
 
 
 def word_count(text):
@@ -60,6 +63,24 @@ def source_targets(sizes: DataFrame, most_copies: int = 3, weights: tuple[int, .
     return out.select("skey", "source_size", F.when(free, F.col("weight") * F.col("first.level")).otherwise(F.col("cap")).alias("target"))
 
 
+def _taken_in_order(ranked: DataFrame) -> DataFrame:
+    """row, skey, size of those of ``ranked(row, skey, doc_id, size, u, p, rest)`` that come, by key, before the first that passes ``rest`` of its source."""
+    odds = F.col("u") / (1 - F.col("u")) / (F.col("p") / (1 - F.col("p")))
+    ranked = ranked.withColumn("key", odds).withColumn("bin", F.floor(F.col("key") / (1 + F.col("key")) * BINS))
+    sums = ranked.groupBy("skey", "rest", "bin").agg(F.sum("size").alias("words"))
+    upto = F.sum("words").over(Window.partitionBy("skey").orderBy("bin"))
+    sums = sums.withColumn("upto", upto).where("upto >= rest")
+    edge = sums.groupBy("skey").agg(F.min_by(F.struct("bin", (F.col("upto") - F.col("words")).alias("before")), "bin").alias("edge"))
+    edge = edge.select("skey", F.col("edge.bin").alias("edge_bin"), F.col("edge.before").alias("before"))
+    edge = broadcast_if_small(stored(edge, "mix-edges"))
+
+    ranked = ranked.join(edge, "skey", "left").withColumn("edge_bin", F.coalesce("edge_bin", F.lit(BINS + 1)))
+    inside = ranked.where("bin < edge_bin").select("row", "skey", "size")
+    upto = F.sum("size").over(Window.partitionBy("skey").orderBy("key", "doc_id", "row").rowsBetween(Window.unboundedPreceding, 0))
+    at_edge = ranked.where("bin = edge_bin").withColumn("upto", upto + F.col("before")).where("upto <= rest").select("row", "skey", "size")
+    return inside.unionByName(at_edge)
+
+
 def pareto_mix(docs: DataFrame, most_copies: int = 3, weights: tuple[int, ...] = (1, 2, 3), seed: int = 20240501, keep: list[str] | None = None) -> DataFrame:
     """Per row of ``docs(doc_id, text, source)``: doc_id, size, source, source_size, target, copies, taken, and columns to ``keep``."""
     keep = keep or []
@@ -76,24 +97,25 @@ def pareto_mix(docs: DataFrame, most_copies: int = 3, weights: tuple[int, ...] =
     targets = broadcast_if_small(targets)  # one row a source; a hot source's rows then stay where they are
 
     ranked = rows.where("size > 0").join(targets, "skey").where("rest > 0")
-    odds = F.col("u") / (1 - F.col("u")) / (F.col("p") / (1 - F.col("p")))
-    ranked = ranked.withColumn("key", odds).withColumn("bin", F.floor(F.col("key") / (1 + F.col("key")) * BINS))
-    sums = ranked.groupBy("skey", "rest", "bin").agg(F.sum("size").alias("words"))
-    upto = F.sum("words").over(Window.partitionBy("skey").orderBy("bin"))
-    sums = sums.withColumn("upto", upto).where("upto >= rest")
-    edge = sums.groupBy("skey").agg(F.min_by(F.struct("bin", (F.col("upto") - F.col("words")).alias("before")), "bin").alias("edge"))
-    edge = edge.select("skey", F.col("edge.bin").alias("edge_bin"), F.col("edge.before").alias("before"))
-    edge = broadcast_if_small(stored(edge, "mix-edges"))
-
-    ranked = ranked.join(edge, "skey", "left").withColumn("edge_bin", F.coalesce("edge_bin", F.lit(BINS + 1)))
-    inside = ranked.where("bin < edge_bin").select("row", "skey", "size")
-    upto = F.sum("size").over(Window.partitionBy("skey").orderBy("key", "doc_id", "row").rowsBetween(Window.unboundedPreceding, 0))
-    at_edge = ranked.where("bin = edge_bin").withColumn("upto", upto + F.col("before")).where("upto <= rest").select("row", "skey", "size")
-    taken = stored(inside.unionByName(at_edge), "mix-taken")
-
-    got = taken.groupBy("skey").agg(F.sum("size").alias("got"))
-    gaps = targets.where("rest > 0").join(got, "skey", "left").select("skey", (F.col("rest") - F.coalesce("got", F.lit(0))).alias("gap"))
-    gaps = broadcast_if_small(stored(gaps.where("gap > 0"), "mix-gaps"))
+    taken = stored(_taken_in_order(ranked), "mix-taken")
+
+    def missing(taken: DataFrame) -> DataFrame:
+        got = taken.groupBy("skey").agg(F.sum("size").alias("got"))
+        gaps = targets.where("rest > 0").join(got, "skey", "left").select("skey", "p", "target", (F.col("rest") - F.coalesce("got", F.lit(0))).alias("gap"))
+        return broadcast_if_small(stored(gaps.where("gap > 0"), "mix-gaps"))
+
+    gaps = missing(taken)
+    for _ in range(MOST_PASSES):
+        wide = gaps.where(F.col("gap") > SMALL_GAP * F.col("target")).select("skey", "p", F.col("gap").alias("rest"))
+        if wide.isEmpty():
+            break
+        fit = rows.where("size > 0").join(broadcast_if_small(wide), "skey").where(F.col("size") <= F.col("rest")).join(taken.select("row"), "row", "left_anti")
+        more = stored(_taken_in_order(fit), "mix-more")
+        if more.isEmpty():
+            break
+        taken = stored(taken.unionByName(more), "mix-taken")
+        gaps = missing(taken)
+    gaps = gaps.select("skey", "gap")
     left = rows.where("size > 0").join(gaps, "skey").where(F.col("size") < 2 * F.col("gap"))
     left = left.join(taken.select("row"), "row", "left_anti")
     closest = F.struct(F.abs(F.col("size") - F.col("gap")), "u", "doc_id", "row")

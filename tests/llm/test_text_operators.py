@@ -161,6 +161,14 @@ def test_mixing(spark, docs):
     assert mixing.pareto_mix(docs.where("false")).count() == 0
 
 
+def test_mixing_passes_a_long_document(spark):
+    rows = [(i, "w " * 5, "ab"[i % 2]) for i in range(800)] + [(1000, "w " * 1000, "a"), (1001, "w " * 1000, "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for seed in range(4):
+        out = mixing.pareto_mix(docs, seed=seed).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()
+        assert len(out) == 2 and all(abs(r["taken"] - r["target"]) <= 5 for r in out), (seed, out)
+
+
 def test_secrets_of_every_decoded_layer():
     b64 = lambda x: base64.b64encode(x).decode()
     plain = b"some text and then token=abcdefgh and more of it, up to the end of this line"
