@@ -4,37 +4,19 @@ from __future__ import annotations
 
 import gc
 import os
-import tempfile
-import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import shared_path
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the Parquet tables of a data folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where the session names none (single-machine tests) is one made and set.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        root = tempfile.mkdtemp(prefix="marlstone-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(root)
-    return root
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below :func:`shared_root`."""
-    return f"{shared_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def stored(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """``df`` written as a table in the shared folder, at a fresh path or a given one, and read back.
 
@@ -71,3 +53,14 @@ def single_threaded() -> None:
     """Keeps native libraries of a Python worker to the one core that its task has."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     os.environ.setdefault("RAYON_NUM_THREADS", "1")
+
+
+def slices(batches, most: int = 1024):
+    """Arrow batches in slices of at most ``most`` rows, so that what Python makes of the rows stays small.
+
+    Memory that Arrow frees goes back to the system, which counts where workers outlive their task.
+    """
+    pa.set_memory_pool(pa.system_memory_pool())
+    for batch in batches:
+        for at in range(0, batch.num_rows, most):
+            yield batch.slice(at, most)

@@ -16,9 +16,9 @@ one compare of the fingerprint and one slice. Shards follow each other in
 ascending doc_id; the table's ``lo``/``hi`` columns route a key to its shard.
 
 Defined cases: null text is the empty string, which has the end id alone. Rows
-that repeat a doc_id are all kept, in the order of their text, and are told
-apart by their occurrence number inside the shard. A null doc_id sorts first and is a key of its own. Extra columns
-are ignored. An empty table gives an empty result.
+that repeat a doc_id are all kept, in the order of a hash of their text, and are told
+apart by their occurrence number inside the shard. A null doc_id sorts first and is a key of its own. A very long
+text is encoded whole and its shard grows with it. Extra columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._common import stored, table, text_or_empty
-from .tokenizing import default_file, encoder
+from .tokenizing import default_file, encoder, with_end
 
 HEADER = struct.Struct("<4sBxxxIIQI")
 SLOT = np.dtype([("fp", "<u4"), ("length", "<u4"), ("offset", "<u8")])
@@ -164,34 +164,38 @@ def write_shards(docs: DataFrame, file: str, end_id: int = 0, keeps_space: bool
     """
 
     def shards(batches):
-        ids = encoder(file, keeps_space, f"<u{id_bytes}")
-        end = int(end_id).to_bytes(id_bytes, "little")
         part, block = TaskContext.get().partitionId(), 0
-        keys, lengths, payload, size = [], [], [], 0
+        keys, nulls, lengths, payload, docs_held, ids_held = [], [], [], [], 0, 0
 
         def close():
-            null = np.array([k is None for k in keys])
-            doc_id = np.array([k or 0 for k in keys], dtype=np.int64)
-            n = np.array(lengths, dtype=np.int64)
+            doc_id, null, n = np.concatenate(keys), np.concatenate(nulls), np.concatenate(lengths)
             data = pack_shard(doc_id, null, n, b"".join(payload), id_bytes)
-            row = [(part << 32) | block, None if null[0] else keys[0], None if null[-1] else keys[-1], len(keys), int(n.sum()), doc_id.tobytes(), null.tobytes(), data]
+            row = [(part << 32) | block, None if null[0] else int(doc_id[0]), None if null[-1] else int(doc_id[-1]), len(n), int(n.sum()), doc_id.tobytes(), null.tobytes(), data]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, [pa.int64()] * 5 + [pa.binary()] * 3)], names=[c.split()[0] for c in SHARDS.split(", ")])
 
         for batch in batches:
-            for k, got in zip(batch.column(0).to_pylist(), ids.ids_many(batch.column(1).to_pylist())):
-                got += end
-                keys.append(k)
-                lengths.append(len(got) // id_bytes)
-                payload.append(got)
-                size += lengths[-1]
-                if size >= SHARD_IDS or len(keys) >= SHARD_DOCS:
+            ids, counts = with_end(*encoder(file, keeps_space, f"<u{id_bytes}").encode(batch.column(1)), end_id)
+            null = batch.column(0).is_null().to_numpy(zero_copy_only=False)
+            doc_id = batch.column(0).fill_null(0).to_numpy()
+            ends, at = np.cumsum(counts), 0
+            while at < len(counts):
+                before = int(ends[at - 1]) if at else 0
+                # up to the document that reaches the limit of ids, and no further than that of documents
+                end = min(int(np.searchsorted(ends, before + SHARD_IDS - ids_held)) + 1, at + SHARD_DOCS - docs_held, len(counts))
+                keys.append(doc_id[at:end])
+                nulls.append(null[at:end])
+                lengths.append(counts[at:end])
+                payload.append(ids[before : int(ends[end - 1])].tobytes())
+                docs_held, ids_held, at = docs_held + end - at, ids_held + int(ends[end - 1]) - before, end
+                if ids_held >= SHARD_IDS or docs_held >= SHARD_DOCS:
                     yield close()
-                    keys, lengths, payload, size, block = [], [], [], 0, block + 1
+                    keys, nulls, lengths, payload, docs_held, ids_held, block = [], [], [], [], 0, 0, block + 1
         if keys:
             yield close()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    rows = rows.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
+    tie = F.xxhash64("text")
+    rows = rows.repartitionByRange("doc_id", tie).sortWithinPartitions("doc_id", tie)
     return stored(rows.mapInArrow(shards, SHARDS), "token-shards")
 
 
@@ -220,12 +224,17 @@ def read_documents(shards: DataFrame) -> DataFrame:
 def lookup(shards: DataFrame, keys: DataFrame) -> DataFrame:
     """Ids of the documents named in ``keys(doc_id)``: doc_id, ids (array of long).
 
-    The shard directory (one small row a shard) routes keys by range, and only
-    shards with a key are opened. A key that is in no shard has no row.
+    Keys are routed twice: to the write's partitions, whose ranges are one small row each, and
+    by an equi-join on the partition to its shards; only shards with a key are opened. A key
+    that is in no shard has no row.
     """
-    directory = shards.select("shard", "lo", "hi")
+    least = F.coalesce("lo", F.lit(-(2**63)))
+    directory = shards.select("shard", F.shiftright("shard", 32).alias("part"), least.alias("lo"), F.coalesce("hi", F.lit(-(2**63))).alias("hi"))
+    ranges = directory.groupBy("part").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).collect()  # at most one row a shuffle partition
     wanted = keys.select(F.col("doc_id").cast("long").alias("key")).where("key is not null").distinct()
-    routed = wanted.join(directory, (F.col("key") >= F.coalesce("lo", F.lit(-(2**63)))) & (F.col("key") <= F.col("hi")))
+    known = F.array(*[F.struct(F.lit(r["part"]).alias("part"), F.lit(r["lo"]).alias("lo"), F.lit(r["hi"]).alias("hi")) for r in ranges])
+    inside = F.filter(known, lambda r: (r["lo"] <= F.col("key")) & (F.col("key") <= r["hi"])) if ranges else F.array().cast("array<struct<part:bigint,lo:bigint,hi:bigint>>")
+    routed = wanted.withColumn("part", F.explode(F.transform(inside, lambda r: r["part"]))).join(directory, "part").where("lo <= key and key <= hi")
     by_shard = routed.groupBy("shard").agg(F.collect_list("key").alias("wanted"))
 
     def get(batches):
@@ -245,9 +254,12 @@ def lookup(shards: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def with_starts(rows: DataFrame, shards: DataFrame) -> DataFrame:
-    """Adds ``start``, the ids of all documents before; sums of shards are added up, never rows."""
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    base = shards.select("shard", "n_ids").select("shard", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"))
+    """Adds ``start``, the ids of all documents before. Shards are added up within their partition, and partitions (as many as the shuffle had) among each other."""
+    sums = shards.select("shard", "n_ids", F.shiftright("shard", 32).alias("part"))
+    earlier = lambda w: F.coalesce(F.sum("n_ids").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = sums.groupBy("part").agg(F.sum("n_ids").alias("n_ids")).select("part", earlier(Window.orderBy("part")).alias("part_base"))
+    base = sums.select("part", "shard", earlier(Window.partitionBy("part").orderBy("shard")).alias("shard_base")).join(parts, "part")
+    base = base.select("shard", (F.col("part_base") + F.col("shard_base")).alias("base"))
     return rows.join(base, "shard").select("doc_id", (F.col("base") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32", "shard")
 
 
