@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._common import stored, table, text_or_empty
-from .tokenizing import default_file, encoder
+from .tokenizing import default_file, encoder, with_end
 
 CAPACITY = 4096
 #: Coarse bins of a sequence, and the most documents in a pattern.
@@ -217,20 +217,27 @@ def pieces(docs: DataFrame, file: str, end_id: int = 1, capacity: int = CAPACITY
     schema = PIECES + (", ids binary" if with_ids else "")
 
     def cut(batches):
-        ids = encoder(file, False, "<u4")
-        end, task, seen = int(end_id).to_bytes(4, "little"), TaskContext.get().partitionId(), defaultdict(int)
+        task, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, dtype=np.int64)
         for batch in batches:
-            out = []
-            for doc_id, got in zip(batch.column(0).to_pylist(), ids.ids_many(batch.column(1).to_pylist())):
-                got += end
-                for k, at in enumerate(range(0, len(got), 4 * capacity)):
-                    part = got[at : at + 4 * capacity]
-                    n = len(part) // 4
-                    out.append((doc_id, k, at // 4, n, zlib.crc32(part), task, seen[n], part))
-                    seen[n] += 1
-            names = [c.split()[0] for c in schema.split(", ")]
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kinds[i]) for i in range(len(names))], names=names)
+            ids, counts = with_end(*encoder(file, False, "<u4").encode(batch.column(1)), end_id)
+            many = -(-counts // capacity)  # pieces of each document
+            of = np.repeat(np.arange(len(counts)), many)
+            piece = np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
+            start = piece * capacity
+            length = np.minimum(counts[of] - start, capacity)
+            ends = np.cumsum(length)
+            order = np.argsort(length, kind="stable")
+            nth = np.empty(len(of), dtype=np.int64)
+            by_length = np.bincount(length, minlength=capacity + 1)
+            nth[order] = np.arange(len(of)) - np.repeat(np.cumsum(by_length) - by_length, by_length)
+            nth += seen[length]
+            seen += by_length
+            raw = memoryview(ids.tobytes())
+            parts = [raw[4 * (e - n) : 4 * e] for e, n in zip(ends.tolist(), length.tolist())]
+            columns = [batch.column(0).take(pa.array(of)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length, pa.int32()), pa.array([zlib.crc32(x) for x in parts], pa.int64()), pa.array(np.full(len(of), task), pa.int32()), pa.array(nth)]
+            if with_ids:
+                columns.append(pa.array([bytes(x) for x in parts], pa.binary()))
+            yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in schema.split(", ")])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     return stored(rows.mapInArrow(cut, schema), "pieces")
