@@ -2,15 +2,16 @@
 
 A page becomes a light tree. Each paragraph passes points for its length and
 its commas to its ancestors, all of them to its parent, half to the next, and
-less further up; a container's points are discounted by the share of its text
+less further up, ``LEVELS`` in all; a container's points are discounted by the share of its text
 that stands in links. The best container is kept together with those of its
 siblings that score near it or are long paragraphs with few links. What is
 never main text (menus, headers, footers, sidebars, forms, scripts, notices,
 adverts, comments of readers) is cut before scoring.
 
 Defined cases: null and empty html give the empty text, and so does a page
-without text; cut-off markup at the end of a page is dropped; rows that repeat
-give equal rows; other columns are ignored.
+without text; cut-off markup at the end of a page is dropped; very long and deeply
+nested pages take time in proportion to their length; rows that repeat
+give equal rows; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import table, text_or_empty
+from ._common import slices, table, text_or_empty
 
 # Element names of HTML by what they are to this operator.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -38,48 +39,78 @@ ENDS_P = BLOCK - {"body", "html", "caption", "td", "th", "tr", "tbody", "thead",
 IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 #: Words in class, id or role that mark what is not main text.
 UNLIKELY = re.compile(
+    r"(?:^|[\s_-])(?:ads?|ad(?:box|slot|unit|block|wrap|container)|advert\w*|adsense|breadcrumbs?|byline-share|comments?|comment(?:list|area|form|s?section)|discussion|respond|replies|disqus|consent|cookies?|copyright|dialog|footer|gdpr|masthead|topbar|login|menu|modal|nav\w*|newsletter|notification|pager|pagination|paywall|popup|promo\w*|recommend\w*|related|sharing|sidebar|signup|skip|social|sponsor\w*|subscribe|subscription|toolbar|widget|complementary|contentinfo)(?:$|[\s_-])",
+    re.I,
+)
+#: Words that mark it if they are a whole name, or part of one that does not speak of the article.
+WEAK = re.compile(r"(?:^|[_-])(?:alert|aside|banner|header|notices?|search|share|side|tags)(?:$|[_-])", re.I)
+OF_ARTICLE = re.compile(r"(?:^|[_-])(?:article|blog|body|content|entry|headline|post|story|text|title|by)(?:$|[_-])", re.I)
+LIKELY = re.compile(
     r"(?:^|[\s_-])(?:ads?|ad(?:box|slot|unit|block|wrap|container)|advert\w*|adsense|aside|banner|breadcrumbs?|byline-share|comments?|comment(?:list|area|form|s?section)|discussion|respond|replies|disqus|consent|cookies?|copyright|dialog|footer|gdpr|header|masthead|topbar|login|menu|modal|nav\w*|newsletter|notices?|notification|alert|pager|pagination|paywall|popup|promo\w*|recommend\w*|related|search|share|sharing|side|sidebar|signup|skip|social|sponsor\w*|subscribe|subscription|tags|toolbar|widget|complementary|contentinfo)(?:$|[\s_-])",
     re.I,
 )
 LIKELY = re.compile(r"(?:^|[\s_-])(?:article|body|content|entry|main|page|post|story|text)(?:$|[\s_-])", re.I)
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(>|\Z)""", re.S)
-_ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden|style)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)""", re.S)
+#: The next attribute of a tag, or its end; a quote counts only where a value starts.
+_ATTR = re.compile(r"""[\s/]*(?:(>)|([^\s/>][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"'][^\s>]*)|(?=>)|(["'])))?)""")
 #: Words that mark an article element as a reader's, an advert's or a teaser of another page.
 NOT_ARTICLE = re.compile(r"(?:^|[\s_-])(?:comments?|repl(?:y|ies)|ads?|advert\w*|promo\w*|sponsor\w*|related|teaser)(?:$|[\s_-])", re.I)
 _HIDDEN = re.compile(r"display\s*:\s*none", re.I)
+#: Ancestors that a paragraph passes points to.
+LEVELS = 6
+#: What stands beside an article even where it holds article elements.
+_SIDE = re.compile(r"comments?|repl(?:y|ies)|related", re.I)
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "marks", "cut", "points", "chars", "linked")
+    __slots__ = ("tag", "parent", "children", "marks", "cut", "points", "chars", "linked", "holds", "size")
 
     def __init__(self, tag: str, parent: Node | None, marks: str = "", cut: bool = False):
         self.tag, self.parent, self.marks, self.cut = tag, parent, marks, cut
         self.children: list = []
         self.points, self.chars, self.linked = 0.0, 0, 0
+        self.holds, self.size = False, 0
 
 
-def _marks(attrs: str) -> tuple[str, bool]:
+def _attributes(html: str, at: int) -> tuple[int, str, bool, bool]:
+    """Reads a tag's attributes from ``at``: its end (-1 if the page ends first), class, id and role, whether it is hidden, whether it closes itself."""
     marks, hidden = [], False
-    for name, value in _ATTR.findall(attrs):
-        value = value.strip("\"'")
-        name = name.lower()
-        if name in ("class", "id", "role"):
-            marks.append(value)
-        elif name == "aria-hidden":
-            hidden |= value.lower() == "true"
-        elif name == "style":
-            hidden |= bool(_HIDDEN.search(value))
-        else:
+    while m := _ATTR.match(html, at):
+        if m[1]:
+            return m.end(), " ".join(marks), hidden, html[m.start(1) - 1] == "/"
+        if m[6]:  # a quote that never ends
+            return -1, "", False, False
+        at = m.end()
+        name = m[2].lower()
+        if name == "hidden":
             hidden = True
-    return " ".join(marks), hidden or bool(re.search(r"\shidden(?=\s|/|$)", attrs))
+        elif name in ("class", "id", "role", "aria-hidden", "style"):
+            value = m[3] or m[4] or m[5] or ""
+            if name == "aria-hidden":
+                hidden |= value.lower() == "true"
+            elif name == "style":
+                hidden |= bool(_HIDDEN.search(value))
+            else:
+                marks.append(value)
+    return -1, "", False, False
 
 
 def parse(html: str) -> Node:
     """A tree of elements and strings. Tolerant: stray ends are ignored, open elements end with the page."""
     root = Node("#root", None)
-    wrappers: list[Node] = []
+    nodes, wrapped = [root], False
+    opened: dict[str, int] = {}  # open elements by name, so that nothing is looked for in vain
     at, node, n = 0, root, len(html)
+
+    def close(x: Node) -> Node:
+        """Closes all up to ``x``; returns its parent."""
+        y = node
+        while y is not x.parent:
+            opened[y.tag] -= 1
+            y = y.parent
+        return y
+
     while at < n:
         m = _TOKEN.search(html, at)
         if m is None:
@@ -94,86 +125,85 @@ def parse(html: str) -> Node:
         if tag is None:
             continue
         tag = tag.lower()
-        if not m[4]:
+        at, marks, hidden, itself = _attributes(html, at)
+        if at < 0:
             break  # the page ends inside a tag
         if m[1]:
-            x = node
-            while x is not root and x.tag != tag:
-                x = x.parent
-            if x is not root:
-                node = x.parent
+            if opened.get(tag):
+                x = node
+                while x.tag != tag:
+                    x = x.parent
+                node = close(x)
             continue
-        if tag in ENDS_P:
+        if tag in ENDS_P and opened.get("p"):
             x = node
             while x is not root and x.tag != "p" and x.tag not in ("td", "th", "div", "article", "section", "li"):
                 x = x.parent
             if x.tag == "p":
-                node = x.parent
-        if tag in IMPLIED:
+                node = close(x)
+        if tag in IMPLIED and any(opened.get(t) for t in IMPLIED[tag][0]):
             closes, inside = IMPLIED[tag]
-            x = node
+            x, last = node, None
             while x is not root and x.tag not in inside:
                 if x.tag in closes:
-                    node = x.parent
+                    last = x
                 x = x.parent
-        marks, hidden = _marks(m[3]) if m[3] else ("", False)
+            if last is not None:
+                node = close(last)
         new = Node(tag, node, marks, hidden or tag in CUT)
         node.children.append(new)
+        nodes.append(new)
+        wrapped |= tag in WRAPPERS and not hidden
         if tag in WRAPPERS and not hidden:
-            wrappers.append(new)
-        if tag in VOID or (m[3].endswith("/") and tag in ("svg", "math")):
+            new.size = -1  # may be kept
+        if tag in VOID or (itself and tag in ("svg", "math")):
             continue
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
             at = end.end() if end else n
             continue
         node = new
-    if wrappers:
-        _keep_wrappers(root, wrappers)
+        opened[tag] = opened.get(tag, 0) + 1
+    _weigh(root, nodes, wrapped)
     return root
 
 
-def _text_size(node: Node) -> int:
-    size, stack = 0, [node]
-    while stack:
-        for c in stack.pop().children:
-            if isinstance(c, str):
-                size += len(c.strip())
-            elif not c.cut:
-                stack.append(c)
-    return size
-
+def _weigh(root: Node, nodes: list[Node], wrapped: bool) -> None:
+    """Which elements hold the article, and what wraps it, or, on a page without one, more text than stands outside: that stays.
 
-def _keep_wrappers(root: Node, wrappers: list[Node]) -> None:
-    """Keeps what wraps the article, or, on a page without one, more text than stands outside."""
-    for x in reversed(wrappers):
-        if _holds_article(x):
+    ``nodes`` are in page order, so that their reverse has children before parents.
+    """
+    for x in reversed(nodes):
+        x.holds = any(isinstance(c, Node) and not c.cut and (c.holds or c.tag == "main" or c.tag == "article" and not NOT_ARTICLE.search(c.marks)) for c in x.children)
+        if x.size < 0 and x.holds and not _SIDE.search(x.marks):
             x.cut = False
-    if _holds_article(root):
+    if not wrapped or root.holds:
         return
-    outside = _text_size(root)
-    for x in reversed(wrappers):
-        if x.cut and (size := _text_size(x)) > outside:
+    wrappers = [x for x in nodes if x.size < 0]
+
+    def weigh(x: Node) -> int:
+        return sum(len(c.strip()) if isinstance(c, str) else 0 if c.cut else c.size for c in x.children)
+
+    for x in reversed(nodes):
+        x.size = weigh(x)
+    outside = root.size
+    at = set(map(id, wrappers))
+    for x in reversed(nodes):
+        x.size = weigh(x)  # wrappers inside may be kept by now
+        if id(x) in at and x.cut and x.size > outside:
             x.cut = False
-            while x is not root and not x.cut:
-                x = x.parent
-            outside += size if x is root else 0  # inside another that is cut, it counts with that one
+            y = x
+            while y is not root and not y.cut:
+                y = y.parent
+            outside += x.size if y is root else 0  # inside another that is cut, it counts with that one
 
 
 def _spaced(parts: list[str]) -> str:
     return " ".join("".join(parts).split())
 
 
-def _holds_article(node: Node) -> bool:
-    """Whether an element of an unlikely name wraps the article itself, as a layout with a sidebar may."""
-    stack = [node]
-    while stack:
-        for c in stack.pop().children:
-            if isinstance(c, Node) and not c.cut:
-                if c.tag == "main" or c.tag == "article" and not NOT_ARTICLE.search(c.marks):
-                    return not re.search(r"comments?|repl(?:y|ies)|related", node.marks, re.I)
-                stack.append(c)
-    return False
+def _unlikely(marks: str) -> bool:
+    return bool(UNLIKELY.search(marks)) or any(WEAK.search(name) and not OF_ARTICLE.search(name) for name in marks.split())
 
 
 def _score(root: Node, cut_unlikely: bool) -> list[Node]:
@@ -183,7 +213,8 @@ def _score(root: Node, cut_unlikely: bool) -> list[Node]:
         x = stack.pop()
         order.append(x)
         if cut_unlikely and x.marks and not x.cut and x.tag not in ("html", "body", "main", "#root"):
-            x.cut = bool(NOT_ARTICLE.search(x.marks)) if x.tag == "article" else bool(UNLIKELY.search(x.marks)) and not _holds_article(x)
+            # an element of an unlikely name may wrap the article itself, as a layout with a sidebar does
+            x.cut = bool(NOT_ARTICLE.search(x.marks)) if x.tag == "article" else _unlikely(x.marks) and not (x.holds and not _SIDE.search(x.marks))
         if not x.cut:
             stack += [c for c in x.children if isinstance(c, Node)]
     own: dict[int, tuple[int, int]] = {}
@@ -211,7 +242,7 @@ def _score(root: Node, cut_unlikely: bool) -> list[Node]:
         if inline and x.tag not in ("html", "body"):
             points = (1 + commas + min(inline / 100, 3)) * (1 - min(1.0, x.linked / max(1, x.chars)))
             p, level = x.parent, 0
-            while p is not None and p.tag in BLOCK | {"#root"}:
+            while p is not None and level < LEVELS and (p.tag in BLOCK or p.tag == "#root"):
                 p.points += points / (1 if level == 0 else 2 if level == 1 else 3 * level)
                 scored[id(p)] = p
                 p, level = p.parent, level + 1
@@ -262,11 +293,11 @@ def _with_rest_of_main(article: Node, near: list) -> list:
         return near
     main, x, level = x, article, max(10.0, 0.2 * article.points)
     while x is not main:
-        beside = []
+        beside, kept = [], set(map(id, near))
         for c in x.parent.children:
             if c is x and x is not article:
                 beside += near
-            elif isinstance(c, str) or any(c is k for k in near):
+            elif isinstance(c, str) or id(c) in kept:
                 beside.append(c)
             elif not c.cut and c.tag != "article":
                 density = c.linked / max(1, c.chars)
@@ -320,7 +351,7 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of ``pages(page_id, url, html)``."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             text = [main_text(h) for h in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
