@@ -1,27 +1,31 @@
 """Document fingerprints from closed syncmers, in DataFrame functions alone (operator 3).
 
-The alphabet of a text is its words (what white space parts), or its characters
-where words are longer than ``LONG_WORDS`` characters on average, as in scripts
-without spaces; texts under ``SHORT`` characters have shorter k-mers of characters. A k-mer is kept where the smallest hash of its inner pairs of
-tokens is that of the first or the last pair: W pairs, so k = W + 1 tokens.
-This looks at nothing outside the k-mer, so the same passage keeps the same
-anchors in any document. A fingerprint is all distinct anchor hashes, ascending; with the
-first position of each it is matched, and the likeness of two texts is the share of matches in
-their union. Texts of different alphabets are compared in the finer one.
-
-Tokens are worked on in blocks that overlap by k - 1, so that a very long text
-never needs arrays of its own length for each step.
+The alphabet is that of bytes of UTF-8. A k-mer of ``K`` bytes is kept where the smallest hash of
+its ``W`` inner substrings of ``S`` bytes, the leftmost of equal ones, is that of the
+first or the last. This looks at nothing outside the k-mer, so the same passage
+keeps the same anchors in any document. Before its first byte a text has K - 1 zero bytes, so that
+each byte ends one k-mer and short texts have anchors too. A fingerprint is all distinct anchor
+hashes, ascending; with the first position of each it is matched, and the
+likeness of two texts is the share of matches in their union.
+
+The hash of an inner substring carries its place in the low bits, so that the
+minimum of a window says where it is; minima of windows come by doubling. Bytes are worked on in
+blocks that overlap by K - 1, so that a very long text never needs arrays of its
+own length for each step.
+
+An edited text keeps the anchors of the text before the cut and has those of the next
+document's beginning; only the k-mers over the cut are hashed anew.
 
 The next document comes from one range exchange: bucket borders and each
-bucket's top doc_id are at most one number a shuffle partition, and each
+bucket's top doc_id are at most one number a shuffle partition, each
 bucket also gets the top row of the bucket below it, which its own last row is
-followed by.
+followed by, and is a partition of its own.
 
 Defined cases: null text is the empty string, with the empty fingerprint; two
 empty fingerprints have likeness 1, an empty and another one 0; a text without
-a syncmer (shorter than k, say) has the hash of the whole text as its anchor; rows
+a syncmer has the hash of the whole text as its anchor; rows
 with equal doc_id follow each other by a hash of their text; null doc_id comes
-last; a single document follows itself; other columns are ignored.
+last; a single document follows itself; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,11 +35,11 @@ from pyspark.sql import functions as F
 
 from ._common import table, text_or_empty
 
-#: Inner pairs of a k-mer of words, and of one of characters.
-WORD_PAIRS, CHAR_PAIRS, LONG_WORDS = 4, 16, 24
-#: Characters under which a text is short, and the inner pairs of its k-mers.
-SHORT, SHORT_PAIRS = 160, 4
-BLOCK = 16_384
+#: Bytes of an inner substring, inner substrings of a k-mer (a power of two), and bytes of a k-mer.
+S, W = 8, 16
+K = S + W - 1
+#: k-mers of a block, and the low bits of a hash that hold a place in one.
+BLOCK, PLACES = 16_384, (1 << 15) - 1
 _ALL = 1 << 30
 
 
@@ -48,100 +52,114 @@ def _ahead(x: Column, n: int) -> Column:
     return F.slice(x, n + 1, _ALL)
 
 
-def _hash32(*parts: Column) -> Column:
-    return F.xxhash64(*parts).bitwiseAND(0xFFFFFFFF)
+def _hash32(x: Column) -> Column:
+    return F.xxhash64(x).bitwiseAND(0xFFFFFFFF)
 
 
-def _block_anchors(tokens: Column, base: Column, pairs: int) -> Column:
-    """array<struct<pos, hash>> of one block; entries near its end that lack tokens are never kept."""
+def _packed(hash: Column, pos: Column) -> Column:
+    return F.shiftleft(hash, 31) + pos
 
-    def from_tokens(t: Column) -> Column:
-        inner = F.zip_with(t, _ahead(t, 1), lambda a, b: F.xxhash64(a, b))
-        return let(inner, lambda h: let(window_min(h), lambda m: kept(h, m, F.size(t))))
 
-    def window_min(h: Column) -> Column:
+def hash_of(x: Column) -> Column:
+    return F.shiftrightunsigned(x, 31)
+
+
+def pos_of(x: Column) -> Column:
+    return x.bitwiseAND(2**31 - 1)
+
+
+def _least_of_two(n: int):
+    """Each entry or the one ``n`` places ahead, whichever is less."""
+    return lambda x: F.zip_with(x, _ahead(x, n), lambda p, q: F.least(p, q))
+
+
+def _block_anchors(b: Column, base: Column) -> Column:
+    """Anchors among the k-mers of bytes (at least K of them), the first of which ends at byte ``base + 1`` of its text."""
+
+    def places(b: Column) -> Column:
+        code = lambda i: F.xxhash64(F.substring(b, i, F.lit(S))).bitwiseAND(~PLACES).bitwiseOR(i)
+        least = F.transform(F.sequence(F.lit(1), F.octet_length(b) - (S - 1)), code)
         step = 1
-        while step < pairs:
-            h = let(h, lambda x, n=step: F.zip_with(x, _ahead(x, n), lambda a, b: F.least(a, b)))
+        while step < W:
+            least = let(least, _least_of_two(step))
             step *= 2
-        return h
+        whole = let(least, lambda x: F.slice(x, 1, F.size(x) - (W - 1)))
+        ends = F.transform(whole, lambda x, i: let(x.bitwiseAND(PLACES) - i, lambda at: F.when((at == 1) | (at == W), i + 1)))
+        return F.transform(F.filter(ends, lambda i: i.isNotNull()), lambda i: _packed(_hash32(F.substring(b, i, F.lit(K))), i + base))
 
-    def kept(h: Column, m: Column, n: Column) -> Column:
-        last = pairs - 1
-        at = F.transform(m, lambda x, i: F.when((i < n - pairs) & ((x == F.get(h, i)) | (x == F.get(h, i + last))), i))
-        at = F.filter(at, lambda i: i.isNotNull())
-        covers = [*range(0, last, 2), last]  # pairs that hold every token of the k-mer
-        return F.transform(at, lambda i: F.struct((i + base).alias("pos"), _hash32(*(F.get(h, i + c) for c in covers)).alias("hash")))
+    return let(b, places)
 
-    return let(tokens, from_tokens)
 
+def _anchors_of(padded: Column) -> Column:
+    """Anchors of bytes that begin with K - 1 that end no k-mer."""
 
-def _anchors_of(tokens: Column, pairs: int) -> Column:
-    def blocks(t: Column) -> Column:
-        starts = F.sequence(F.lit(0), F.floor(F.greatest(F.size(t) - pairs - 1, F.lit(0)) / BLOCK).cast("int"))
-        return F.flatten(F.transform(starts, lambda b: _block_anchors(F.slice(t, b * BLOCK + 1, F.lit(BLOCK + pairs)), b * BLOCK, pairs)))
+    def blocks(b: Column) -> Column:
+        n = F.octet_length(b) - (K - 1)
+        starts = F.sequence(F.lit(0), F.floor((n - 1) / BLOCK).cast("int"))
+        some = F.flatten(F.transform(starts, lambda k: _block_anchors(F.substring(b, k * BLOCK + 1, F.lit(BLOCK + K - 1)), k * BLOCK)))
+        return F.when(n > 0, some).otherwise(F.array().cast("array<bigint>"))
 
-    return let(tokens, blocks)
+    return let(padded, blocks)
 
 
-def alphabet(text: Column) -> Column:
-    """0 for words, 1 for characters, 2 for characters of a short text: from coarse to fine."""
-    n = F.char_length(text)
-    spaces = n - F.char_length(F.replace(text, F.lit(" "), F.lit("")))
-    return F.when(n < SHORT, 2).when((spaces + 1) * LONG_WORDS >= n, 0).otherwise(1)
+def _padded(text: Column) -> Column:
+    return F.concat(F.lit(bytes(K - 1)), text.cast("binary"))
 
 
-def anchors(text: Column, kind: Column | None = None) -> Column:
-    """Closed syncmers of a text: array<struct<pos, hash>>, positions in tokens of its alphabet or of a given one."""
-    kind = alphabet(text) if kind is None else kind
-    words, chars = F.split(text, r"[ \t\r\n]+"), F.split(text, "")
-    return F.when(kind == 0, _anchors_of(words, WORD_PAIRS)).when(kind == 1, _anchors_of(chars, CHAR_PAIRS)).otherwise(_anchors_of(chars, SHORT_PAIRS))
+def anchors(text: Column) -> Column:
+    """Closed syncmers of a text in the order of their places: hash * 2**31 + the byte, from 1, at which the k-mer ends."""
+    return _anchors_of(_padded(text))
 
 
-def firsts(found: Column, text: Column) -> Column:
-    """Each distinct anchor hash with its first position, ascending, as hash * 2**31 + pos; the hash of the whole text where there are no anchors."""
-    packed = F.sort_array(F.transform(found, lambda x: F.shiftleft(x["hash"], 31) + x["pos"]))
-    some = let(packed, lambda s: F.filter(s, lambda x, i: (i == 0) | (_hash_of(F.get(s, i - 1)) != _hash_of(x))))
-    return let(some, lambda x: F.when((F.size(x) > 0) | (F.char_length(text) == 0), x).otherwise(F.array(F.shiftleft(_hash32(text), 31))))
+def edited_anchors(text: Column, own: Column, cut: Column, following: Column, after: Column, part: Column) -> Column:
+    """Anchors of the first ``cut`` bytes of a text and the first ``part`` of the following one, from those of both."""
+    behind = F.substring(_padded(text), cut + 1, F.lit(K - 1))  # the K - 1 bytes before the cut
+    over = F.concat(behind, F.substring(following.cast("binary"), F.lit(1), F.least(part, F.lit(K - 1))))
+    kept = F.filter(own, lambda x: pos_of(x) <= cut)
+    moved = F.filter(after, lambda x: (pos_of(x) >= K) & (pos_of(x) <= part))
+    shifted = lambda xs: F.transform(xs, lambda x: x + cut)
+    return F.concat(kept, shifted(_anchors_of(over)), shifted(moved))
 
 
-def _hash_of(x: Column) -> Column:
-    return F.shiftrightunsigned(x, 31)
+def firsts(found: Column, text: Column) -> Column:
+    """Each distinct anchor hash with its first place, ascending; the hash of the whole text where there are no anchors."""
+    some = let(F.sort_array(found), lambda s: F.filter(s, lambda x, i: (i == 0) | (hash_of(F.get(s, i - 1)) != hash_of(x))))
+    return let(some, lambda x: F.when((F.size(x) > 0) | (F.octet_length(text) == 0), x).otherwise(F.array(_packed(_hash32(text), F.lit(0)))))
 
 
 def hashes(x: Column) -> Column:
-    return F.transform(x, _hash_of)
+    return F.transform(x, hash_of)
 
 
 def matches(a: Column, b: Column) -> Column:
     """Positional matching: (a_pos, b_pos) of the hashes that two results of :func:`firsts` share."""
-    side = lambda x, k: F.transform(x, lambda v: F.struct(_hash_of(v).alias("hash"), F.lit(k).alias("side"), v.bitwiseAND(2**31 - 1).alias("pos")))
+    side = lambda x, k: F.transform(x, lambda v: F.struct(hash_of(v).alias("hash"), F.lit(k).alias("side"), pos_of(v).alias("pos")))
     pair = lambda x, y: F.when((x["side"] == 0) & (y["hash"] == x["hash"]), F.struct(x["pos"].alias("a_pos"), y["pos"].alias("b_pos")))
     both = F.sort_array(F.concat(side(a, 0), side(b, 1)))
     return let(both, lambda s: F.filter(F.transform(s, lambda x, i: pair(x, F.get(s, i + 1))), lambda x: x.isNotNull()))
 
 
+def matched(a: Column, b: Column) -> Column:
+    """How many pairs :func:`matches` gives: hashes are distinct on either side, so equal neighbours are a pair."""
+    both = F.sort_array(F.concat(a, b))
+    return let(both, lambda s: F.size(F.filter(s, lambda x, i: hash_of(x) == hash_of(F.get(s, i + 1)))))
+
+
 def likeness(a: Column, b: Column) -> Column:
     """Matches of two results of :func:`firsts` in proportion to their union, 0 to 1."""
-    share = let(F.size(matches(a, b)), lambda m: m / F.greatest(F.size(a) + F.size(b) - m, F.lit(1)))
+    share = let(matched(a, b), lambda m: m / F.greatest(F.size(a) + F.size(b) - m, F.lit(1)))
     return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(share)
 
 
-def near(text: Column, own: Column, other_text: Column, other: Column) -> Column:
-    """Likeness of two texts with what :func:`firsts` gave for each; anew in the finer alphabet where theirs differ."""
-    kind = F.greatest(alphabet(text), alphabet(other_text))
-    again = let(firsts(anchors(text, kind), text), lambda a: let(firsts(anchors(other_text, kind), other_text), lambda b: likeness(a, b)))
-    return F.when(alphabet(text) == alphabet(other_text), likeness(own, other)).otherwise(again)
-
-
 def as_string(x: Column) -> Column:
     return F.array_join(F.transform(x, lambda h: F.lpad(F.lower(F.hex(h)), 8, "0")), "")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, anchors and fingerprint (array) of ``docs(doc_id, text)``."""
-    rows = docs.select("doc_id", text_or_empty().alias("text")).withColumn("anchors", anchors(F.col("text")))
-    return rows.select("doc_id", F.char_length("text").alias("n_chars"), "anchors", hashes(firsts(F.col("anchors"), F.col("text"))).alias("fingerprint"))
+    rows = docs.select("doc_id", text_or_empty().alias("text")).withColumn("found", anchors(F.col("text")))
+    as_pairs = F.transform("found", lambda x: F.struct(pos_of(x).alias("pos"), hash_of(x).alias("hash")))
+    return rows.select("doc_id", F.char_length("text").alias("n_chars"), as_pairs.alias("anchors"), hashes(firsts(F.col("found"), F.col("text"))).alias("fingerprint"))
 
 
 def in_order():
@@ -170,26 +188,23 @@ def with_next(docs: DataFrame) -> DataFrame:
     )
     rows = rows.withColumn("bucket", bucket).select("doc_id", "text", "key", "tie", F.explode(places).alias("place"))
     rows = rows.select("doc_id", "text", "key", "tie", "place.bucket", "place.guest")
-    rows = rows.repartition(n, "bucket")
+    rows = rows.repartitionById(n, F.col("bucket").cast("int"))
     return rows.withColumn("next_text", F.lead("text").over(in_order()))
 
 
 def op3_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = with_next(table(spark, sf_dir, "documents"))
-    text, following = F.col("text"), F.coalesce("next_text", F.lit(""))
-    n = F.char_length(text)
-    cut = n - F.floor(n / 3).cast("int")
-    rows = rows.withColumn("cut", cut).withColumn("n_chars", n)
-    part = F.when(F.col("cut") < F.col("n_chars"), F.substring(following, F.lit(1), F.col("n_chars") - F.col("cut"))).otherwise("")
-    rows = rows.withColumn("part", part)
-    rows = rows.withColumn("edited", F.when(F.col("guest") == 1, "").otherwise(F.concat(F.substring(text, F.lit(1), F.col("cut")), F.col("part"))))
-    rows = rows.withColumns({c: firsts(anchors(F.col(t)), F.col(t)) for c, t in (("f_own", "text"), ("f_edited", "edited"))})
-    rows = rows.select(
-        "doc_id", F.col("n_chars").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "bucket", "guest", "key", "tie", "text", "next_text", "f_own",
-        as_string(hashes(F.col("f_edited"))).alias("edited_fingerprint"), near(F.col("text"), F.col("f_own"), F.col("edited"), F.col("f_edited")).alias("near_edited"),
-    )
-    rows = rows.withColumn("following", F.lead("f_own").over(in_order())).where("guest = 0")
+    rows = with_next(table(spark, sf_dir, "documents")).withColumn("next_text", F.coalesce("next_text", F.lit("")))
+    n = F.char_length("text")
+    rows = rows.withColumn("n_chars", n.cast("long")).withColumn("moved", F.floor(n / 3).cast("int"))
+    rows = rows.withColumns({"kept": F.substring("text", F.lit(1), n - F.col("moved")), "part": F.substring("next_text", F.lit(1), F.col("moved"))})
+    rows = rows.withColumns({"cut": F.octet_length("kept"), "more": F.octet_length("part"), "found": anchors(F.col("text"))})
+    rows = rows.withColumn("own", firsts(F.col("found"), F.col("text")))
+    none = F.array().cast("array<bigint>")
+    after = {c: F.coalesce(F.lead(x).over(in_order()), none) for c, x in (("found_next", "found"), ("own_next", "own"))}
+    rows = rows.withColumns(after).where("guest = 0").withColumn("edited", F.concat("kept", "part"))
+    edited = edited_anchors(F.col("text"), F.col("found"), F.col("cut"), F.col("next_text"), F.col("found_next"), F.col("more"))
+    rows = rows.withColumn("own_edited", firsts(edited, F.col("edited")))
     return rows.select(
-        "doc_id", "n_chars", "edited_sha256", as_string(hashes(F.col("f_own"))).alias("fingerprint"), "edited_fingerprint", "near_edited",
-        near(F.col("text"), F.col("f_own"), F.coalesce("next_text", F.lit("")), F.coalesce("following", F.array().cast("array<bigint>"))).alias("near_next"),
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), as_string(hashes(F.col("own"))).alias("fingerprint"), as_string(hashes(F.col("own_edited"))).alias("edited_fingerprint"),
+        likeness(F.col("own"), F.col("own_edited")).alias("near_edited"), likeness(F.col("own"), F.col("own_next")).alias("near_next"),
     )
