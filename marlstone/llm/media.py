@@ -6,8 +6,8 @@ of it where the rows would pass the format's limit), written by the encoder,
 stored as a table, and decoded from the stored bytes.
 
 Defined cases: null text is the empty string, whose payload is 64 zeros; equal
-texts give equal bytes and features; rows that repeat are stored each; other
-columns are ignored.
+texts give equal bytes and features; rows that repeat are stored each; an empty table gives an
+empty result; a text over the format's 2**28 pixels is an error; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import webp
-from ._common import stored, table, text_or_empty
+from ._common import slices, stored, table, text_or_empty
 
 WIDTH, UNIT = 64, 64
 
@@ -55,7 +55,7 @@ def write_media(docs: DataFrame) -> DataFrame:
     """Stores doc_id, n_bytes and media (a WebP file) of ``docs(doc_id, text)``; returns the table."""
 
     def write(batches):
-        for batch in batches:
+        for batch in slices(batches):
             raws = [t.encode() for t in batch.column(1).to_pylist()]
             media = [webp.encode_samples(samples_of(raw)) for raw in raws]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(r) for r in raws], pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
@@ -69,7 +69,7 @@ def pixels(media: DataFrame) -> DataFrame:
     kept = [n for n in media.columns if n != "media"]
 
     def read(batches):
-        for batch in batches:
+        for batch in slices(batches):
             images = [webp.decode(m) for m in batch.column("media").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(n) for n in kept), pa.array([i.shape[1] for i in images], pa.int32()), pa.array([i.shape[0] for i in images], pa.int32()), pa.array([i.reshape(-1).astype(np.int64) for i in images], pa.list_(pa.int64()))],
@@ -87,7 +87,7 @@ def read_media(media: DataFrame) -> DataFrame:
     """Decodes the stored files and describes what they hold."""
 
     def read(batches):
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for doc_id, n, data in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n_bytes", "media"))):
                 samples = webp.decode_samples(data)

@@ -5,10 +5,10 @@ image), back-references with the short-distance map, the colour cache, and the
 predictor, cross-colour, subtract-green and palette transforms. Images are
 arrays ``uint32[height, width]`` of ARGB.
 
-Streams whose only varying channel is green and that hold literals alone, as
+Streams whose only varying channel is green, with one group and no cache, as
 :func:`encode_samples` writes them, are decoded without a step per pixel and
-channel: code lengths are looked up for every bit position at once, and one
-light walk finds the positions where codes start.
+channel: code lengths are looked up for every bit position at once, one
+light walk finds the positions where codes start, and back-references are copied as wholes.
 """
 
 from __future__ import annotations
@@ -202,29 +202,66 @@ def _prefix_value(r: BitReader, s: int) -> int:
     return ((2 + (s & 1)) << extra) + r.read(extra) + 1
 
 
-def _literals_of_green(r: BitReader, code: PrefixCode, n: int) -> np.ndarray:
-    """``n`` symbols of one code that fill the stream without a break."""
-    if code.single is not None:
+def _distance(d: int, width: int) -> int:
+    """Pixels back, of a distance code."""
+    if d > 120:
+        return d - 120
+    x, y = NEAR[d - 1]
+    return max(1, x + y * width)
+
+
+def _green_stream(r: BitReader, code: PrefixCode, far: PrefixCode, n: int, width: int) -> np.ndarray:
+    """``n`` values of the green channel, from literals and back-references of one code."""
+    if code.single is not None and code.single < 256:
         return np.full(n, code.single)
     start = r.at
     raw = np.frombuffer(r.data + b"\0" * 8, np.uint8)[start >> 3 :].astype(np.uint32)
     word = raw[:-3] | (raw[1:-2] << _U32(8)) | (raw[2:-1] << _U32(16))
     mask = _U32((1 << code.bits) - 1)
+    literal = np.where(code.symbols < 256, code.lengths, 0).astype(np.uint8)
     size = np.empty((len(word), 8), dtype=np.uint8)
     for k in range(8):
-        size[:, k] = code.lengths[(word >> _U32(k)) & mask]
+        size[:, k] = literal[(word >> _U32(k)) & mask]
     sizes = size.tobytes()
-    at, p = [], start & 7
+    at, p, count = [], start & 7, 0
     put = at.append
+    copies = []  # (literals before, length, pixels back)
+    copied = 0
     try:
-        for _ in range(n):
-            put(p)
-            p += sizes[p]
+        while count < n:
+            size_here = sizes[p]
+            if size_here:
+                put(p)
+                p += size_here
+                count += 1
+                continue
+            r.seek((start & ~7) + p)
+            length = _prefix_value(r, r.symbol(code) - 256)
+            d = _distance(_prefix_value(r, r.symbol(far)), width)
+            if d > count or count + length > n:
+                raise ValueError("back-reference outside the image")
+            copies.append((len(at), length, d))
+            copied += length
+            count += length
+            p = r.at - (start & ~7)
     except IndexError:
         raise ValueError("stream ends early") from None
     places = np.array(at, dtype=np.int64)
     r.seek((start & ~7) + p)
-    return code.symbols[(word[places >> 3] >> (places & 7).astype(np.uint32)) & mask]
+    values = code.symbols[(word[places >> 3] >> (places & 7).astype(np.uint32)) & mask]
+    if not copies:
+        return values
+    out, k, seen = np.empty(n, dtype=np.int64), 0, 0
+    for before, length, d in copies:
+        out[k : k + before - seen] = values[seen:before]
+        k, seen = k + before - seen, before
+        if d >= length:
+            out[k : k + length] = out[k - d : k - d + length]
+        else:
+            out[k : k + length] = np.resize(out[k - d : k], length)
+        k += length
+    out[k:] = values[seen:]
+    return out
 
 
 def _read_pixels(r: BitReader, width: int, height: int, top: bool) -> np.ndarray:
@@ -238,10 +275,10 @@ def _read_pixels(r: BitReader, width: int, height: int, top: bool) -> np.ndarray
         groups = int(meta.max()) + 1
     codes = [_read_group(r, cache_bits) for _ in range(groups)]
     n = width * height
-    green, red, blue, alpha, _ = codes[0]
-    if groups == 1 and not cache_bits and None not in (red.single, blue.single, alpha.single) and (green.single or 0) < 256 and not (green.symbols >= 256).any():
+    green, red, blue, alpha, far = codes[0]
+    if groups == 1 and not cache_bits and None not in (red.single, blue.single, alpha.single) and (green.single or 0) < 256:
         rest = (alpha.single << 24) | (red.single << 16) | blue.single
-        return ((_literals_of_green(r, green, n).astype(np.uint32) << _U32(8)) | _U32(rest)).reshape(height, width)
+        return ((_green_stream(r, green, far, n, width).astype(np.uint32) << _U32(8)) | _U32(rest)).reshape(height, width)
     out: list[int] = []
     cache = [0] * (1 << cache_bits) if cache_bits else None
     shift, cached = 32 - cache_bits, 0
@@ -261,12 +298,7 @@ def _read_pixels(r: BitReader, width: int, height: int, top: bool) -> np.ndarray
             out.append((alpha << 24) | (red << 16) | (s << 8) | blue)
         elif s < 280:
             length = _prefix_value(r, s - 256)
-            d = _prefix_value(r, r.symbol(group[4]))
-            if d > 120:
-                d -= 120
-            else:
-                x, y = NEAR[d - 1]
-                d = max(1, x + y * width)
+            d = _distance(_prefix_value(r, r.symbol(group[4])), width)
             if d > k or k + length > n:
                 raise ValueError("back-reference outside the image")
             for _ in range(length):
@@ -358,6 +390,15 @@ def _prediction(flat: list[int], k: int, width: int, mode: int) -> int:
 
 def unpredict(argb: np.ndarray, modes: np.ndarray, bits: int) -> np.ndarray:
     height, width = argb.shape
+    only = np.unique((modes >> _U32(8)) & _U32(15))
+    if len(only) == 1 and only[0] in (1, 2):  # left or top everywhere: running sums
+        c = _channels(argb).astype(np.int64)
+        c[0, 0, 0] += 255
+        if only[0] == 1:
+            c[:, 0] = np.cumsum(c[:, 0], axis=0)
+            return _argb(np.cumsum(c, axis=1) & 0xFF)
+        c[0] = np.cumsum(c[0], axis=0)
+        return _argb(np.cumsum(c, axis=0) & 0xFF)
     residual, flat = argb.reshape(-1).tolist(), []
     kinds = ((modes >> _U32(8)) & _U32(15)).tolist()
     for k, d in enumerate(residual):
@@ -418,11 +459,16 @@ def unpalette(argb: np.ndarray, colours: np.ndarray, width: int) -> np.ndarray:
 
 
 def decode(data: bytes) -> np.ndarray:
-    """ARGB pixels of a lossless WebP file."""
-    if data[:4] != b"RIFF" or data[8:16] != b"WEBPVP8L":
-        raise ValueError("not a lossless WebP file")
-    size = struct.unpack_from("<I", data, 16)[0]
-    r = BitReader(data[20 : 20 + size])
+    """ARGB pixels of a lossless WebP file, plain or in an extended container."""
+    if data[:4] != b"RIFF" or data[8:12] != b"WEBP":
+        raise ValueError("not a WebP file")
+    at = 12
+    while data[at : at + 4] != b"VP8L":
+        if len(data) < at + 8 or data[at : at + 4] == b"VP8 ":
+            raise ValueError("not a lossless WebP file")
+        at += 8 + (struct.unpack_from("<I", data, at + 4)[0] + 1) // 2 * 2
+    size = struct.unpack_from("<I", data, at + 4)[0]
+    r = BitReader(data[at + 8 : at + 8 + size])
     if r.read(8) != SIGNATURE:
         raise ValueError("wrong signature")
     width, height = r.read(14) + 1, r.read(14) + 1
@@ -702,20 +748,141 @@ def encode(argb: np.ndarray, transforms: tuple = (), cache_bits: int = 0, refere
     return _file(w)
 
 
-def encode_samples(samples: np.ndarray) -> bytes:
-    """A file of 8-bit samples ``uint8[height, width]`` in the green channel: literals under one prefix code."""
-    height, width = samples.shape
-    w = _start(width, height, 0)
-    w.write(0, 3)  # no transform, no colour cache, one group
-    flat = samples.reshape(-1)
-    lengths = code_lengths(np.bincount(flat, minlength=280), 12)
+#: Fewest samples of a back-reference of :func:`encode_samples`, and most of any.
+LEAST_COPY, MOST_COPY = 12, 4096
+
+
+def _copies(flat: np.ndarray) -> list[tuple[int, int, int]]:
+    """(start, length, samples back) of repeats, from left to right: each where the last eight equal samples are."""
+    n = len(flat) - 7
+    if n < LEAST_COPY:
+        return []
+    raw = flat.tobytes()
+    eight = np.ndarray((n,), "<u8", buffer=raw, strides=(1,))
+    order = np.argsort(eight, kind="stable")
+    same = eight[order[1:]] == eight[order[:-1]]
+    if not same.any():
+        return []
+    before = np.full(n, -1, dtype=np.int64)
+    before[order[1:][same]] = order[:-1][same]
+    out, end = [], 0
+    for k in np.flatnonzero(before >= 0).tolist():
+        if k < end:
+            continue
+        j, length, most = int(before[k]), 8, min(MOST_COPY, len(flat) - k)
+        while length < most:
+            step = min(256, most - length)
+            a, b = flat[k + length : k + length + step], flat[j + length : j + length + step]
+            differ = a != b
+            at = int(differ.argmax())
+            if differ[at]:
+                length += at
+                break
+            length += step
+        if length >= LEAST_COPY:
+            out.append((k, length, k - j))
+            end = k + length
+    return out
+
+
+def _bits_of(counts: np.ndarray) -> float:
+    """Bits that symbols of these counts take at least."""
+    c = counts[counts > 0].astype(float)
+    return float((c * (np.log2(c.sum()) - np.log2(c))).sum())
+
+
+def _write_green(w: BitWriter, flat: np.ndarray, width: int, alpha: int = 255) -> None:
+    """The pixels of an image in which green alone varies: literals, and back-references where these take less."""
+    w.write(0, 2)  # no colour cache, one group
+    counts = np.bincount(flat, minlength=280)
+    plain = _bits_of(counts)
+    copies = _copies(flat)
+    if copies:
+        inside = np.zeros(len(flat), dtype=bool)
+        for k, length, _ in copies:
+            inside[k : k + length] = True
+        near = {}
+        for code, (x, y) in enumerate(NEAR, 1):
+            near.setdefault(max(1, x + y * width), code)
+        heads = [(_prefix_of(length), _prefix_of(near.get(d, d + 120))) for _, length, d in copies]
+        with_copies = np.bincount(flat[~inside], minlength=280) + np.bincount([256 + a[0] for a, _ in heads], minlength=280)
+        far = np.bincount([b[0] for _, b in heads], minlength=40)
+        if _bits_of(with_copies) + _bits_of(far) + sum(a[2] + b[2] for a, b in heads) + 4 * (far > 0).sum() + 40 >= plain:
+            copies = []
+    if not copies:
+        lengths = code_lengths(counts, 12)
+        _write_code(w, lengths)
+        _write_rest(w, alpha, None)
+        if (lengths > 0).sum() > 1:
+            w.many(canonical(lengths)[flat], lengths[flat])
+        return
+    lengths, far_lengths = code_lengths(with_copies, 12), code_lengths(far, 12)
     _write_code(w, lengths)
-    for s in (0, 0, 255, 0):
+    _write_rest(w, alpha, far_lengths)
+    codes, far_codes = canonical(lengths), canonical(far_lengths)
+    one_far = (far_lengths > 0).sum() == 1
+    # literals, and four entries for a back-reference: length, its extra bits, distance, its extra bits
+    parts, sizes, at = [], [], 0
+    for (k, length, _), ((s, extra, bits), (t, more, far_bits)) in zip(copies, heads):
+        run = flat[at:k]
+        parts += [codes[run], [codes[256 + s], extra, 0 if one_far else far_codes[t], more & 0x7FF, more >> 11]]
+        sizes += [lengths[run], [lengths[256 + s], bits, 0 if one_far else far_lengths[t], min(far_bits, 11), max(0, far_bits - 11)]]
+        at = k + length
+    parts.append(codes[flat[at:]])
+    sizes.append(lengths[flat[at:]])
+    w.many(np.concatenate(parts).astype(np.uint32), np.concatenate(sizes).astype(np.uint8))
+
+
+def _write_rest(w: BitWriter, alpha: int, far: np.ndarray | None) -> None:
+    """Codes of the channels that do not vary, and of distances."""
+    for s in (0, 0, alpha):
         only = np.zeros(256, np.uint8)
         only[s] = 1
         _write_code(w, only)
-    if (lengths > 0).sum() > 1:
-        w.many(canonical(lengths)[flat], lengths[flat])
+    if far is None:
+        far = np.zeros(40, np.uint8)
+        far[0] = 1
+    _write_code(w, far)
+
+
+def encode_samples(samples: np.ndarray) -> bytes:
+    """A file of 8-bit samples ``uint8[height, width]`` in the green channel.
+
+    Samples of at most 16 values go through a palette, several to a pixel; others are predicted from their left or
+    upper neighbour where the differences take fewer bits than the samples.
+    """
+    height, width = samples.shape
+    w = _start(width, height, 0)
+    counts = np.bincount(samples.reshape(-1), minlength=256)
+    values = np.flatnonzero(counts)
+    if len(values) <= 16:
+        w.write(1, 1)
+        w.write(PALETTE, 2)
+        w.write(len(values) - 1, 8)
+        colours = (values.astype(np.uint32) << _U32(8)) | _U32(0xFF000000)
+        _write_pixels(w, _argb(np.diff(_channels(colours[None]), axis=1, prepend=0)), top=False)
+        b = palette_bits(len(values))
+        each, per = 8 >> b, 1 << b
+        index = np.searchsorted(values, np.pad(samples, ((0, 0), (0, -width % per)), constant_values=values[0])).reshape(height, -1, per)
+        samples = (index << (each * np.arange(per))).sum(axis=2).astype(np.uint8)
+    else:
+        left, top = samples.copy(), samples.copy()
+        left[:, 1:] -= samples[:, :-1]
+        top[1:] -= samples[:-1]
+        left[1:, 0], top[0] = top[1:, 0], left[0]
+        bits = [_bits_of(np.bincount(x.reshape(-1), minlength=256)) for x in (left, top)]
+        if min(bits) < 0.97 * _bits_of(counts) - 100:
+            mode = 1 + int(bits[1] < bits[0])
+            w.write(1, 1)
+            w.write(PREDICTOR, 2)
+            w.write(7, 3)  # blocks of the largest size, all of one mode
+            _write_pixels(w, np.full((-(-height // 512), -(-width // 512)), mode << 8, dtype=np.uint32), top=False)
+            w.write(0, 1)
+            # the first pixel is predicted to be opaque, so alpha leaves 0
+            _write_green(w, (left, top)[mode - 1].reshape(-1), width, 0)
+            return _file(w)
+    w.write(0, 1)
+    _write_green(w, np.ascontiguousarray(samples).reshape(-1), samples.shape[1])
     return _file(w)
 
 
