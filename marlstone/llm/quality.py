@@ -8,13 +8,14 @@ chunks meet in one logistic output. A window looks past the end of
 its chunk, so chunks overlap too and nothing falls between two of them.
 
 Training is on the driver, over a bounded sample: at most ``most_per_class``
-labelled rows a class, those with the smallest hash of their doc_id, of texts of
-at most ``LONGEST_TRAINED`` characters. Class weights restore the proportions
+labelled documents a class, those with the smallest hash of their doc_id. Of a text of more than
+``MOST_TRAINED`` bytes, so many are trained on, in pieces spread evenly over the whole of it. Class weights restore the proportions
 of all training labels. Scoring reads every whole text.
 
 Defined cases: null and empty texts are scored as an empty document (padding
-alone); rows that repeat give equal rows; a label table without training rows
-gives the constant score 0.5; other columns are ignored.
+alone); rows that repeat give equal rows; of rows that repeat a labelled doc_id one trains, that of the least hash of its text;
+very long texts are scored in slabs; a label table without training rows
+gives the constant score 0.5; an empty table gives an empty result; other columns are ignored by :func:`train` and stay as they are in :func:`keep`.
 """
 
 from __future__ import annotations
@@ -24,12 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import table, text_or_empty
+from ._common import slices, table, text_or_empty
 
 EMBED, WIDTH, STRIDE, FILTERS, CHUNK, HIDDEN = 8, 8, 4, 48, 64, 24
 #: Bytes convolved at once; longer documents come in slabs of whole chunks.
 SLAB = 1 << 19
-MOST_PER_CLASS, LONGEST_TRAINED = 1500, 40_000
+MOST_PER_CLASS, MOST_TRAINED = 1500, 40_960
 EPOCHS, BATCH, RATE, SEED, THRESHOLD = 10, 32, 4e-3, 7, 0.3
 
 
@@ -147,14 +148,23 @@ class Network:
         return [d_embed.astype(np.float32), d_filters, g.sum(axis=0), maxima.T @ du, du.sum(axis=0), d @ v, np.array([d.sum()], np.float32)]
 
 
-def fit(texts: list[str], labels: list[int], share_of_1: float, epochs: int = EPOCHS, seed: int = SEED) -> Network:
+def spread(raw: bytes) -> bytes:
+    """At most MOST_TRAINED bytes of a text: pieces of a chunk's size at even distances, from its start to its end."""
+    if len(raw) <= MOST_TRAINED:
+        return raw
+    size = STRIDE * CHUNK
+    n = MOST_TRAINED // size
+    return b"".join(raw[a : a + size] for a in (k * (len(raw) - size) // (n - 1) for k in range(n)))
+
+
+def fit(texts: list[bytes], labels: list[int], share_of_1: float, epochs: int = EPOCHS, seed: int = SEED) -> Network:
     """Adam over the sample; ``share_of_1`` is the proportion of label 1 that the scores shall reflect."""
     net = Network(seed)
     y = np.array(labels, dtype=np.float32)
     if not len(y):
         net.out[:] = 0
         return net
-    docs = [_blocks(t.encode()) for t in texts]
+    docs = [_blocks(t) for t in texts]
     here = float(y.mean())
     if 0 < here < 1:
         weight = np.where(y > 0, share_of_1 / here, (1 - share_of_1) / (1 - here)).astype(np.float32)
@@ -185,30 +195,41 @@ def train(docs: DataFrame, labels: DataFrame, most_per_class: int = MOST_PER_CLA
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     known = known.where("doc_id is not null and quality in (0, 1)").where(~held_out())
     counts = {r["quality"]: r["n"] for r in known.groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
-    texts, marks = [], []
-    for q in (0, 1):
-        pick = known.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_per_class)
-        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).where(F.length("text") <= LONGEST_TRAINED)
-        rows = rows.join(F.broadcast(pick), "doc_id")  # at most most_per_class rows
-        for r in rows.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(most_per_class).collect():
-            texts.append(r["text"])
-            marks.append(q)
-    return fit(texts, marks, counts.get(1, 0) / max(1, sum(counts.values())))
+    picks = [known.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_per_class) for q in (0, 1)]
+
+    def some(batches):
+        for batch in slices(batches):
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array([spread(t.encode()) for t in batch.column(3).to_pylist()], pa.binary())], names=["doc_id", "quality", "tie", "piece"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    rows = rows.join(F.broadcast(picks[0].unionByName(picks[1])), "doc_id")  # at most most_per_class rows of each class
+    rows = rows.select("doc_id", "quality", F.xxhash64("text").alias("tie"), "text").mapInArrow(some, "doc_id long, quality int, tie long, piece binary")
+    rows = rows.groupBy("doc_id", "quality").agg(F.min_by("piece", "tie").alias("piece")).orderBy("quality", F.xxhash64("doc_id"), "doc_id").collect()
+    return fit([bytes(r["piece"]) for r in rows], [r["quality"] for r in rows], counts.get(1, 0) / max(1, sum(counts.values())))
 
 
 def score(docs: DataFrame, net: Network) -> DataFrame:
-    """``docs`` with a column ``score``; other columns stay as they are."""
+    """doc_id and score of each row of ``docs(doc_id, text)``."""
+
+    def run(batches):
+        for batch in slices(batches):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(net.score([t.encode() for t in batch.column(1).to_pylist()]))], names=["doc_id", "score"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(run, "doc_id long, score double")
+
+
+def keep(docs: DataFrame, net: Network, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` whose text scores at least ``threshold``, with all their columns."""
 
     def run(batches):
-        for batch in batches:
-            raws = [(t or "").encode() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(net.score(raws))], names=[*batch.schema.names, "score"])
+        for batch in slices(batches):
+            scores = net.score([(t or "").encode() for t in batch.column("text").to_pylist()])
+            yield batch.filter(pa.array(scores >= threshold))
 
-    schema = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes) + ", score double"
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op1_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = table(spark, sf_dir, "documents")
     scored = score(docs, train(docs, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
