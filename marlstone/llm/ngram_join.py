@@ -1,9 +1,11 @@
 """N-gram Jaccard join by multiple-global-order filtering (operator 10).
 
-A document is the set of its word shingles, as 64-bit hashes. Two sets of
-Jaccard similarity t or more share a token among the first n - ceil(t n) + 1 of
-each set, under *every* total order of all tokens. So candidates must share
-prefix tokens under several orders, and only what passes all is verified.
+A document is the set of its word shingles, as 64-bit hashes. If two sets have
+Jaccard similarity t or more, the first n - ceil(t n) + m tokens of each, under
+*any* total order of all tokens, share m tokens (m the smaller of theirs, by
+size). So a set can only have a link if enough of its prefix is shared with
+other sets, under every order; the filters of ``ORDERS`` orders are intersected,
+each on what the ones before left, and whole sets are moved only of what passes all.
 
 The orders put frequent tokens last, by classes of a count sketch of fixed size
 over all documents, and differ by a hash within a class. A sketch that errs
@@ -12,26 +14,28 @@ only makes an order other, never a result.
 Steps:
 
 1. ``sketch_classes``: counts of all shingles in a fixed table, summed by block.
-2. ``describe``: for each document its set's size and hash, the prefix under the first
-   order, and how many tokens fall in each of ``PARTS`` parts of the hash range.
-   Documents with equal sets are one node from here on.
-3. ``candidate_edges``: nodes meet in the buckets of shared prefix tokens. Sizes and
-   part counts (their L1 distance is at most the symmetric difference) rule
+2. ``describe``: for each document its set's size and hash, and the prefix under the first
+   order. Documents with equal sets are one node from here on.
+3. ``sharing``: nodes with enough shared tokens in their prefix. Of them the sets are
+   computed once more and stored, with the prefixes under the other orders, which filter in turn.
+4. ``candidate_edges``: nodes that are left meet in the buckets of shared prefix tokens. Sizes and
+   counts of tokens by part of the hash range (their L1 distance is at most the symmetric difference) rule
    out pairs, and a bucket passes on a spanning forest of what is left, at most one edge a
    row. Large buckets are dealt out as pairs of blocks.
-4. The components of these edges are families: no link leaves one. Texts of
-   families with two nodes or more meet once, large ones again as pairs of blocks.
-5. ``verified_edges``: in a family, pairs that pass sizes, part counts and the prefixes of
+5. The components of these edges are families: no link leaves one.
+   ``verified_edges``: in a family, pairs that pass sizes, part counts and the prefixes of
    all orders are compared exactly, unless they are connected already; the
-   links found form a forest. Its components are the result.
+   links found form a forest. Its components are the result. A family of more than a block of rows or of
+   tokens is dealt out in blocks, each with a few common members. If this leaves it in
+   several components, those but the largest also meet all other blocks.
 
 No step writes all pairs of a group, and none drops a group.
 
 Defined cases: null and empty texts, and texts of white space, have the empty
 set and link with nothing; with fewer words than a shingle the whole sequence
-is one token; rows that repeat are in one component; rows that repeat a doc_id with other texts are nodes of
+is one token; very long texts are hashed in slabs; rows that repeat are in one component; rows that repeat a doc_id with other texts are nodes of
 their own; null doc_id is a row whose component_id is the least doc_id it
-reaches, null if there is none; other columns are ignored by :func:`link` and kept by :func:`keep_one`.
+reaches, null if there is none; an empty table gives an empty result; other columns are ignored by :func:`link` and kept by :func:`keep_one`.
 Equality of sets and tokens is that of 64-bit hashes.
 """
 
@@ -45,16 +49,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.components import components
-from ._common import removed, shared_path, stored, table, text_or_empty
+from ._common import removed, shared_path, slices, stored, table, text_or_empty
 from .token_index import mix64
 
 _U = np.uint64
 #: Slots of the count sketch, and counts a block of it that is summed at once.
 SLOTS, SLOT_BLOCK = 1 << 20, 1 << 16
 PARTS, FINE_PARTS = 64, 256
-#: Rows of a bucket, or nodes of a family, that one group holds before it is dealt out in blocks.
-BLOCK = 1024
+#: Rows of a bucket, or nodes and tokens of a family, that one group holds before it is dealt out in blocks.
+BLOCK, BLOCK_TOKENS = 160, 1 << 19
+#: Members of a family that each of its blocks has besides its own.
+HUBS = 6
 ORDERS = 3
+#: Share of a set by which prefixes are longer than what shares one token.
+LONGER = 0.05
+#: Bytes hashed at once.
+SLAB = 1 << 19
 
 _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -79,15 +89,31 @@ def shingle_sets(texts: list[str], k: int) -> list[np.ndarray]:
     group, size = [], 0
     for t in texts:
         raw = t.encode("utf-8", "surrogatepass").translate(_LOWER)
+        if len(raw) > SLAB:
+            out += _sets(group, k) if group else []
+            out.append(_shingles(np.concatenate([_words([x])[0] for x in _slabs(raw)]), k))
+            group, size = [], 0
+            continue
         group.append(raw)
         size += len(raw) + 1
-        if size > 1 << 19:
+        if size > SLAB:
             out += _sets(group, k)
             group, size = [], 0
     return out + (_sets(group, k) if group else [])
 
 
-def _sets(raws: list[bytes], k: int) -> list[np.ndarray]:
+def _slabs(raw: bytes):
+    """Parts of a text, cut at spaces (or not, where it has none)."""
+    at = 0
+    while at < len(raw):
+        end = raw.find(b" ", at + SLAB)
+        end = len(raw) if end < 0 else end
+        yield raw[at:end]
+        at = end
+
+
+def _words(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts, and the first word of each text (and the end)."""
     b = np.frombuffer(b" ".join(raws) + b" ", np.uint8)
     power, inverse = _power_tables(len(b) + 1)
     word = ~_IS_SPACE[b]
@@ -96,28 +122,46 @@ def _sets(raws: list[bytes], k: int) -> list[np.ndarray]:
     total = np.zeros(len(b) + 1, dtype=_U)
     np.cumsum((b.astype(_U) + _U(1)) * power[: len(b)], out=total[1:])
     words = mix64((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(_U))
-    begin = np.cumsum([0, *(len(r) + 1 for r in raws)])
-    first = np.searchsorted(starts, begin)
+    return words, np.searchsorted(starts, np.cumsum([0, *(len(r) + 1 for r in raws)]))
+
+
+def _rolled(words: np.ndarray, k: int) -> np.ndarray:
     rolled = np.zeros(max(0, len(words) - k + 1), dtype=_U)
     for j in range(k):
         rolled += words[j : j + len(rolled)] * _U((0xD1B54A32D192ED03 * (2 * j + 3) | 1) & (2**64 - 1))
-    rolled = mix64(rolled)
-    out = []
-    for a, e in zip(first[:-1].tolist(), first[1:].tolist()):
-        if e - a >= k:
-            out.append(np.unique(rolled[a : e - k + 1]))
-        elif e > a:
-            whole = np.array([e - a], dtype=_U)
-            for j in range(a, e):
-                whole = mix64(whole * _U(0x2545F4914F6CDD1D) + words[j : j + 1])
-            out.append(whole)
-        else:
-            out.append(np.zeros(0, dtype=_U))
-    return out
+    return mix64(rolled)
+
+
+def _shingles(words: np.ndarray, k: int, rolled: np.ndarray | None = None) -> np.ndarray:
+    if len(words) >= k:
+        return np.unique(_rolled(words, k) if rolled is None else rolled[: len(words) - k + 1])
+    if not len(words):
+        return np.zeros(0, dtype=_U)
+    whole = np.array([len(words)], dtype=_U)
+    for j in range(len(words)):
+        whole = mix64(whole * _U(0x2545F4914F6CDD1D) + words[j : j + 1])
+    return whole
+
+
+def _sets(raws: list[bytes], k: int) -> list[np.ndarray]:
+    words, first = _words(raws)
+    rolled = _rolled(words, k)
+    return [_shingles(words[a:e], k, rolled[a:]) for a, e in zip(first[:-1].tolist(), first[1:].tolist())]
 
 
-def prefix_length(n: int, percent: int) -> int:
-    return n - -(-n * percent // 100) + 1
+def prefix_length(n: int, percent: int, more: int = 1) -> int:
+    """Tokens of a set of ``n`` that share ``more`` with the like number of any set it links with."""
+    return min(n, n - -(-n * percent // 100) + more)
+
+
+def shared_by(n: int) -> int:
+    """Tokens that longer prefixes of two sets share, the smaller of ``n`` tokens."""
+    return 1 + int(LONGER * n)
+
+
+def needed(n: int, percent: int) -> int:
+    """Shared tokens in the longer prefix of a set of ``n`` that has a link: the other set may be smaller."""
+    return shared_by(-(-n * percent // 100))
 
 
 def in_order(tokens: np.ndarray, classes: np.ndarray, order: int) -> np.ndarray:
@@ -126,8 +170,8 @@ def in_order(tokens: np.ndarray, classes: np.ndarray, order: int) -> np.ndarray:
     return (classes[(tokens & _U(len(classes) - 1)).astype(np.int64)].astype(_U) << _U(56)) | rank
 
 
-def prefix(tokens: np.ndarray, classes: np.ndarray, order: int, percent: int) -> np.ndarray:
-    p = prefix_length(len(tokens), percent)
+def prefix(tokens: np.ndarray, classes: np.ndarray, order: int, percent: int, more: int = 1) -> np.ndarray:
+    p = prefix_length(len(tokens), percent, more)
     return tokens[np.argpartition(in_order(tokens, classes, order), p - 1)[:p]] if p < len(tokens) else tokens
 
 
@@ -141,7 +185,7 @@ def sketch_classes(docs: DataFrame, k: int) -> np.ndarray:
 
     def count(batches):
         total = np.zeros(SLOTS, dtype=np.int64)
-        for batch in batches:
+        for batch in slices(batches):
             for tokens in shingle_sets(batch.column(0).to_pylist(), k):
                 np.add.at(total, (tokens & _U(SLOTS - 1)).astype(np.int64), 1)
         blocks = total.astype("<u4").reshape(-1, SLOT_BLOCK)
@@ -165,21 +209,62 @@ def sketch_classes(docs: DataFrame, k: int) -> np.ndarray:
 
 
 def describe(docs: DataFrame, classes, k: int, percent: int) -> DataFrame:
-    """doc_id, key, n_shingles, node (hash of the set), tokens (prefix under the first order) and parts of ``docs(doc_id, text, key)``; ``classes`` is a broadcast."""
+    """doc_id, key, n_shingles, node (hash of the set) and tokens (longer prefix under the first order) of ``docs(doc_id, text, key)``; ``classes`` is a broadcast."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             sets = shingle_sets(batch.column(1).to_pylist(), k)
             nodes = [int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) if len(s) else None for s in sets]
-            tokens = [prefix(s, classes.value, 0, percent).tobytes() if len(s) else None for s in sets]
-            parts = [part_counts(s, PARTS).tobytes() if len(s) else None for s in sets]
+            tokens = [prefix(s, classes.value, 0, percent, shared_by(len(s))).tobytes() if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64()), pa.array(tokens, pa.binary()), pa.array(parts, pa.binary())],
-                names=["doc_id", "key", "n_shingles", "node", "tokens", "parts"],
+                [batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64()), pa.array(tokens, pa.binary())],
+                names=["doc_id", "key", "n_shingles", "node", "tokens"],
             )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), "key")
-    return rows.mapInArrow(run, "doc_id long, key long, n_shingles long, node long, tokens binary, parts binary")
+    return rows.mapInArrow(run, "doc_id long, key long, n_shingles long, node long, tokens binary")
+
+
+def postings(nodes: DataFrame) -> DataFrame:
+    """(token, node) of ``nodes(node, tokens)``."""
+
+    def run(batches):
+        for batch in slices(batches):
+            raw = batch.column(1).to_pylist()
+            counts = [len(x) // 8 for x in raw]
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(raw), np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), counts))], names=["token", "node"])
+
+    return nodes.select("node", "tokens").mapInArrow(run, "token long, node long")
+
+
+def _shared(tokens: DataFrame) -> DataFrame:
+    """``tokens(token, node)`` that more than one node has, with their number."""
+    return tokens.join(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"), "token")
+
+
+def sharing(tokens: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """Nodes of ``sizes(node, n_shingles)`` that share enough of ``tokens(token, node)``, longer prefixes under one order."""
+    need = F.floor(F.lit(LONGER) * F.floor((F.col("n_shingles") * percent + 99) / 100)) + 1
+    hits = _shared(tokens).groupBy("node").agg(F.count(F.lit(1)).alias("hits"))
+    return hits.join(sizes.select("node", need.alias("need")), "node").where("hits >= need").select("node")
+
+
+def sets_of(docs: DataFrame, reps: DataFrame, classes, k: int, percent: int) -> DataFrame:
+    """node, n_shingles, tokens (all of them), parts and the longer prefixes under the other orders; ``reps(node, label, key)`` names one row of ``docs(doc_id, text, key)`` for each node."""
+    rows = docs.select(_label().alias("label"), "key", text_or_empty().alias("text"))
+    # merged at every size: what is moved then follows the input, also where few nodes would fit a broadcast
+    rows = rows.join(reps.hint("merge"), ["label", "key"]).groupBy("label", "key").agg(F.first("node").alias("node"), F.first("text").alias("text"))
+
+    def run(batches):
+        for batch in slices(batches):
+            sets = shingle_sets(batch.column(1).to_pylist(), k)
+            other = [pa.array([prefix(s, classes.value, order, percent, shared_by(len(s))).tobytes() for s in sets], pa.binary()) for order in range(1, ORDERS)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([part_counts(s, PARTS).tobytes() for s in sets], pa.binary()), *other],
+                names=["node", "n_shingles", "tokens", "parts", *(f"order{k}" for k in range(1, ORDERS))],
+            )
+
+    return rows.select("node", "text").mapInArrow(run, "node long, n_shingles long, tokens binary, parts binary, " + ", ".join(f"order{k} binary" for k in range(1, ORDERS)))
 
 
 def _grouped(batches, keys: int):
@@ -222,19 +307,23 @@ def _l1(one: np.ndarray, many: np.ndarray) -> np.ndarray:
     return np.abs(many.astype(np.int16) - one.astype(np.int16)).sum(axis=-1, dtype=np.int64)
 
 
-def forest(n: np.ndarray, parts: np.ndarray, percent: int, agrees=None) -> list[tuple[int, int]]:
+def forest(n: np.ndarray, parts: np.ndarray, percent: int, agrees=None, tree: np.ndarray | None = None, home: np.ndarray | None = None) -> list[tuple[int, int]]:
     """A spanning forest of the pairs that may link, and for which ``agrees(i, j)`` holds if it is given.
 
-    Pairs within one tree are skipped, so a clique costs one pass over its members.
+    Pairs within one tree are skipped, so a clique costs one pass over its members; ``tree`` says what
+    is connected already. Of pairs without a row at ``home`` none is looked at.
     """
     order = np.argsort(n, kind="stable")
     n, parts = n[order], parts[order]
-    tree = np.arange(len(n))
+    tree = np.arange(len(n)) if tree is None else tree[order]
+    home = None if home is None or home.all() else home[order]
     out = []
     for i in range(len(n) - 1):
         end = int(np.searchsorted(n, n[i] * 100 // percent, side="right"))
         js = np.arange(i + 1, end)
         js = js[tree[js] != tree[i]]
+        if home is not None and not home[i]:
+            js = js[home[js]]
         if not len(js):
             continue
         js = js[_may_link(n[i], n[js], _l1(parts[i], parts[js]), percent)]
@@ -256,19 +345,10 @@ def _dealt(rows: DataFrame, key: str, size: str, node: str) -> DataFrame:
     return out.select(key, F.col("pair.lo").alias("lo"), F.col("pair.hi").alias("hi"), *[c for c in rows.columns if c not in (key, size)])
 
 
-def candidate_edges(nodes: DataFrame, percent: int) -> DataFrame:
-    """Edges (u, v) between nodes that share a prefix token of the first order and may link by size and part counts."""
-
-    def tokens_of(batches):
-        for batch in batches:
-            raw = batch.column(1).to_pylist()
-            counts = [len(x) // 8 for x in raw]
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(raw), np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), counts))], names=["token", "node"])
-
-    tokens = nodes.select("node", "tokens").mapInArrow(tokens_of, "token long, node long")
-    shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
+def candidate_edges(nodes: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
+    """Edges (u, v) between nodes that share one of ``tokens(token, node)``, prefixes under one order, and may link by size and part counts."""
     facts = nodes.select("node", "n_shingles", "parts")
-    met = _dealt(tokens.join(shared, "token").join(facts, "node"), "token", "rows", "node")
+    met = _dealt(_shared(tokens).join(facts, "node"), "token", "rows", "node")
 
     def link(batches):
         for t, starts in _grouped(batches, 3):
@@ -293,50 +373,88 @@ def candidate_edges(nodes: DataFrame, percent: int) -> DataFrame:
     return met.mapInArrow(link, "u long, v long").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
-def verified_edges(docs: DataFrame, families: DataFrame, classes, k: int, percent: int) -> DataFrame:
-    """Edges (u, v) of a forest of exact links; ``families(node, label, key, family, size)``, label and key those of one row of ``docs(doc_id, text, key)``."""
-    rows = docs.select(_label().alias("label"), "key", text_or_empty().alias("text"))
-    # merged at every size: what is moved then follows the input, also where few families would fit a broadcast
-    rows = rows.join(families.hint("merge"), ["label", "key"])
-    once = [F.first(c).alias(c) for c in ("node", "family", "size", "text")]  # rows that repeat meet as one
-    rows = _dealt(rows.groupBy("label", "key").agg(*once).drop("label", "key"), "family", "size", "node")
-    rows = rows.repartition("family", "lo", "hi").sortWithinPartitions("family", "lo", "hi").select("family", "lo", "hi", "node", "text")
+def _shares(a: np.ndarray, b: np.ndarray) -> int:
+    """Common values of two ascending arrays of distinct values."""
+    if len(a) > len(b):
+        a, b = b, a
+    at = np.searchsorted(b, a)
+    return int((b[np.minimum(at, len(b) - 1)] == a).sum())
+
+
+def _linked_pairs(rows: DataFrame, classes, percent: int) -> DataFrame:
+    """Edges (u, v) of a forest of exact links in each group of ``rows(family, block, node, tree, home, tokens)``."""
 
     def verify(batches):
-        for t, starts in _grouped(batches, 3):
-            node = t.column("node").to_numpy()
-            text = t.column("text")
+        for t, starts in _grouped(batches, 2):
+            node, tree, home = (t.column(c).to_numpy() for c in ("node", "tree", "home"))
+            tokens = t.column("tokens")
             us, vs = [], []
             for a, e in zip(starts[:-1].tolist(), starts[1:].tolist()):
-                sets = shingle_sets(text.slice(a, e - a).to_pylist(), k)
+                if e - a < 2:
+                    continue
+                sets = [np.frombuffer(x, _U) for x in tokens.slice(a, e - a).to_pylist()]
                 n = np.array([len(s) for s in sets])
                 parts = np.stack([part_counts(s, FINE_PARTS) for s in sets])
-                prefixes: dict[tuple[int, int], set] = {}
-                whole: dict[int, set] = {}
+                prefixes: dict[tuple[int, int], np.ndarray] = {}
 
-                def shares(i, j, order):
-                    for x in (i, j):
-                        if (x, order) not in prefixes:
-                            prefixes[x, order] = set(prefix(sets[x], classes.value, order, percent).tolist())
-                    return not prefixes[i, order].isdisjoint(prefixes[j, order])
+                def head(x, order):
+                    if (x, order) not in prefixes:
+                        prefixes[x, order] = np.sort(prefix(sets[x], classes.value, order, percent))
+                    return prefixes[x, order]
 
                 def links(i, j):
-                    if not all(shares(i, j, order) for order in range(ORDERS)):
+                    if not all(_shares(head(i, order), head(j, order)) for order in range(ORDERS)):
                         return False
-                    for x in (i, j):
-                        if x not in whole:
-                            whole[x] = set(sets[x].tolist())
-                    both = len(whole[i] & whole[j])
+                    both = _shares(sets[i], sets[j])
                     return 100 * both >= percent * (n[i] + n[j] - both)
 
-                for i, j in forest(n, parts, percent, links):
+                for i, j in forest(n, parts, percent, links, tree[a:e], home[a:e] == 1):
                     us.append(node[a + i])
                     vs.append(node[a + j])
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
 
+    rows = rows.repartition("family", "block").sortWithinPartitions("family", "block").select("family", "block", "node", "tree", "home", "tokens")
     return rows.mapInArrow(verify, "u long, v long")
 
 
+def verified_edges(sets: DataFrame, families: DataFrame, classes, percent: int) -> DataFrame:
+    """Edges (u, v) of links that connect what is linked; ``families(node, family)`` of stored ``sets(node, n_shingles, tokens)``."""
+    sizes = families.join(sets.select("node", "n_shingles"), "node").groupBy("family").agg(F.count(F.lit(1)).alias("size"), F.sum("n_shingles").alias("weight"))
+    blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("weight") / BLOCK_TOKENS)).cast("int")
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    dealt = families.join(sizes.select("family", blocks.alias("blocks")), "family").withColumn("own", own)
+    dealt = stored(dealt, "ngram-blocks")
+    whole = sets.select("node", "tokens")
+    one, many = dealt.where("blocks = 1"), dealt.where("blocks > 1")
+    some = F.explode(F.array_distinct(F.array(*[F.min(F.struct(F.xxhash64(F.lit(k), "node"), "node"))["node"] for k in range(HUBS)])))
+    hubs = many.groupBy("family").agg(some.alias("node"))
+    hubs = many.join(hubs, ["family", "node"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("block <> own")
+    met = dealt.select("family", F.col("own").alias("block"), "node").withColumn("home", F.lit(1)).unionByName(hubs.select("family", "block", "node").withColumn("home", F.lit(0)))
+    first = stored(_linked_pairs(met.withColumn("tree", F.col("node")).join(whole, "node"), classes, percent), "ngram-links")
+    if many.isEmpty():
+        return first
+    trees = many.join(components(first), "node", "left").withColumn("tree", F.coalesce("root", "node")).drop("root")
+    trees = stored(trees, "ngram-trees")
+    counts = trees.groupBy("family", "tree").agg(F.count(F.lit(1)).alias("n"))
+    main = counts.groupBy("family").agg(F.max(F.struct("n", "tree"))["tree"].alias("main"), F.count(F.lit(1)).alias("trees")).where("trees > 1")
+    left = trees.join(main, "family")
+    places = F.when(F.col("tree") == F.col("main"), F.array("own")).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
+    met = left.withColumn("block", F.explode(places)).withColumn("home", (F.col("block") == F.col("own")).cast("int"))
+    second = _linked_pairs(met.select("family", "block", "node", "tree", "home").join(whole, "node"), classes, percent)
+    return stored(first.unionByName(second), "ngram-links")
+
+
+def _heads(sets: DataFrame, classes, percent: int) -> DataFrame:
+    """node and tokens (prefix under the first order) of ``sets(node, tokens)``."""
+
+    def run(batches):
+        for batch in slices(batches):
+            heads = [prefix(np.frombuffer(x, _U), classes.value, 0, percent).tobytes() for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(heads, pa.binary())], names=["node", "tokens"])
+
+    return sets.mapInArrow(run, "node long, tokens binary")
+
+
 def _label():
     """The doc_id, with null as a value of its own."""
     return F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
@@ -356,23 +474,31 @@ def _linked(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """What :func:`link` returns, with the key of each row of ``docs(doc_id, text, key)`` and root, the same in a component and null for empty sets."""
     spark = docs.sparkSession
     classes = spark.sparkContext.broadcast(sketch_classes(docs, k))  # SLOTS bytes
-    wide = shared_path(spark, "ngram-documents"), shared_path(spark, "ngram-nodes")
+    wide = [shared_path(spark, f"ngram-{name}") for name in ("documents", "nodes", "sets")]
     described = stored(describe(docs, classes, k, percent), "", wide[0])
     members = stored(described.select("doc_id", "key", "n_shingles", "node"), "ngram-members")
     facts = described.where("node is not null").groupBy("node").agg(
-        F.min("doc_id").alias("least"), F.min(F.struct(_label().alias("label"), "key")).alias("row"), F.first("n_shingles").alias("n_shingles"), F.first("tokens").alias("tokens"), F.first("parts").alias("parts")
+        F.min("doc_id").alias("least"), F.min(F.struct(_label().alias("label"), "key")).alias("row"), F.first("n_shingles").alias("n_shingles"), F.first("tokens").alias("tokens")
     )
     facts = stored(facts, "", wide[1])
     del described
     removed(spark, wide[0])  # prefixes lie with the nodes now
     nodes = stored(facts.select("node", "least", "row"), "ngram-least")
-    families = components(candidate_edges(facts, percent)).withColumnRenamed("root", "family")
+    passing = stored(sharing(postings(facts), facts, percent), "ngram-passing")
     del facts
-    removed(spark, wide[1])  # the families stand in tables of their own
-    sizes = families.groupBy("family").agg(F.count(F.lit(1)).alias("size"))
-    families = families.join(sizes, "family").join(nodes.select("node", "row.label", "row.key"), "node")
-    edges = stored(verified_edges(docs, stored(families, "ngram-families"), classes, k, percent), "ngram-links")
+    removed(spark, wide[1])
+    reps = nodes.join(passing, "node").select("node", "row.label", "row.key")
+    sets = stored(sets_of(docs, reps, classes, k, percent), "", wide[2])
+    for order in range(1, ORDERS):
+        tokens = postings(sets.select("node", F.col(f"order{order}").alias("tokens"))).join(passing, "node")
+        passing = stored(sharing(tokens, sets, percent), "ngram-passing")
+    sets = sets.join(passing, "node", "left_semi")
+    heads = _heads(sets.select("node", "tokens"), classes, percent)
+    families = stored(components(candidate_edges(sets, postings(heads), percent)).withColumnRenamed("root", "family"), "ngram-families")
+    edges = verified_edges(sets, families, classes, percent)
     joined = components(edges)
+    del sets, heads
+    removed(spark, wide[2])
     least = nodes.select("node", "least").join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
     roots = least.groupBy("root").agg(F.min("least").alias("component_id"))
     by_node = least.join(roots, "root").select("node", "root", "component_id")

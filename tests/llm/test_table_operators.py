@@ -148,9 +148,11 @@ def families():
     return rows
 
 
-@pytest.mark.parametrize("k,percent,block", [(3, 90, 1024), (5, 80, 1024), (3, 90, 7), (2, 60, 16)])
-def test_ngram_join(spark, families, monkeypatch, k, percent, block):
+@pytest.mark.parametrize("k,percent,block,tokens,hubs", [(3, 90, 512, 1 << 19, 6), (5, 80, 512, 1 << 19, 6), (3, 90, 7, 1 << 19, 2), (2, 60, 16, 500, 1)])
+def test_ngram_join(spark, families, monkeypatch, k, percent, block, tokens, hubs):
     monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(ngram_join, "BLOCK_TOKENS", tokens)
+    monkeypatch.setattr(ngram_join, "HUBS", hubs)
     docs = spark.createDataFrame(families, "doc_id long, text string").selectExpr("*", "1 as node", "2 as size")
     got = collections.Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.link(docs, k, percent).collect())
     assert got == brute(families, k, percent)
@@ -167,13 +169,23 @@ def test_ngram_join_of_null_and_repeated_ids(spark):
     for percent in (80, 90, 95):
         got = collections.Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.link(docs, 3, percent).collect())
         assert got == brute(rows, 3, percent)
-    nodes = spark.createDataFrame([(i, -(2**63), i, 1, 7) for i in range(7)], "node long, label long, key long, family long, size long")
+    reps = spark.createDataFrame([(i, -(2**63), i) for i in range(7)], "node long, label long, key long")
     texts = spark.createDataFrame([(None, t, i) for i, t in enumerate(apart + far)] * 3, "doc_id long, text string, key long")
     classes = spark.sparkContext.broadcast(ngram_join.sketch_classes(texts, 3))
-    edges = {tuple(sorted(e)) for e in ngram_join.verified_edges(texts, nodes, classes, 3, 90).collect()}
+    sets = ngram_join.sets_of(texts, reps, classes, 3, 90).cache()
+    assert {r["node"]: r["n_shingles"] for r in sets.collect()} == dict.fromkeys(range(7), 98)
+    edges = {tuple(sorted(e)) for e in ngram_join.verified_edges(sets, reps.selectExpr("node", "1L as family"), classes, 90).collect()}
     assert edges == {(0, 1), (1, 2), (2, 3)}
 
 
+def test_slabs_of_long_texts(monkeypatch):
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice(["ab", "É", "C d", "e\tf", "x" * 90]) for _ in range(300)), "y" * 5000, "  " * 900, "a b"]
+    whole = [s.tolist() for s in ngram_join.shingle_sets(texts, 3)]
+    monkeypatch.setattr(ngram_join, "SLAB", 64)
+    assert [s.tolist() for s in ngram_join.shingle_sets(texts, 3)] == whole
+
+
 def test_ngram_join_of_nothing(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert ngram_join.link(docs).count() == 0

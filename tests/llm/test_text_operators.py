@@ -15,6 +15,7 @@ import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from marlstone.llm import media, mixing, packing, quality, secrets, syncmers, token_index, webp
@@ -159,6 +160,28 @@ def test_mixing(spark, docs):
     for s in names:
         assert abs(taken[s] - target[s]) <= biggest[s] / 2 + 1e-6
     assert mixing.pareto_mix(docs.where("false")).count() == 0
+    none = mixing.pareto_mix(docs.where("text is null or text = ''")).collect()
+    assert none and all(r["target"] == 0 == r["taken"] for r in none)
+    kept = mixing.pareto_mix(docs, keep=True).select("doc.*")
+    assert kept.columns == docs.columns and collections.Counter(map(tuple, kept.collect())) == collections.Counter(map(tuple, docs.collect()))
+
+
+def test_mixing_includes_by_its_odds(spark):
+    """Over some seeds documents are taken as often as their odds say: long ones more often than short ones, inside a stratum too."""
+    sizes = (100, 44, 33)  # the last two are in one stratum
+    rows = [(i, "w " * sizes[i % 3], "ab"[i % 2]) for i in range(1800)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").cache()
+    share, seeds = collections.Counter(), 5
+    for seed in range(seeds):
+        for r in mixing.pareto_mix(docs, seed=seed).where("source = 'a'").collect():
+            share[r["size"]] += (r["copies"] - r["target"] // r["source_size"]) / 300 / seeds
+            rest = r["target"] / r["source_size"] % 1
+    low, high = 1e-9, 1e9
+    for _ in range(200):
+        theta = (low * high) ** 0.5
+        p = {n: theta * n**0.5 / (1 + theta * n**0.5) for n in sizes}
+        low, high = (theta, high) if sum(n * p[n] for n in sizes) / sum(sizes) < rest else (low, theta)
+    assert share[100] > share[44] > share[33] and all(abs(share[n] - p[n]) < 0.03 for n in sizes), (share, p)
 
 
 def test_mixing_passes_a_long_document(spark):
@@ -227,76 +250,91 @@ def test_secrets(spark, docs):
 
 
 
+def plain_anchors(text):
+    """(end, hash) of the closed syncmers of a text, window by window."""
+    b = bytes(syncmers.K - 1) + text.encode()
+    code = [xxhash.xxh64(b[i : i + syncmers.S], seed=42).intdigest() & ~syncmers.PLACES for i in range(len(b) - syncmers.S + 1)]
+    code = [c - 2**64 if c >= 2**63 else c for c in code]
+    out = []
+    for i in range(len(b) - syncmers.K + 1):
+        window = code[i : i + syncmers.W]
+        if window.index(min(window)) in (0, syncmers.W - 1):
+            out.append((i + 1, xxhash.xxh64(b[i : i + syncmers.K], seed=42).intdigest() & 0xFFFFFFFF))
+    return out
+
+
+def plain_fingerprint(text):
+    found = {h for _, h in plain_anchors(text)}
+    return found or ({xxhash.xxh64(text.encode(), seed=42).intdigest() & 0xFFFFFFFF} if text else set())
+
+
+def plain_likeness(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def test_anchors_equal_brute_force(spark, monkeypatch):
+    rng = random.Random(4)
+    texts = ["", "a", "abc", "q" * 100, "ab" * 60, "é" * 50, "日本語のテキスト " * 9, "".join(rng.choice("abcdefgh é\n") for _ in range(1500))]
+    for block in (syncmers.BLOCK, 64, 7):
+        monkeypatch.setattr(syncmers, "BLOCK", block)
+        rows = syncmers.fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+        for r in rows:
+            assert [(x["pos"], x["hash"]) for x in r["anchors"]] == plain_anchors(texts[r["doc_id"]])
+            assert r["fingerprint"] == sorted(plain_fingerprint(texts[r["doc_id"]])) and r["n_chars"] == len(texts[r["doc_id"]])
+
+
 def test_syncmers_are_context_free(spark):
     rng = random.Random(4)
-    passage = " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randrange(1, 9))) for _ in range(120))
-    dense = "".join(rng.choice("abcdefgh") for _ in range(400))
-    texts = [(1, "x y z " + passage + " tail end"), (2, passage), (3, "abc"), (4, ""), (5, None), (6, " ".join(rng.choice("abcdefg") for _ in range(40000))), (7, "q" * 37 + dense), (8, dense)]
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(600))
+    texts = [(1, "x y z " + passage + " tail end"), (2, passage), (3, None), (4, "".join(rng.choice("abcdefg") for _ in range(50000)))]
     out = {r["doc_id"]: r for r in syncmers.fingerprints(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
-    for whole, part, shift, tokens, k in ((1, 2, 3, 120, syncmers.WORD_PAIRS + 1), (7, 8, 37, 400, syncmers.CHAR_PAIRS + 1)):
-        inside = {(a["pos"] - shift, a["hash"]) for a in out[whole]["anchors"] if shift <= a["pos"] <= shift + tokens - k}
-        assert inside == {(a["pos"], a["hash"]) for a in out[part]["anchors"]} and inside
-    assert out[4]["fingerprint"] == [] == out[5]["fingerprint"] and len(out[3]["fingerprint"]) == 1
-    long = [a["pos"] for a in out[6]["anchors"]]  # more than two blocks: each window of k-mers has an anchor, once
-    assert long == sorted(set(long)) and max(b - a for a, b in zip(long, long[1:])) <= syncmers.WORD_PAIRS and long[-1] > 39990
+    inside = lambda d, shift: {(x["pos"] - shift, x["hash"]) for x in out[d]["anchors"] if syncmers.K <= x["pos"] - shift <= 600}
+    assert inside(1, 6) == inside(2, 0) and len(inside(2, 0)) > 30
+    assert out[3]["fingerprint"] == []
+    long = [x["pos"] for x in out[4]["anchors"]]  # over several blocks: each window of W has an anchor, once
+    assert long == sorted(set(long)) and max(b - a for a, b in zip(long, long[1:])) <= syncmers.W and long[-1] > 50000 - syncmers.W
 
 
 def test_syncmer_query(spark, docs, tmp_path):
-    docs.drop("size", "bucket", "node").write.parquet(str(tmp_path / "documents.parquet"))
+    """Every column of every row whose place in the order is fixed, against plain Python."""
+    more = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id between 1000 and 1050 or doc_id < 40")
+    df = docs.drop("size", "node").unionByName(more.withColumn("doc_id", F.col("doc_id") + 5000).withColumn("bucket", F.lit(1)))
+    df.write.parquet(str(tmp_path / "documents.parquet"))
     out = syncmers.op3_syncmer_fingerprints(spark, str(tmp_path)).collect()
-    rows = [(r["doc_id"], r["text"] or "") for r in docs.collect()]
-    assert len(out) == len(rows)
-    unique = {k: t for k, t in rows if k is not None and k != 201}
-    order = sorted(unique, reverse=True)
-    want = {}
-    for k, following in zip(order, order[1:]):
-        t, m = unique[k], len(unique[k]) // 3
-        want[k] = hashlib.sha256((t[: len(t) - m] + unique[following][:m]).encode()).hexdigest()
-    got = {r["doc_id"]: r for r in out}
-    for k, digest in want.items():
-        if k not in (300, 200, 201):  # 201 repeats, so its neighbours depend on the order of equals
-            assert got[k]["edited_sha256"] == digest, k
-    assert all(0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1 for r in out)
-    same = [r for r in out if r["doc_id"] == 201]
-    assert len({r["fingerprint"] for r in same}) == 2
-
-
-def test_edited_fingerprint_equals_that_of_the_edited_text(spark):
-    rng = random.Random(9)
-    texts = [(i, "".join(rng.choice("abcdefgh \n") for _ in range(rng.randrange(0, 900)))) for i in range(60)]
-    df = spark.createDataFrame(texts, "doc_id long, text string")
-    import tempfile
-
-    folder = tempfile.mkdtemp()
-    df.write.parquet(f"{folder}/documents.parquet")
-    out = {r["doc_id"]: r for r in syncmers.op3_syncmer_fingerprints(spark, folder).collect()}
-    edited = []
-    for i in range(60):
-        t, nxt = texts[i][1], texts[(i - 1) % 60][1]
+    signed = lambda t: xxhash.xxh64(t.encode(), seed=42).intdigest() ^ 2**63
+    rows = [(r["doc_id"], r["text"] or "") for r in df.collect()]
+    rows.sort(key=lambda r: (r[0] is None, -(r[0] or 0), signed(r[1])))
+    want = collections.Counter()
+    for (k, t), (_, following) in zip(rows, rows[1:] + rows[:1]):
         m = len(t) // 3
-        edited.append((i, t[: len(t) - m] + nxt[:m]))
-    direct = {r["doc_id"]: r["fingerprint"] for r in syncmers.fingerprints(spark.createDataFrame(edited, "doc_id long, text string")).collect()}
-    for i, t in edited:
-        assert out[i]["edited_sha256"] == hashlib.sha256(t.encode()).hexdigest()
-        assert out[i]["edited_fingerprint"] == "".join(f"{h:08x}" for h in direct[i]), i
+        edited = t[: len(t) - m] + following[:m]
+        own, changed, after = (plain_fingerprint(x) for x in (t, edited, following))
+        text = lambda x: "".join(f"{h:08x}" for h in sorted(x))
+        want[k, len(t), hashlib.sha256(edited.encode()).hexdigest(), text(own), text(changed), round(plain_likeness(own, changed), 12), round(plain_likeness(own, after), 12)] += 1
+    got = collections.Counter((r["doc_id"], r["n_chars"], r["edited_sha256"], r["fingerprint"], r["edited_fingerprint"], round(r["near_edited"], 12), round(r["near_next"], 12)) for r in out)
+    assert got == want
+
+
+def test_syncmers_of_nothing_and_of_one(spark, tmp_path):
+    for name, rows in (("none", []), ("one", [(3, "abc def ghi " * 9)])):
+        spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / name / "documents.parquet"))
+        out = syncmers.op3_syncmer_fingerprints(spark, str(tmp_path / name)).collect()
+        assert len(out) == len(rows) and all(r["near_next"] == 1 for r in out)
 
 
-def test_syncmer_fingerprints_hold_the_whole_text(spark, tmp_path):
+def test_syncmers_of_mixed_and_shared_texts(spark, tmp_path):
     rng = random.Random(5)
     words = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randrange(3, 9))) for _ in range(n))
-    passage, dense = words(500), words(300)
-    texts = [(9, words(9000) + " " + passage + " " + words(9000)), (8, words(200) + " " + passage), (7, words(7)), (6, words(600)), (5, dense.replace(" ", "")), (4, dense[:900].replace(" ", "") + " " + words(200)), (3, passage.replace(" ", "\n "))]
-    texts.append((2, passage))
+    passage, dense = words(500), words(700).replace(" ", "")
+    texts = [(9, words(9000) + " " + passage + " " + words(9000)), (8, words(200) + " " + passage), (7, words(7)), (6, words(40) + dense), (5, passage)]
     spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     out = {r["doc_id"]: r for r in syncmers.op3_syncmer_fingerprints(spark, str(tmp_path)).collect()}
-    assert len(out[9]["fingerprint"]) > 8 * 5000  # in proportion to the text
-    assert 0.015 < out[9]["near_next"] < 0.05  # the passage is some 250 of 9500 anchors
-    assert out[7]["near_edited"] > 0.2 and out[6]["near_edited"] > 0.3
-    assert out[5]["near_next"] > 0.1  # characters and words, in one alphabet
-    assert out[3]["near_next"] == 1  # other white space
+    assert 0.015 < out[9]["near_next"] < 0.05  # the passage is some 3 percent of both
+    assert all(out[k]["near_edited"] > 0.4 for k in (9, 8, 6, 5)) and out[7]["near_edited"] > 0.2
     rows = spark.createDataFrame([("p q r s t " + passage, passage)], "a string, b string")
-    pairs = rows.select(syncmers.matches(*(syncmers.firsts(syncmers.anchors(F.col(c)), F.col(c)) for c in "ab")).alias("m")).first()["m"]
-    assert len(pairs) > 150 and {x["a_pos"] - x["b_pos"] for x in pairs} == {5}
+    a, b = (syncmers.firsts(syncmers.anchors(F.col(c)), F.col(c)) for c in "ab")
+    got = rows.select(syncmers.matches(a, b).alias("m"), syncmers.matched(a, b).alias("n")).first()
+    assert len(got["m"]) == got["n"] > 150 and [x["a_pos"] - x["b_pos"] for x in got["m"]].count(10) > 0.95 * got["n"]
 
 
 def test_webp_round_trips():
@@ -319,6 +357,69 @@ def test_webp_round_trips():
         webp.decode(b"RIFF....WEBPVP8 ")
 
 
+def test_webp_of_another_encoder():
+    """A public one-pixel file, plain and in an extended container."""
+    plain = base64.b64decode("UklGRhoAAABXRUJQVlA4TA0AAAAvAAAAEAcQERGIiP4HAA==")
+    assert webp.decode(plain).tolist() == [[0]]
+    extended = b"VP8X" + (10).to_bytes(4, "little") + bytes(10) + plain[12:]
+    assert webp.decode(b"RIFF" + (4 + len(extended)).to_bytes(4, "little") + b"WEBP" + extended).tolist() == [[0]]
+    with pytest.raises(ValueError):
+        webp.decode(b"RIFF\0\0\0\0WEBPVP8 \0\0\0\0")
+
+
+def test_samples_take_the_shortest_form():
+    rng = np.random.default_rng(2)
+    steps = rng.integers(0, 3, (40, 64))
+    noise = rng.integers(0, 256, (30, 64))
+    line = rng.integers(0, 256, 7 * 64)
+    forms = {"noise": noise, "left": np.cumsum(steps, axis=1), "top": np.cumsum(steps, axis=0), "zeros": np.zeros((9, 64)), "two": rng.integers(5, 7, (9, 64)), "fifteen": rng.integers(5, 20, (9, 64)), "copies": np.tile(line, 40).reshape(-1, 64), "run": np.concatenate([noise, np.full((99, 64), 7)])}
+    sizes = {}
+    for name, x in forms.items():
+        x = x.astype(np.uint8)
+        data = webp.encode_samples(x)
+        assert (webp.decode_samples(data) == x).all(), name
+        sizes[name] = len(data) / x.size
+    assert sizes["left"] < 0.3 and sizes["top"] < 0.3 and sizes["zeros"] < 0.1 and sizes["two"] < 0.3 and sizes["fifteen"] < 0.7 and sizes["copies"] < 0.05 and sizes["run"] < 0.3, sizes
+    # back-references of every distance and length against the pixels they copy
+    for seed in range(60):
+        r = random.Random(seed)
+        text = bytes(r.choice(b"ab") if seed % 2 else r.randrange(256) for _ in range(r.randrange(1, 200)))
+        while len(text) < 9000:
+            at = r.randrange(len(text))
+            text += text[at : at + r.randrange(1, 900)] * r.choice([1, 1, 4]) + bytes(r.randrange(256) for _ in range(r.randrange(20)))
+        x = media.samples_of(text)
+        assert (webp.decode_samples(webp.encode_samples(x)) == x).all()
+
+
+def plain_feature(payload):
+    n = len(payload)
+    mean = sum(payload) / n
+    spread = (sum((b - mean) ** 2 for b in payload) / n) ** 0.5
+    entropy = -sum(c / n * np.log2(c / n) for c in collections.Counter(payload).values())
+    rows = [payload[k : k + 64] for k in range(0, n, 64)]
+    grid = []
+    for i in range(8):
+        some = rows[i * len(rows) // 8 : max((i + 1) * len(rows) // 8, i * len(rows) // 8 + 1)]
+        grid += [sum(sum(r[8 * j : 8 * j + 8]) for r in some) // (8 * len(some)) for j in range(8)]
+    return f"mean={mean:.4f};deviation={spread:.4f};entropy={entropy + 0.0:.4f};grid={bytes(grid).hex()}"
+
+
+def test_media_against_plain_python(spark):
+    """Features, sizes and hashes of the stored files, row by row."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    table = media.write_media(docs)
+    files = {r["doc_id"]: bytes(r["media"]) for r in table.collect()}
+    got = {r["doc_id"]: r for r in media.read_media(table).collect()}
+    for r in docs.collect():
+        raw = (r["text"] or "").encode()
+        payload = raw + b"\0" * (max(1, -(-len(raw) // 64)) * 64 - len(raw))
+        one = got[r["doc_id"]]
+        pixels = ((webp.decode(files[r["doc_id"]]) >> np.uint32(8)) & np.uint32(255)).astype(np.uint8).tobytes()
+        assert pixels == payload and one["media_bytes"] == len(files[r["doc_id"]]) and one["media_sha256"] == hashlib.sha256(files[r["doc_id"]]).hexdigest()
+        assert one["feature"] == plain_feature(payload)
+    assert media.read_media(media.write_media(docs.where("false"))).count() == 0
+
+
 def test_media(spark, docs):
     got = sorted(media.read_media(media.write_media(docs)).collect(), key=lambda r: str(r))
     by_text = collections.defaultdict(set)
@@ -351,6 +452,47 @@ def test_classifier(spark):
     assert quality.train(docs, labels.where("false")).score([b"a"])[0] == 0.5
 
 
+def plain_score(net, raw):
+    """The network's forward pass, window by window."""
+    padded = [b + 1 for b in raw] + [0] * (-(-max(1, len(raw)) // quality.STRIDE) * quality.STRIDE - len(raw) + quality.WIDTH - quality.STRIDE)
+    embed, filters, bias, dense, dense_bias, out, shift = net.weights()
+    windows = []
+    for a in range(0, len(padded) - quality.WIDTH + 1, quality.STRIDE):
+        x = np.concatenate([embed[b] for b in padded[a : a + quality.WIDTH]])
+        windows.append(np.maximum(x @ filters + bias, 0))
+    units = []
+    for a in range(0, len(windows), quality.CHUNK):
+        units.append(np.maximum(np.max(windows[a : a + quality.CHUNK], axis=0) @ dense + dense_bias, 0))
+    z = np.concatenate([np.mean(units, axis=0), np.max(units, axis=0)]) @ out + shift[0]
+    return 1 / (1 + np.exp(-float(z)))
+
+
+def test_scores_equal_a_plain_forward_pass(monkeypatch):
+    rng = np.random.default_rng(5)
+    net = quality.Network(4)
+    net.out = rng.normal(0, 1, net.out.shape).astype(np.float32)
+    raws = [b"", b"a", b"abcd", b"abcde", *(bytes(rng.integers(0, 256, int(n)).astype(np.uint8)) for n in (7, 255, 256, 257, 1000, 3001))]
+    for slab in (quality.SLAB, 512):
+        monkeypatch.setattr(quality, "SLAB", slab)
+        assert net.score(raws) == pytest.approx([plain_score(net, r) for r in raws], abs=1e-4)
+
+
+def test_training_reads_all_of_long_texts_and_of_odd_tables(spark):
+    long = bytes(range(256)) * 4000
+    pieces = quality.spread(long + b"end!")
+    assert len(pieces) == quality.MOST_TRAINED and pieces.endswith(b"end!") and pieces.startswith(long[:256]) and quality.spread(b"short") == b"short"
+    rows = [(i, ("good words, and so on. " if i % 2 else "xx|xx|") * (1 + i % 9 * 700), 1, "s") for i in range(60)] + [(7, "other text", 2, "t"), (None, "no id", 3, "t"), (8, None, 4, "t")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score int, quality string")  # clashing names
+    labels = spark.createDataFrame([(i, i % 2, i) for i in range(60)] + [(None, 1, 0), (3, None, 0), (1, 1, 0)], "doc_id long, quality int, text int")
+    net = quality.train(docs, labels)
+    kept = quality.keep(docs, net)
+    assert kept.columns == docs.columns
+    want = [tuple(r) for r in docs.collect() if net.score([(r["text"] or "").encode()])[0] >= quality.THRESHOLD]
+    assert collections.Counter(map(tuple, kept.collect())) == collections.Counter(want) and {r[0] for r in want} >= set(range(1, 60, 2))
+    assert quality.keep(docs.where("false"), net).count() == 0 and quality.score(docs, net).count() == len(rows)
+    assert quality.train(docs.where("false"), labels).score([b"a"])[0] == 0.5
+
+
 def test_gradient_is_that_of_the_loss():
     rng = np.random.default_rng(2)
     texts = ["".join(rng.choice(list("abcd |!"), int(n))) for n in (5, 700, 90)]
