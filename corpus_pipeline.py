@@ -18,7 +18,7 @@ from marlstone.llm.tokenizing import default_file
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the quality classifier scores under its threshold. It trains on the labelled rows of these documents."""
     net = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, net).where(F.col("score") >= quality.THRESHOLD).select(docs.columns)
+    return quality.keep(docs, net)
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,9 +33,8 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix of sources takes it: not at all, or up to three times."""
-    mixed = mixing.pareto_mix(docs, keep=["text", "lang", "n_chars"])
-    taken = mixed.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return taken.select(docs.columns)
+    mixed = mixing.pareto_mix(docs, keep=True).where("copies > 0")
+    return mixed.select("doc", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("doc.*")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
