@@ -16,6 +16,7 @@ def clamp(x: Column, low: int, high: int) -> Column:
     return F.least(F.greatest(x, F.lit(low)), F.lit(high))
 
 
+# The rules of the anomaly score with their points and what they add to the confidence.
 #: First match within a group counts; groups add up. (group, bucket, SQL condition, points, confidence)
 ANOMALY_RULES = (
     ("structure", "technical", "parser_status = 'Failed'", 46, 8),
@@ -25,20 +26,29 @@ ANOMALY_RULES = (
     ("signature", "technical", "format_trust in ('Weak', 'Header-only')", 8, 0),
     ("exif", "metadata", "not has_exif and source_type in ('Screenshot', 'Messaging Export', 'Screenshot / Export', 'Graphic Asset')", 10, 10),
     ("exif", "metadata", "not has_exif", 24, 0),
-    ("time", "authenticity", "timestamp is null", 16, -12),
+    ("time", "authenticity", "timestamp_source = 'Unavailable'", 16, -12),
     ("time", "authenticity", "timestamp_source = 'Filename Pattern'", 4, 4),
     ("time", "authenticity", "timestamp_source like 'Filesystem%'", 8, 0),
     ("gps", "authenticity", "gps_latitude is null and source_type in ('Camera Photo', 'Unknown', 'Edited / Exported')", 7, 0),
     ("gps", "authenticity", "gps_latitude is not null", 0, 10),
     ("software", "authenticity", "lower(software) rlike 'photoshop|lightroom|snapseed|canva|gimp'", 18, 0),
     ("software", "authenticity", "coalesce(software, '') not in ('', 'N/A', 'Unknown')", 4, 0),
-    ("hidden", "technical", "hidden_code", 26, 6),
-    ("hidden", "technical", "hidden_embeds", 14, 0),
-    ("conflict", "authenticity", "time_conflict", 9, 0),
+    ("hidden", "technical", "hidden_codes > 0", 26, 6),
+    ("hidden", "technical", "hidden_embeds > 0", 14, 0),
+    ("conflict", "authenticity", "time_conflicts > 0", 9, 0),
+    ("urls", "authenticity", "visible_urls > 0 and source_type = 'Camera Photo'", 12, 0),
+    ("screen", "authenticity", "source_type in ('Map Screenshot', 'Browser Screenshot')", 0, 5),
+    ("portrait", "authenticity", "environment like 'Desktop%' and width > 0 and height > 0 and width < height and source_type like '%Screenshot%'", 5, 0),
+    ("stego", "technical", "stego <> '' and stego not like '%No strong%'", 11, 0),
     ("pixels", "technical", "pixel_score >= 70", 18, 4),
-    ("pixels", "technical", "pixel_score >= 40", 10, 4),
-    ("duplicate", "authenticity", "duplicate_group is not null", 6, 8),
-    ("device", "authenticity", "device_model <> dominant_device", 10, 0),
+    ("pixels", "technical", "pixel_score >= 40 or lsb_strings > 0", 10, 4),
+    ("quality", "technical", "lower(quality_flag) rlike 'alpha|hidden|very dark'", 0, 2),
+    ("device", "authenticity", "device_model <> 'Unknown' and device_model <> dominant_device", 10, 0),
+    ("duplicate", "authenticity", "duplicate_group <> ''", 6, 8),
+    ("size", "authenticity", "width > 0 and height > 0 and least(width, height) < 720 and source_type = 'Camera Photo'", 6, 0),
+    ("size", "authenticity", "width > 0 and height > 0 and source_type in ('Screenshot', 'Messaging Export', 'Screenshot / Export')", 0, 5),
+    ("size", "technical", "coalesce(width, 0) <= 0 or coalesce(height, 0) <= 0", 10, 0),
+    ("clock", "authenticity", "timestamp_source <> 'Unavailable' and mtime_gap_days > 365", 8, 0),
     ("workflow", "authenticity", "source_type = 'Edited / Exported'", 10, 0),
     ("workflow", "technical", "source_type = 'Malformed / Unsupported Asset'", 18, 0),
 )

@@ -30,15 +30,17 @@ def case_stats(evidence: DataFrame, case: str = "case_id") -> DataFrame:
 
 
 def readiness(evidence: DataFrame, case: str = "case_id") -> DataFrame:
-    location = F.when(F.col("gps_latitude").isNotNull(), F.greatest("gps_confidence", F.lit(70))).when(F.col("derived_geo_confidence") > 0, F.least("derived_geo_confidence", F.lit(70))).otherwise(0)
+    """Five means of a case and their weighted sum. Needs courtroom_strength as ``court``."""
+    location = F.when(F.col("gps_latitude").isNotNull(), F.greatest("gps_confidence", F.lit(70))).when(F.col("derived_geo_confidence") > 0, F.least("derived_geo_confidence", F.lit(70)))
+    location = location.when(F.col("map_confidence") > 0, F.least("map_confidence", F.lit(55))).otherwise(0)
     sound = (F.col("parser_status") == "Valid") & (F.col("signature_status") != "Mismatch")
     integrity = F.when(F.col("integrity_status") == "Verified", 95).when(F.col("integrity_status") == "Partial", 70).when(sound, 55).otherwise(25)
     out = evidence.groupBy(case).agg(
         percent(F.avg(F.least("timestamp_confidence", F.lit(100)))).alias("timeline"),
         percent(F.avg(location)).alias("location"),
         percent(F.avg(integrity)).alias("integrity"),
-        F.greatest(F.lit(45), 100 - 5 * F.count_if(F.col("ocr_confidence") >= 70)).cast("int").alias("privacy"),
-        percent(F.avg("strength")).alias("courtroom"),
+        F.greatest(F.lit(45), 100 - 5 * F.count_if(F.col("visible_text") | (F.col("visible_urls") > 0))).cast("int").alias("privacy"),
+        percent(F.avg("court")).alias("courtroom"),
     )
     return out.withColumn("overall", percent(0.20 * F.col("timeline") + 0.18 * F.col("location") + 0.24 * F.col("integrity") + 0.13 * F.col("privacy") + 0.25 * F.col("courtroom")))
 

@@ -10,14 +10,15 @@ from ..functions.text import all_matches
 
 
 def courtroom_strength(c=F.col) -> Column:
-    """Time, location, integrity, container and device add points; hidden code, conflicts and parser trouble take some."""
+    """Time, location, integrity, container, device and visible text add points; conflicts, hidden code and parser trouble take some."""
     gps = c("gps_latitude").isNotNull()
     time = F.when(c("timestamp_confidence") >= 90, 28).when(c("timestamp_confidence") >= 70, 18).when(c("timestamp_confidence") > 0, 8).otherwise(0)
     place = F.when(c("gps_confidence") >= 80, 22).when(gps, 14).when(c("derived_geo_confidence") >= 60, 10).when(c("derived_geo_confidence") > 0, 5).otherwise(0)
     integrity = F.when(c("integrity_status") == "Verified", 20).when(c("integrity_status") == "Partial", 12).otherwise(0)
     more = F.when(c("signature_status").isin("Matched", "Compatible"), 8).otherwise(0) + F.when(c("parser_status") == "Valid", 6).otherwise(0)
-    more = more + F.when(~c("device_model").isin("Unknown", "N/A", ""), 5).otherwise(0)
+    more = more + F.when(~c("device_model").isin("Unknown", "N/A", ""), 5).otherwise(0) + F.when(c("visible_text"), 4).otherwise(0)
     less = F.when((c("parser_status") != "Valid") | (c("signature_status") == "Mismatch"), 14).otherwise(0)
+    less = less + F.when(c("time_conflicts") > 0, 10).otherwise(0) + F.when(c("hidden_codes") > 0, 8).otherwise(0)
     return clamp(time + place + integrity + more - less, 0, 100)
 
 
@@ -32,6 +33,8 @@ def court_reasons(c=F.col) -> Column:
         (~gps & (c("derived_geo_confidence") > 0), "derived location"),
         (~gps & (c("derived_geo_confidence") == 0), "no location"),
         ((c("ocr_confidence") > 0) & (c("ocr_confidence") < 55), "weak ocr"),
+        (c("time_conflicts") > 0, "time conflict"),
+        (c("ai_flags") > 0, "batch review"),
     )
     return F.array_compact(F.array(*(F.when(holds, F.lit(code)) for holds, code in rules)))
 
@@ -45,9 +48,11 @@ def next_action(c=F.col) -> Column:
     """Code of the first step that a record asks for."""
     return (
         F.when((c("parser_status") != "Valid") | (c("signature_status") == "Mismatch"), "second parser")
-        .when(c("timestamp_confidence") < 70, "verify time")
+        .when((c("time_conflicts") > 0) | (c("timestamp_confidence") < 70), "verify time")
         .when(c("gps_latitude").isNotNull(), "verify coordinate")
-        .when((c("derived_geo_confidence") > 0) | (c("map_confidence") > 0), "corroborate location")
+        .when(c("route"), "confirm route")
+        .when((c("derived_geo_confidence") > 0) | (c("map_labels") > 0) | (c("map_intelligence") > 0), "corroborate location")
+        .when(c("duplicate_group") != "", "compare duplicates")
         .otherwise("analyst note")
     )
 
@@ -179,17 +184,25 @@ def map_summary(points: DataFrame, case: str) -> DataFrame:
     )
 
 
-def launch_gate(evidence: DataFrame, case: str = "case_id") -> DataFrame:
-    """Weighted readiness of a case for handoff; a blocker caps it at 69. Needs columns strength (court) and derived_geo_confidence."""
-    share = lambda holds: F.bround(100 * F.avg(holds.cast("int")), 0)
+def launch_gate(evidence: DataFrame, case: str = "case_id", redacted: bool = True, ground_truth: bool = False) -> DataFrame:
+    """Weighted readiness of each case for handoff, its blockers and warnings; a blocker caps the score at 69. Needs court, the courtroom strength."""
+    c = F.col
+    count = lambda holds, name: F.count_if(F.coalesce(holds, F.lit(False))).alias(name)
+    secret = (c("pixel_score") >= 40) | (c("hidden_codes") > 0) | (c("hidden_embeds") > 0)
     out = evidence.groupBy(case).agg(
-        share(F.col("parser_status") == "Valid").alias("parser"), share(F.col("integrity_status") == "Verified").alias("integrity"), share(F.col("gps_confidence") >= 80).alias("gps"),
-        share(F.col("derived_geo_confidence") > 0).alias("derived"), share(F.col("timestamp_confidence") >= 80).alias("time"), share(F.col("court") >= 60).alias("court"),
+        F.count(F.lit(1)).alias("total"), count(c("parser_status") == "Valid", "parser"), count(c("integrity_status") == "Verified", "integrity"), count(c("gps_confidence") >= 80, "gps"),
+        count(c("derived_latitude").isNotNull() | (c("map_labels") > 0), "derived"), count(c("timestamp_confidence") >= 80, "time"), count(c("court") >= 60, "court_ready"),
+        count(c("claims") > 0, "claims"), count(secret, "hidden"), count(c("route"), "routes"),
     )
-    score = 0.14 * F.col("parser") + 0.18 * F.col("integrity") + 14 + 0.12 * 35 + 0.12 * F.greatest("gps", F.least("derived", F.lit(85.0))) + 0.10 * F.col("time") + 0.10 * F.col("court") + 0.03 * 100
-    blocked = (F.col("parser") < 100) | (F.col("integrity") < 100)
-    final = clamp(F.bround(score, 0).cast("int"), 0, 100)
-    return out.withColumn("blocked", blocked).withColumn("score", F.when(blocked, F.least(final, F.lit(69))).otherwise(final))
+    share = lambda name: F.bround(100 * c(name) / c("total"), 0)
+    score = 0.14 * share("parser") + 0.18 * share("integrity") + (14 if redacted else 0) + 0.12 * (100 if ground_truth else 35)
+    score = score + 0.12 * F.greatest(share("gps"), F.least(share("derived"), F.lit(85.0))) + 0.10 * share("time") + 0.10 * share("court_ready") + 0.07 * share("claims") + 0.03 * F.when(c("hidden") == 0, 100).otherwise(55)
+    blockers = (c("parser") < c("total")).cast("int") + (c("integrity") < c("total")).cast("int") + int(not redacted)
+    warnings = int(not ground_truth) + (c("gps") == 0).cast("int") + (c("time") == 0).cast("int") + (c("court_ready") == 0).cast("int") + (c("hidden") > 0).cast("int") + (c("routes") == 0).cast("int") + (c("claims") == 0).cast("int")
+    out = out.withColumns({"blockers": blockers, "warnings": warnings, "raw": clamp(F.bround(score, 0).cast("int"), 0, 100)})
+    out = out.withColumn("score", F.when(c("blockers") > 0, F.least(c("raw"), F.lit(69))).otherwise(c("raw")))
+    label = F.when(c("blockers") > 0, "blocked").when((c("score") >= 82) & (c("warnings") == 0), "ready").when(c("score") >= 55, "review").otherwise("needs_work")
+    return out.withColumn("status", label).select(case, "total", "hidden", "blockers", "warnings", "score", "status")
 
 
 def closest_peers(evidence: DataFrame, base_id, most: int = 10) -> DataFrame:

@@ -116,16 +116,6 @@ def same_device_edges(spark, sf_dir):
     return relations.device_edges(_by_device(spark, sf_dir), "device")
 
 
-@query(
-    _NEAR
-    + """, edges as (select source_id, target_id, 'nearby' relation, case when km <= 0.25 then 74 else 52 end weight from met where km <= 3)
-select * from edges order by weight desc, source_id, target_id, relation limit 120"""
-)
-def evidence_graph(spark, sf_dir):
-    near = relations.nearby_edges(points(spark, sf_dir)).select("source_id", "target_id", F.lit("nearby").alias("relation"), "weight")
-    return relations.top_edges(near)
-
-
 _SIMPLE_KINDS = ("windows_path", "url", "email", "token")
 
 
@@ -344,17 +334,6 @@ def evidence_strength(spark, sf_dir):
     return evidence(spark, sf_dir).select("evidence_id", score.alias("score"), label.alias("label"))
 
 
-@query(
-    f"""with {EVIDENCE_SQL}, s as (select *, {_STRENGTH} strength from evidence), a as (select case_id, cast(round_even(avg(least(timestamp_confidence, 100)), 0) as int) timeline,
-  cast(round_even(avg(case when gps_latitude is not null then greatest(gps_confidence, 70) when derived_geo_confidence > 0 then least(derived_geo_confidence, 70) else 0 end), 0) as int) location,
-  cast(round_even(avg(case when integrity_status = 'Verified' then 95 when integrity_status = 'Partial' then 70 when parser_status = 'Valid' and signature_status <> 'Mismatch' then 55 else 25 end), 0) as int) integrity,
-  cast(greatest(45, 100 - 5 * count(*) filter (ocr_confidence >= 70)) as int) privacy, cast(round_even(avg(strength), 0) as int) courtroom from s group by case_id)
-select *, cast(round_even(0.20 * timeline + 0.18 * location + 0.24 * integrity + 0.13 * privacy + 0.25 * courtroom, 0) as int) overall from a"""
-)
-def case_readiness(spark, sf_dir):
-    return casework.readiness(evidence(spark, sf_dir).withColumn("strength", scoring.evidence_strength()[0]))
-
-
 @query(
     """with l as (select * from orders where o_orderpriority like '1%'), r as (select * from orders where o_orderpriority like '2%')
 select 'o_custkey' field, cast(o_custkey as varchar) "value" from (select o_custkey from l intersect select o_custkey from r)
@@ -422,25 +401,6 @@ def gazetteer_match(spark, sf_dir):
     return gazetteer.match(table(spark, sf_dir, "documents").select(F.col("doc_id"), "text"), aliases).select("doc_id", "place").distinct()
 
 
-_ANOMALY = """(case when parser_status = 'Failed' then 46 else 0 end + case when signature_status = 'Mismatch' then 24 else 0 end) technical,
-  (case when not bookmarked then case when source_type in ('Screenshot', 'Messaging Export', 'Screenshot / Export', 'Graphic Asset') then 10 else 24 end else 0 end) metadata,
-  (case when timestamp_confidence < 20 then 16 else 0 end + case when gps_latitude is null and source_type in ('Camera Photo', 'Unknown', 'Edited / Exported') then 7 else 0 end + case when device_model <> 'D1' then 10 else 0 end + case when source_type = 'Edited / Exported' then 10 else 0 end) authenticity"""
-
-
-@query(
-    f"""with {EVIDENCE_SQL}, b as (select evidence_id, {_ANOMALY} from evidence), s as (select *, cast(least(greatest(round_even(0.45 * authenticity + 0.25 * metadata + 0.65 * technical, 0), 0), 100) as int) score from b)
-select evidence_id, authenticity, metadata, technical, score, case when technical >= 44 or score >= 70 then 'High' when score >= 35 then 'Medium' else 'Low' end level from s"""
-)
-def anomaly_score(spark, sf_dir):
-    e = evidence(spark, sf_dir).withColumns(
-        {
-            "structure_status": F.lit("Normal"), "format_trust": F.lit("Strong"), "has_exif": F.col("bookmarked"), "timestamp": F.when(F.col("timestamp_confidence") >= 20, F.lit("known")),
-            "timestamp_source": F.lit("EXIF"), "software": F.lit("N/A"), "hidden_code": F.lit(False), "hidden_embeds": F.lit(False), "time_conflict": F.lit(False), "pixel_score": F.lit(0),
-            "duplicate_group": F.lit(None).cast("string"), "dominant_device": F.lit("D1"),
-        }
-    )
-    columns = scoring.anomaly_columns()
-    return e.select("evidence_id", *(columns[c].alias(c) for c in ("authenticity", "metadata", "technical", "score", "level")))
 
 
 @query(

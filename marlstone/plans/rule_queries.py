@@ -9,31 +9,6 @@ from ..operators import rules
 from ..sources.tables import EVIDENCE_SQL, POINTS_SQL, evidence, points, table
 from .queries import _STRENGTH, query
 
-_COURT = """least(greatest((case when timestamp_confidence >= 90 then 28 when timestamp_confidence >= 70 then 18 when timestamp_confidence > 0 then 8 else 0 end
-  + case when gps_confidence >= 80 then 22 when gps_latitude is not null then 14 when derived_geo_confidence >= 60 then 10 when derived_geo_confidence > 0 then 5 else 0 end
-  + case integrity_status when 'Verified' then 20 when 'Partial' then 12 else 0 end + case when signature_status = 'Matched' then 8 else 0 end + case when parser_status = 'Valid' then 6 else 0 end
-  + case when device_model <> 'Unknown' then 5 else 0 end - case when parser_status <> 'Valid' or signature_status = 'Mismatch' then 14 else 0 end), 0), 100)"""
-_REASONS = """list_filter([case when parser_status <> 'Valid' then 'parser' end, case when signature_status = 'Mismatch' then 'signature' end, case when integrity_status not in ('Verified', 'Partial') then 'integrity' end,
-  case when timestamp_confidence < 70 then 'time' end, case when gps_latitude is null and derived_geo_confidence > 0 then 'derived location' end, case when gps_latitude is null and derived_geo_confidence = 0 then 'no location' end,
-  case when ocr_confidence > 0 and ocr_confidence < 55 then 'weak ocr' end], lambda x: x is not null)"""
-
-
-@query(
-    f"""with {EVIDENCE_SQL}, s as (select *, {_COURT} strength, {_REASONS} reasons from evidence)
-select evidence_id, strength, array_to_string(reasons, '; ') reasons, strength >= 68 and len(reasons) <= 2 and parser_status = 'Valid' and signature_status <> 'Mismatch' ready from s"""
-)
-def court_readiness(spark, sf_dir):
-    return evidence(spark, sf_dir).select("evidence_id", rules.courtroom_strength().alias("strength"), F.array_join(rules.court_reasons(), "; ").alias("reasons"), rules.court_ready().alias("ready"))
-
-
-@query(
-    f"""with {EVIDENCE_SQL} select evidence_id, case when parser_status <> 'Valid' or signature_status = 'Mismatch' then 'second parser' when timestamp_confidence < 70 then 'verify time'
-  when gps_latitude is not null then 'verify coordinate' when derived_geo_confidence > 0 or map_confidence > 0 then 'corroborate location' else 'analyst note' end action from evidence"""
-)
-def next_action(spark, sf_dir):
-    return evidence(spark, sf_dir).select("evidence_id", rules.next_action().alias("action"))
-
-
 @query(
     f"""with {EVIDENCE_SQL} select evidence_id, case when evidence_id % 7 = 0 then 'Review Required' when parser_status <> 'Valid' or signature_status = 'Mismatch' then 'Review Required'
   when evidence_id % 3 = 0 and not bookmarked then 'Verified' when evidence_id % 3 in (0, 1) then 'Partial' else 'Pending Review' end status from evidence"""
@@ -59,19 +34,6 @@ def location_anchor(spark, sf_dir):
     return e.withColumn("kind", kind).select("evidence_id", "kind", rules.anchor_radius(F.col("kind"), F.col("derived_geo_confidence"), F.col("src")).alias("radius"))
 
 
-@query(
-    """with t as (select page_id, 'see https://www.google.com/maps/@30.' || lpad(cast(page_id % 1000000 as varchar), 6, '0') || ',31.2895761,13z or geo:29.' || lpad(cast(page_id * 7 % 1000000 as varchar), 6, '0') || ',31.5000' t from pages)
-select page_id, 'at' kind, cast('30.' || lpad(cast(page_id % 1000000 as varchar), 6, '0') as double) lat, 31.2895761 lon, 92 confidence, 'Google Maps' provider from t
-union all select page_id, 'geo uri', cast('29.' || lpad(cast(page_id * 7 % 1000000 as varchar), 6, '0') as double), 31.5, 90, 'Google Maps' from t"""
-)
-def map_signals(spark, sf_dir):
-    """Coordinates in an address built from each page's id."""
-    six = lambda x: F.lpad((x % 1000000).cast("string"), 6, "0")
-    t = F.concat(F.lit("see https://www.google.com/maps/@30."), six(F.col("page_id")), F.lit(",31.2895761,13z or geo:29."), six(F.col("page_id") * 7), F.lit(",31.5000"))
-    rows = table(spark, sf_dir, "pages").select("page_id", t.alias("t"))
-    return rows.select("page_id", rules.map_provider(F.col("t")).alias("provider"), F.explode(rules.map_signals(F.col("t"))).alias("s")).select("page_id", "s.kind", "s.lat", "s.lon", "s.confidence", "provider")
-
-
 #: Words of a region, as (base, step, cap, words); the words of a deployment are data of its own.
 REGIONS = {"english": (16, 7, 50, ("the ", " and ", " of ")), "german": (16, 7, 50, (" der ", " und ", " die ")), "french": (18, 8, 46, (" les ", " de ", " et ")), "spanish": (18, 8, 46, (" el ", " que ", " los "))}
 
@@ -108,15 +70,6 @@ def map_reconstruction(spark, sf_dir):
     return rules.map_summary(points(spark, sf_dir).withColumn("native", F.col("id") % 3 == 0), "source")
 
 
-@query(
-    f"""with {EVIDENCE_SQL}, c as (select *, {_COURT} court from evidence), p as (select case_id, round_even(100 * avg(cast(parser_status = 'Valid' as int)), 0) parser, round_even(100 * avg(cast(integrity_status = 'Verified' as int)), 0) integrity,
-  round_even(100 * avg(cast(gps_confidence >= 80 as int)), 0) gps, round_even(100 * avg(cast(derived_geo_confidence > 0 as int)), 0) derived, round_even(100 * avg(cast(timestamp_confidence >= 80 as int)), 0) "time", round_even(100 * avg(cast(court >= 60 as int)), 0) court from c group by case_id)
-select *, parser < 100 or integrity < 100 blocked, cast(least(round_even(0.14 * parser + 0.18 * integrity + 14 + 0.12 * 35 + 0.12 * greatest(gps, least(derived, 85)) + 0.10 * "time" + 0.10 * court + 0.03 * 100, 0), case when parser < 100 or integrity < 100 then 69 else 100 end) as int) score from p"""
-)
-def launch_gate(spark, sf_dir):
-    return rules.launch_gate(evidence(spark, sf_dir).withColumn("court", rules.courtroom_strength()))
-
-
 @query(f"""with {EVIDENCE_SQL}, b as (select suspicion_score s from evidence where evidence_id = 7) select evidence_id, abs(suspicion_score - s) distance from evidence, b where evidence_id <> 7 order by distance, evidence_id limit 10""")
 def closest_peers(spark, sf_dir):
     return rules.closest_peers(evidence(spark, sf_dir), 7)

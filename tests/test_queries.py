@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from marlstone.plans import rule_queries  # noqa: F401  (registers its queries)
+from marlstone.plans import record_queries, rule_queries  # noqa: F401  (register their queries)
 from marlstone.plans.queries import ORACLE, QUERIES
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
