@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from difflib import SequenceMatcher
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -39,6 +42,7 @@ SUSPICIOUS_URLS = (
     (r"(?i)https?://[^\s/$.?#].*?(?:token|key|auth|callback|redirect|cmd|payload)=", "sensitive URL parameter"),
     (r"(?i)(?:pastebin|gist\.github|raw\.githubusercontent|discord(?:app)?\.com/api/webhooks|ngrok|trycloudflare|requestbin)", "high-risk external pivot URL"),
 )
+# Fixed value: names of editing programs.
 EDITORS = r"(?i)photoshop|lightroom|snapseed|gimp|canva|pixlr"
 
 
@@ -69,8 +73,8 @@ def sensitive_hits(text: Column, kinds: tuple[str, ...] = tuple(SENSITIVE)) -> C
     return F.filter(F.array(*(one(k) for k in kinds)), lambda x: x["hits"] > 0)
 
 
-def entities(text: Column, limit: int = 30) -> Column:
-    """array<struct<value, entity_type, confidence, sensitivity>>: first of each type and lower-case value."""
+def entities(text: Column, limit: int | None = None) -> Column:
+    """array<struct<value, entity_type, confidence, sensitivity>>: first of each type and lower-case value; a report may ask for a limit."""
 
     def one(kind, pattern, confidence, sensitivity):
         clean = lambda x: F.regexp_replace(F.regexp_replace(x, r"\s+", " "), r"^[ ,.;:|()\[\]{}]+|[ ,.;:|()\[\]{}]+$", "")
@@ -80,7 +84,7 @@ def entities(text: Column, limit: int = 30) -> Column:
     key = lambda x: F.concat_ws("\u0001", x["entity_type"], F.lower(x["value"]))
     keys = F.transform(found, key)
     first = F.filter(found, lambda x, i: F.array_position(keys, key(x)) == i + 1)
-    return F.slice(first, 1, limit)
+    return first if limit is None else F.slice(first, 1, limit)
 
 
 def labels_of(text: Column, patterns) -> Column:
@@ -121,11 +125,19 @@ def token_jaccard(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(a, b)) / F.greatest(F.size(F.array_union(a, b)), F.lit(1))
 
 
+def common_ratio(a: Column, b: Column) -> Column:
+    """Ratcliff and Obershelp's ratio of two texts: twice the characters of matching blocks over all characters."""
+    @F.pandas_udf("double")
+    def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([None if p is None or q is None else SequenceMatcher(None, p, q).ratio() for p, q in zip(x, y)], dtype="float64")
+
+    return ratio(a, b)
+
+
 def fuzzy_ratio(a: Column, b: Column) -> Column:
-    """The larger of token Jaccard and 1 - edit distance / longer length, of normalised texts."""
+    """The larger of token Jaccard and the ratio of matching blocks, of normalised texts."""
     na, nb = normalize_place(a), normalize_place(b)
-    edit = 1 - F.levenshtein(na, nb) / F.greatest(F.length(na), F.length(nb), F.lit(1))
-    return F.when((na == "") | (nb == ""), 0.0).when(na == nb, 1.0).otherwise(F.greatest(edit, token_jaccard(tokens(a), tokens(b))))
+    return F.when((na == "") | (nb == ""), 0.0).when(na == nb, 1.0).otherwise(F.greatest(common_ratio(na, nb), token_jaccard(tokens(a), tokens(b))))
 
 
 def readable_runs(content: Column, least: int = 8) -> Column:

@@ -116,38 +116,6 @@ def evidence_radius(native: Column, coordinates: Column, map_url: Column, level:
     )
 
 
-# Coordinate patterns of map addresses and texts, with confidence, in order of precedence.
-COORDINATES = (
-    ("at", r"(?i)@\s*(-?\d{1,2}\.\d{4,})\s*,\s*(-?\d{1,3}\.\d{4,})", 92),
-    ("pin", r"(?i)!3d(-?\d{1,2}\.\d{4,})!4d(-?\d{1,3}\.\d{4,})", 90),
-    ("geo uri", r"(?i)\bgeo:\s*(-?\d{1,2}\.\d{4,})\s*,\s*(-?\d{1,3}\.\d{4,})", 90),
-    ("query", r"(?i)(?:q|ll|center|query|destination|origin|daddr|saddr)\s*=\s*(-?\d{1,2}\.\d{4,})\s*(?:,|;|\+|\s)+\s*(-?\d{1,3}\.\d{4,})", 88),
-    ("marker", r"(?i)(?:mlat|lat)=\s*(-?\d{1,2}\.\d{4,}).{0,80}?(?:mlon|lon)=\s*(-?\d{1,3}\.\d{4,})", 88),
-    ("map hash", r"(?i)#map=\d+(?:\.\d+)?/(-?\d{1,2}\.\d{4,})/(-?\d{1,3}\.\d{4,})", 87),
-)
-PLAIN = r"\b(-?\d{1,2}\.\d{4,})\s*,\s*(-?\d{1,3}\.\d{4,})\b"
-
-
-def map_signals(text: Column) -> Column:
-    """array<struct<kind, lat, lon, confidence>> of coordinates in a text; a plain pair counts only where nothing precise is found."""
-
-    def found(kind: str, pattern: str, confidence: int) -> Column:
-        pairs = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)).alias("a"), F.regexp_extract_all(text, F.lit(pattern), F.lit(2)).alias("b"))
-        return F.transform(pairs, lambda p: F.struct(F.lit(kind).alias("kind"), p["a"].cast("double").alias("lat"), p["b"].cast("double").alias("lon"), F.lit(confidence).alias("confidence")))
-
-    valid = lambda s: s["lat"].between(-90, 90) & s["lon"].between(-180, 180)
-    precise = F.filter(F.concat(*(found(*c) for c in COORDINATES)), valid)
-    return F.when(F.size(precise) > 0, precise).otherwise(F.filter(found("plain", PLAIN, 86), valid))
-
-
-def map_provider(text: Column) -> Column:
-    low = F.lower(text)
-    return (
-        F.when(low.rlike(r"google\.com/maps|maps\.app\.goo\.gl|goo\.gl/maps"), "Google Maps").when(low.contains("maps.apple"), "Apple Maps")
-        .when(low.rlike(r"openstreetmap\.org|osm\.org"), "OpenStreetMap").when(low.startswith("geo:"), "Geo URI").otherwise("Unknown")
-    )
-
-
 def region_scores(text: Column, profiles: dict[str, tuple[int, int, int, tuple[str, ...]]]) -> Column:
     """array<struct<region, score, hits>> best first: base + step for each word that occurs, at most a cap; regions without words are left out."""
     low = F.lower(F.coalesce(text, F.lit("")))

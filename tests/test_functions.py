@@ -122,3 +122,36 @@ def test_upsert_and_rollback(spark):
     b = spark.createDataFrame([(2, "z"), (3, "w")], "id long, v string")
     assert sorted(map(tuple, casework.upsert(a, b, ["id"]).collect())) == [(1, "x"), (2, "z"), (3, "w")]
     assert [r[0] for r in casework.rollback(a, b, ["id"]).collect()] == [1]
+
+
+def test_fuzzy_match_misses_no_pair(spark):
+    """Against the ratio of all pairs; labels have letters lost, doubled and swapped, at the first place too."""
+    import random
+    from difflib import SequenceMatcher
+
+    rng = random.Random(5)
+    names = ["".join(rng.choice("abcdeinorst ") for _ in range(rng.randrange(4, 22))).strip() or "xy" for _ in range(60)]
+    labels = []
+    for name in names:
+        x = list(name)
+        for _ in range(rng.randrange(0, 3)):
+            k = rng.randrange(len(x))
+            x[k : k + 1] = rng.choice([[], [x[k], x[k]], ["z"]])
+            x = x or ["q"]
+        labels.append("".join(x))
+    labels += ["xlexandria", "two one"]
+    names += ["alexandria", "one two"]
+    clean = lambda s: " ".join(s.split())
+
+    def ratio(a, b):
+        a, b = clean(a), clean(b)
+        if not a or not b:
+            return 0.0
+        s, t = {w for w in a.split()}, {w for w in b.split()}
+        return 1.0 if a == b else max(SequenceMatcher(None, a, b).ratio(), len(s & t) / len(s | t))
+
+    for least in (0.88, 0.8):
+        got = {r["label"]: r["ratio"] for r in gazetteer.fuzzy_match(spark.createDataFrame([(x,) for x in labels], "label string"), spark.createDataFrame([(x, x) for x in names], "place string, alias string"), least).collect()}
+        want = {x: max(ratio(x, n) for n in names) for x in labels if clean(x)}
+        want = {x: r for x, r in want.items() if r >= least}
+        assert set(got) == set(want) and all(abs(got[x] - want[x]) < 1e-9 for x in want)
