@@ -239,7 +239,7 @@ def postings(nodes: DataFrame) -> DataFrame:
 
 def _shared(tokens: DataFrame) -> DataFrame:
     """``tokens(token, node)`` that more than one node has, with their number."""
-    return tokens.join(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"), "token")
+    return tokens.hint("merge").join(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"), "token")
 
 
 def sharing(tokens: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
@@ -348,7 +348,7 @@ def _dealt(rows: DataFrame, key: str, size: str, node: str) -> DataFrame:
 def candidate_edges(nodes: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
     """Edges (u, v) between nodes that share one of ``tokens(token, node)``, prefixes under one order, and may link by size and part counts."""
     facts = nodes.select("node", "n_shingles", "parts")
-    met = _dealt(_shared(tokens).join(facts, "node"), "token", "rows", "node")
+    met = _dealt(_shared(tokens).hint("merge").join(facts, "node"), "token", "rows", "node")
 
     def link(batches):
         for t, starts in _grouped(batches, 3):
@@ -419,28 +419,32 @@ def _linked_pairs(rows: DataFrame, classes, percent: int) -> DataFrame:
 
 def verified_edges(sets: DataFrame, families: DataFrame, classes, percent: int) -> DataFrame:
     """Edges (u, v) of links that connect what is linked; ``families(node, family)`` of stored ``sets(node, n_shingles, tokens)``."""
-    sizes = families.join(sets.select("node", "n_shingles"), "node").groupBy("family").agg(F.count(F.lit(1)).alias("size"), F.sum("n_shingles").alias("weight"))
+    held = stored(sets.select("node", "n_shingles", "tokens").hint("merge").join(families, "node"), "ngram-held")
+    sizes = held.groupBy("family").agg(F.count(F.lit(1)).alias("size"), F.sum("n_shingles").alias("weight"))
     blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("weight") / BLOCK_TOKENS)).cast("int")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     dealt = families.join(sizes.select("family", blocks.alias("blocks")), "family").withColumn("own", own)
-    dealt = stored(dealt, "ngram-blocks")
-    whole = sets.select("node", "tokens")
-    one, many = dealt.where("blocks = 1"), dealt.where("blocks > 1")
     some = F.explode(F.array_distinct(F.array(*[F.min(F.struct(F.xxhash64(F.lit(k), "node"), "node"))["node"] for k in range(HUBS)])))
-    hubs = many.groupBy("family").agg(some.alias("node"))
-    hubs = many.join(hubs, ["family", "node"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("block <> own")
-    met = dealt.select("family", F.col("own").alias("block"), "node").withColumn("home", F.lit(1)).unionByName(hubs.select("family", "block", "node").withColumn("home", F.lit(0)))
-    first = stored(_linked_pairs(met.withColumn("tree", F.col("node")).join(whole, "node"), classes, percent), "ngram-links")
+    hubs = dealt.where("blocks > 1").groupBy("family").agg(some.alias("node")).withColumn("hub", F.lit(True))
+    dealt = stored(dealt.join(hubs, ["family", "node"], "left").withColumn("hub", F.coalesce("hub", F.lit(False))), "ngram-blocks")
+
+    def met(rows: DataFrame) -> DataFrame:
+        """``rows(node, family, own, places, tree)`` with their sets, in each of the blocks that they have a place in."""
+        rows = held.select("node", "tokens").hint("merge").join(rows, "node").withColumn("block", F.explode("places"))
+        return rows.select("family", "block", "node", "tree", (F.col("block") == F.col("own")).cast("int").alias("home"), "tokens")
+
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    own_and_common = dealt.select("node", "family", "own", F.col("node").alias("tree"), F.when(F.col("hub"), every).otherwise(F.array("own")).alias("places"))
+    first = stored(_linked_pairs(met(own_and_common), classes, percent), "ngram-links")
+    many = dealt.where("blocks > 1")
     if many.isEmpty():
         return first
     trees = many.join(components(first), "node", "left").withColumn("tree", F.coalesce("root", "node")).drop("root")
     trees = stored(trees, "ngram-trees")
     counts = trees.groupBy("family", "tree").agg(F.count(F.lit(1)).alias("n"))
     main = counts.groupBy("family").agg(F.max(F.struct("n", "tree"))["tree"].alias("main"), F.count(F.lit(1)).alias("trees")).where("trees > 1")
-    left = trees.join(main, "family")
-    places = F.when(F.col("tree") == F.col("main"), F.array("own")).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
-    met = left.withColumn("block", F.explode(places)).withColumn("home", (F.col("block") == F.col("own")).cast("int"))
-    second = _linked_pairs(met.select("family", "block", "node", "tree", "home").join(whole, "node"), classes, percent)
+    places = F.when(F.col("tree") == F.col("main"), F.array("own")).otherwise(every)
+    second = _linked_pairs(met(trees.join(main, "family").select("node", "family", "own", "tree", places.alias("places"))), classes, percent)
     return stored(first.unionByName(second), "ngram-links")
 
 
@@ -490,9 +494,9 @@ def _linked(docs: DataFrame, k: int, percent: int) -> DataFrame:
     reps = nodes.join(passing, "node").select("node", "row.label", "row.key")
     sets = stored(sets_of(docs, reps, classes, k, percent), "", wide[2])
     for order in range(1, ORDERS):
-        tokens = postings(sets.select("node", F.col(f"order{order}").alias("tokens"))).join(passing, "node")
+        tokens = postings(sets.select("node", F.col(f"order{order}").alias("tokens")).hint("merge").join(passing, "node"))
         passing = stored(sharing(tokens, sets, percent), "ngram-passing")
-    sets = sets.join(passing, "node", "left_semi")
+    sets = sets.join(passing.hint("merge"), "node")
     heads = _heads(sets.select("node", "tokens"), classes, percent)
     families = stored(components(candidate_edges(sets, postings(heads), percent)).withColumnRenamed("root", "family"), "ngram-families")
     edges = verified_edges(sets, families, classes, percent)
