@@ -100,6 +100,32 @@ def bounded_claim_confidence(base: Column, evidence: Column, contradictions: Col
     return clamp(base + F.least(F.lit(20), 5 * evidence) - F.least(F.lit(25), 12 * contradictions) - F.least(F.lit(18), 4 * limitations), 0, 100)
 
 
-def digital_risk(risk: Column, confidence: Column, visible_only: Column) -> Column:
-    capped = F.when(visible_only, F.least(risk, F.lit(24))).otherwise(risk)
-    return F.when((capped >= 72) & (confidence >= 62), "ISOLATE").when(capped >= 45, "REVIEW").when(capped >= 18, "WATCH").otherwise("CLEAR")
+def risk_call(risk: Column, confidence: Column) -> Column:
+    return F.when((risk >= 72) & (confidence >= 62), "ISOLATE").when(risk >= 45, "REVIEW").when(risk >= 18, "WATCH").otherwise("CLEAR")
+
+
+# Signals of the digital risk with what they add to score and confidence; first match within a group counts.
+DIGITAL_RULES = (
+    ("code", "signal", "dangerous and codes > 0", 42, 22),
+    ("code", "signal", "dangerous", 26, 12),
+    ("container", "signal", "embeds > 0 or payloads > 0", 30, 18),
+    ("planes", "signal", "lsb > 0", 34, 18),
+    ("marked planes", "signal", "lsb > 0 and marked_lsb", 18, 8),
+    ("alpha", "signal", "alpha", 16, 10),
+    ("statistics", "signal", "pixel_score >= 40 and lsb <= 0", 14, 6),
+    ("entropy", "signal", "entropy_channels >= 2", 8, 4),
+)
+
+
+def digital_risk() -> tuple[Column, Column, Column]:
+    """Score, confidence and call from the columns dangerous, visible_code, codes, embeds, payloads, lsb, marked_lsb, alpha, pixel_score, entropy_channels, jpeg.
+
+    Code that is only visible on the screen is no hidden payload: its score is at most 24.
+    """
+    visible_only = F.expr("visible_code and not dangerous and codes <= 0 and embeds <= 0 and payloads <= 0 and lsb <= 0")
+    score, sure = _sum_of(DIGITAL_RULES, 0), 35 + _sum_of(DIGITAL_RULES, 1)
+    score = F.when(visible_only, F.least(score, F.lit(24))).otherwise(score)
+    sure = F.when(visible_only, F.greatest(sure, F.lit(55))).otherwise(sure)
+    sure = F.when(F.expr("jpeg and pixel_score >= 40 and lsb <= 0"), F.greatest(F.lit(20), sure - 6)).otherwise(sure)
+    score, sure = clamp(score, 0, 100), clamp(sure, 0, 100)
+    return score, sure, risk_call(score, sure)

@@ -140,6 +140,16 @@ def fuzzy_ratio(a: Column, b: Column) -> Column:
     return F.when((na == "") | (nb == ""), 0.0).when(na == nb, 1.0).otherwise(F.greatest(common_ratio(na, nb), token_jaccard(tokens(a), tokens(b))))
 
 
+def entropy(items: Column) -> Column:
+    """Shannon entropy in bits of the items of an array: log2 n - sum(k log2 k) / n over the runs k of the sorted items."""
+    state = lambda last, run, total: F.struct(last.alias("last"), run.cast("double").alias("run"), total.cast("double").alias("total"))
+    closed = lambda a: a["total"] + F.when(a["run"] > 1, a["run"] * F.log2(a["run"])).otherwise(0.0)
+    step = lambda a, x: F.when(a["last"] == x, state(x, a["run"] + 1, a["total"])).otherwise(state(x, F.lit(1.0), closed(a)))
+    start = state(F.lit(None).cast("string"), F.lit(0.0), F.lit(0.0))
+    n = F.size(items)
+    return F.when(n > 0, F.greatest(F.log2(n) - F.aggregate(F.array_sort(items), start, step, closed) / n, F.lit(0.0)))
+
+
 def readable_runs(content: Column, least: int = 8) -> Column:
     return all_matches(content, f"[ -~]{{{least},}}")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scoring import clamp
@@ -180,3 +180,18 @@ def closest_peers(evidence: DataFrame, base_id, most: int = 10) -> DataFrame:
         return evidence.where("false").select("evidence_id", F.lit(0).alias("distance"))
     others = evidence.where(F.col("evidence_id") != base_id)
     return others.select("evidence_id", F.abs(F.col("suspicion_score") - base[0]).alias("distance")).orderBy("distance", "evidence_id").limit(most)
+
+
+def first_rows(rows: DataFrame, group: str, order: list, most: int) -> DataFrame:
+    """The first ``most`` rows of each group, with their place nth."""
+    return rows.withColumn("nth", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("nth") <= most)
+
+
+def guardian_cards(evidence: DataFrame, case: str = "case_id") -> DataFrame:
+    """Seven figures of each case: best strength in court, risks, hidden content, duplicate groups, located records, routes, share of verified copies. Needs court."""
+    c = F.col
+    return evidence.groupBy(case).agg(
+        F.max("court").alias("best_court"), F.count_if(c("risk_level") != "Low").alias("risks"), F.count_if((c("hidden_codes") > 0) | (c("hidden_embeds") > 0) | (c("pixel_score") >= 40)).alias("hidden"),
+        F.count_distinct(F.nullif("duplicate_group", F.lit(""))).alias("duplicate_groups"), F.count_if(c("gps_latitude").isNotNull()).alias("located"), F.count_if("route").alias("routes"),
+        F.bround(100 * F.avg(c("copy_verified").cast("int")), 0).cast("int").alias("verified"),
+    )

@@ -171,12 +171,16 @@ def exact_duplicates(spark, sf_dir):
     return relations.exact_duplicates(docs)
 
 
-_BITS = """with bits as (select vec_id id, list_reduce([case when embedding[i] > 0 then (1::hugeint << (i - 1)) else 0::hugeint end for i in range(1, 65)], lambda a, b: a + b) h from embeddings),
+#: Sign bits of the vectors, and copies of every third with some bits turned over.
+_BITS = """with own as (select vec_id id, list_reduce([case when embedding[i] > 0 then (1::hugeint << (i - 1)) else 0::hugeint end for i in range(1, 65)], lambda a, b: a + b) h from embeddings),
+bits as (select * from own union all select 1000000 + id, xor(h, ((1::hugeint << (id % 9)::int) - 1) << (id % 50)::int) from own where id % 3 = 0),
 pairs as (select a.id left_id, b.id right_id, cast(bit_count(xor(a.h, b.h)) as int) distance from bits a join bits b on a.id < b.id)"""
 
 
 def _sign_hashes(spark, sf_dir):
-    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), vectors.sign_bits(F.col("embedding")).alias("hash"))
+    own = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), vectors.sign_bits(F.col("embedding")).alias("hash"))
+    turned = F.call_function("shiftleft", F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("id") % 9).cast("int")) - 1, (F.col("id") % 50).cast("int"))
+    return own.unionByName(own.where("id % 3 = 0").select((F.col("id") + 1000000).alias("id"), F.col("hash").bitwiseXOR(turned).alias("hash")))
 
 
 @query(_BITS + " select * from pairs where distance <= 6")
@@ -191,7 +195,7 @@ reach as (with recursive r(id, root) as (select u, u from near union select r.id
 select id, min(root) cluster_id from reach group by id"""
 )
 def duplicate_clusters(spark, sf_dir):
-    return relations.clusters(relations.hamming_pairs(_sign_hashes(spark, sf_dir), 6))
+    return relations.clusters(relations.near_hash_edges(_sign_hashes(spark, sf_dir), 6))
 
 
 @query(
@@ -237,35 +241,32 @@ def hash_chain_verify(spark, sf_dir):
     return custody.verify_chain(chain, "conv_id", "turn")
 
 
-_COS = """with q as (select embedding q from embeddings where vec_id = 0), s as (select vec_id id, label,
-  list_sum([cast(embedding[i] as double) * cast(q[i] as double) for i in range(1, len(q) + 1)]) / (sqrt(list_sum([cast(x as double) * cast(x as double) for x in embedding])) * sqrt(list_sum([cast(x as double) * cast(x as double) for x in q]))) c from embeddings, q)"""
+_COS = """with s as (select q.vec_id query_id, v.vec_id id, v.label, list_sum([cast(v.embedding[i] as double) * cast(q.embedding[i] as double) for i in range(1, len(q.embedding) + 1)])
+  / (sqrt(list_sum([cast(x as double) * cast(x as double) for x in v.embedding])) * sqrt(list_sum([cast(x as double) * cast(x as double) for x in q.embedding]))) c from embeddings v, embeddings q where q.vec_id % 50 = 0)"""
 
 
-def _scored(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings")
-    q = e.where("vec_id = 0").select("embedding").first()
-    given = F.array(*(F.lit(float(x)) for x in (q[0] if q else [])))
-    return e.select(F.col("vec_id").alias("id"), "label", vectors.cosine(F.col("embedding"), given).alias("c"))
+def _cosines(spark, sf_dir):
+    """Every vector whose id is divisible by 50 as a query against all vectors."""
+    e = table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "id")
+    return relations.cosine_search(e, e.where("id % 50 = 0"))
 
 
-@query(_COS + " select id, round(least(c, 1), 5) similarity from s where c > 0 order by c desc, id limit 8")
+@query(_COS + " select query_id, id, round(least(c, 1), 5) similarity from s where c > 0 qualify row_number() over (partition by query_id order by c desc, id) <= 8")
 def cosine_topk(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings")
-    q = e.where("vec_id = 0").select("embedding").first()
-    top = relations.cosine_topk(e.withColumnRenamed("vec_id", "id"), list(q[0]) if q else [])
-    return top.select("id", F.round("similarity", 5).alias("similarity"))
+    """The eight vectors most like each query; the limit is the feature."""
+    return relations.best_of_each(_cosines(spark, sf_dir)).withColumn("similarity", F.round("similarity", 5))
 
 
 @query(
     _COS
-    + """ select id, label, round((greatest(least(c, 1), -1) + 1) * 50, 2) score, case when (c + 1) * 50 >= 96 then 'near-identical' when (c + 1) * 50 >= 90 then 'very similar' else 'similar' end band
+    + """ select query_id, id, label, round((greatest(least(c, 1), -1) + 1) * 50, 2) score, case when (c + 1) * 50 >= 96 then 'near-identical' when (c + 1) * 50 >= 90 then 'very similar' else 'similar' end band
 from s where round((greatest(least(c, 1), -1) + 1) * 50, 2) >= 60"""
 )
 def similarity_threshold(spark, sf_dir):
     score = F.round((F.greatest(F.least("c", F.lit(1.0)), F.lit(-1.0)) + 1) * 50, 2)
     raw = (F.col("c") + 1) * 50
-    out = _scored(spark, sf_dir).withColumn("score", score).where("score >= 60")
-    return out.select("id", "label", "score", F.when(raw >= 96, "near-identical").when(raw >= 90, "very similar").otherwise("similar").alias("band"))
+    out = _cosines(spark, sf_dir).withColumn("score", score).where("score >= 60")
+    return out.select("query_id", "id", "label", "score", F.when(raw >= 96, "near-identical").when(raw >= 90, "very similar").otherwise("similar").alias("band"))
 
 
 @query(
@@ -433,15 +434,14 @@ def list_cases(spark, sf_dir):
 
 
 @query(
-    """with c as (select doc_id, unnest(string_split(text, '')) ch from documents where text <> ''), n as (select doc_id, ch, count(*) k from c group by all), t as (select doc_id, sum(k) total from n group by doc_id)
-select doc_id, round(-sum(k / total * log2(k / total)) + 0.0, 4) entropy from n join t using (doc_id) group by doc_id"""
+    """with d as (select row_number() over () r, doc_id, text from documents where text <> ''), c as (select r, doc_id, unnest(string_split(text, '')) ch from d), n as (select r, doc_id, ch, count(*) k from c group by all), t as (select r, sum(k) total from n group by r)
+select doc_id, round(-sum(k / total * log2(k / total)) + 0.0, 4) entropy from n join t using (r) group by r, doc_id"""
 )
 def char_entropy(spark, sf_dir):
-    chars = table(spark, sf_dir, "documents").where("text <> ''").select("doc_id", F.explode(F.split("text", "")).alias("ch"))
-    counts = chars.groupBy("doc_id", "ch").agg(F.count(F.lit(1)).alias("k"))
-    # -sum(p log2 p) with p = k / n is log2 n - sum(k log2 k) / n, so one more aggregate does
-    out = counts.groupBy("doc_id").agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.log2("k")).alias("s"))
-    return out.select("doc_id", F.round(F.log2("n") - F.col("s") / F.col("n") + F.lit(0.0), 4).alias("entropy"))
+    """Counted inside the row: sorted characters, and the lengths of their runs."""
+    docs = table(spark, sf_dir, "documents").where("text <> ''")
+    return docs.select("doc_id", F.round(text.entropy(F.split("text", "")), 4).alias("entropy"))
+
 
 
 @query(
@@ -470,8 +470,3 @@ def gps_confidence(spark, sf_dir):
 def geo_cells(spark, sf_dir):
     p = points(spark, sf_dir).withColumn("b", geo.box(F.col("lat"), F.col("lon"), F.lit(500)))
     return p.select("id", "b.south", "b.west", "b.north", "b.east", geo.cell_resolution(F.lit(500)).alias("resolution"))
-
-
-@query(f"""with {EVIDENCE_SQL} select evidence_id, case when least(suspicion_score, case when bookmarked then 24 else 100 end) >= 72 and ocr_confidence >= 62 then 'ISOLATE' when least(suspicion_score, case when bookmarked then 24 else 100 end) >= 45 then 'REVIEW' when least(suspicion_score, case when bookmarked then 24 else 100 end) >= 18 then 'WATCH' else 'CLEAR' end verdict from evidence""")
-def digital_risk(spark, sf_dir):
-    return evidence(spark, sf_dir).select("evidence_id", scoring.digital_risk(F.col("suspicion_score"), F.col("ocr_confidence"), F.col("bookmarked")).alias("verdict"))

@@ -54,8 +54,11 @@ def test_hashes(spark):
     assert value(spark, vectors.hex_hamming(F.lit("abcd000000000000"), F.lit("abcd000000000001"))) == 1
     assert value(spark, vectors.hex_hamming(F.lit("0000"), F.lit("0001"))) == 64
     assert value(spark, vectors.cosine(F.array(F.lit(1.0), F.lit(0.0)), F.array(F.lit(1.0)))) == 0.0
-    name, score = relations.relation(F.lit(1), F.lit(2), F.lit(False), F.lit(False))
-    assert value(spark, name) == "Near duplicate" and value(spark, score) == 93
+    related = lambda *x: value(spark, relations.relation(*(F.lit(v) for v in x)))
+    assert related(False, 1, 0, False, False, 1.0, "other", "other")[:2] == ("Near duplicate", 93)
+    assert related(True, 64, 0, False, False, 0.0, "camera", "screen")[:2] == ("Exact duplicate", 100)
+    assert related(False, 0, 5, True, True, 1.0, "camera", "screen") is None and related(False, 3, 0, False, True, 1.0, "other", "other") is None
+    assert related(False, 9, 2, False, False, 0.0, "other", "screen")[:2] == ("Derivative / related", 54)
 
 
 def test_travel(spark):
@@ -112,7 +115,7 @@ def test_gazetteer(spark):
 
 
 def test_scores(spark):
-    assert value(spark, scoring.digital_risk(F.lit(90), F.lit(90), F.lit(True))) == "WATCH"
+    assert [value(spark, scoring.risk_call(F.lit(s), F.lit(c))) for s, c in ((90, 90), (90, 50), (30, 90), (3, 90))] == ["ISOLATE", "REVIEW", "WATCH", "CLEAR"]
     assert value(spark, scoring.weighted_confidence(F.array(F.lit(60), F.lit(None).cast("int"), F.lit(70)))) == 100
     assert value(spark, timeparse.timeline_confidence(F.lit(90), F.lit("EXIF"), F.lit(False), F.lit(True))) == 55
 
