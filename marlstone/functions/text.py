@@ -42,6 +42,41 @@ SUSPICIOUS_URLS = (
     (r"(?i)https?://[^\s/$.?#].*?(?:token|key|auth|callback|redirect|cmd|payload)=", "sensitive URL parameter"),
     (r"(?i)(?:pastebin|gist\.github|raw\.githubusercontent|discord(?:app)?\.com/api/webhooks|ngrok|trycloudflare|requestbin)", "high-risk external pivot URL"),
 )
+# Labelled patterns of payloads in recovered strings, and of secrets, privacy and documents in visible text.
+PAYLOAD_MARKERS = (
+    (r"(?i)<script\b", "script"),
+    (r"(?i)javascript:", "javascript uri"),
+    (r"(?i)<svg\b", "svg"),
+    (r"(?i)onload=|onerror=", "event handler"),
+    (r"(?i)<\?php", "php"),
+    (r"(?i)eval\(", "eval"),
+    (r"(?i)document\.cookie|localStorage|sessionStorage", "browser data"),
+    (r"(?i)powershell|cmd\.exe|/bin/bash|curl\s|wget\s", "command"),
+    (r"(?i)base64,|frombase64string|atob\(", "base64"),
+    (r"(?i)import\s+os|subprocess\.|__import__", "python"),
+    (r"(?i)SELECT\s+.+FROM|UNION\s+SELECT", "sql"),
+    (r"(?i)token=|api[_-]?key|secret|password=|authorization:", "credential"),
+    (r"-----BEGIN [A-Z ]+-----", "key block"),
+)
+VISIBLE_SECRETS = (
+    (r"(?i)\b(?:api[_-]?key|secret|bearer|authorization|token|password|passwd|jwt|sessionid|cookie)\b", "credential word"),
+    (r"AKIA[0-9A-Z]{16}", "access key"),
+    (r"-----BEGIN (?:RSA |EC |OPENSSH )?PRIVATE KEY-----", "private key"),
+    (r"\b(?:sk-[A-Za-z0-9_-]{20,}|xox[baprs]-[A-Za-z0-9-]{20,})\b", "api token"),
+    (r"eyJ[A-Za-z0-9_-]{20,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", "jwt"),
+)
+VISIBLE_PRIVACY = (
+    (r"\b\+?\d[\d\s().-]{7,}\d\b", "phone"),
+    (r"(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b", "email"),
+    (r"(?i)\b(?:street|st\.|avenue|ave\.|road|rd\.|building|apartment|floor|flat|unit)\b", "address"),
+    (r"\b\d{1,3}\.\d{3,},\s*-?\d{1,3}\.\d{3,}\b", "coordinates"),
+)
+VISIBLE_DOCUMENTS = (
+    (r"(?i)\b(?:passport|national\s+id|identity\s+card|driver'?s?\s+license|residence\s+permit)\b", "identity"),
+    (r"(?i)\b(?:credit\s*card|debit\s*card|iban|swift|routing\s+number|bank\s+account)\b", "financial"),
+    (r"(?i)\b(?:ssn|social\s+security|tax\s+id|national\s+number)\b", "government id"),
+    (r"(?i)\b(?:qr\s*code|barcode|2fa|mfa|otp|recovery\s+code)\b", "auth code"),
+)
 # Fixed value: names of editing programs.
 EDITORS = r"(?i)photoshop|lightroom|snapseed|gimp|canva|pixlr"
 
@@ -150,6 +185,23 @@ def entropy(items: Column) -> Column:
     return F.when(n > 0, F.greatest(F.log2(n) - F.aggregate(F.array_sort(items), start, step, closed) / n, F.lit(0.0)))
 
 
+def redacted_with_audit(text: Column) -> Column:
+    """struct<text, hits>: the redacted text, and what was found in the one before."""
+    return F.struct(redact(text).alias("text"), sensitive_hits(text).alias("hits"))
+
+
+def search_queries(term: Column, region: Column, limit: int = 12) -> Column:
+    """Queries by which a person may look for a clue: coordinates, numbers and domains as they are, other text with its region; first of equals."""
+    clean = F.regexp_replace(F.regexp_replace(F.coalesce(term, F.lit("")), r"\s+", " "), r"^[ \-:|•·,.;]+|[ \-:|•·,.;]+$", "")
+    quoted = lambda x: F.concat(F.lit('"'), x, F.lit('"'))
+    point = F.regexp_extract(clean, r"-?\d{1,2}\.\d{4,}\s*,\s*-?\d{1,3}\.\d{4,}", 0)
+    domains = F.slice(F.regexp_extract_all(clean, F.lit(r"(?i)\b(?:[a-z0-9-]+\.)+[a-z]{2,}\b"), F.lit(0)), 1, 2)
+    of_domains = F.flatten(F.transform(domains, lambda d: F.array(quoted(d), F.concat(F.lit("site:"), d))))
+    plain = F.array(F.concat(quoted(clean), F.lit(" "), quoted(region)), F.concat(quoted(clean), F.lit(" address")))
+    every = F.when(F.length(clean) < 3, F.array().cast("array<string>")).when(point != "", F.array(point, quoted(point))).otherwise(F.concat(of_domains, plain))
+    return F.slice(F.array_distinct(every), 1, limit)
+
+
 def readable_runs(content: Column, least: int = 8) -> Column:
     return all_matches(content, f"[ -~]{{{least},}}")
 

@@ -311,3 +311,106 @@ def primary_issue(c=F.col) -> Column:
 
 def image_threat_label(score: Column) -> Column:
     return F.when(score >= 85, "CRITICAL").when(score >= 65, "HIGH").when(score >= 38, "REVIEW").when(score >= 15, "LOW").otherwise("SAFE")
+
+
+# ------------------------------------------------------------------ scenes, sources, maps
+
+CHAT_APPS = ("WhatsApp", "Telegram", "Signal", "Discord", "Facebook", "Instagram", "X / Twitter")
+BROWSERS = ("Chrome", "Safari", "Firefox", "Edge")
+MAP_APPS = ("Google Maps", "Google Earth", "Map Application")
+
+
+def scene(c=F.col) -> tuple[Column, Column]:
+    """What a record shows, and how surely; the first kind that fits."""
+    map_app, labels = c("app").isin(*MAP_APPS), (c("map_labels") > 0) | (c("place_candidates") > 0)
+    mapped = map_app | labels | native(c) | derived(c) | (c("map_intelligence") >= 50)
+    sure = F.greatest(c("derived_geo_confidence"), c("gps_confidence"), c("map_intelligence"), F.lit(58), F.when(map_app, 84).otherwise(0), F.when(derived(c), 78).otherwise(0))
+    rules = (
+        (mapped & c("route"), "route map", sure), (mapped, "map", sure), (c("app").isin(*CHAT_APPS), "messaging", F.lit(82)), (c("app").isin(*BROWSERS) | (c("visible_urls") > 0), "browser", F.lit(74)),
+        (c("source_type") == "Camera Photo", "camera", F.when(~c("device_model").isin("Unknown", "N/A", ""), 80).otherwise(68)),
+    )
+    label, score = None, None
+    for holds, name, points in rules:
+        label = F.when(holds, name) if label is None else label.when(holds, name)
+        score = F.when(holds, points) if score is None else score.when(holds, points)
+    return label.otherwise("screen"), score.otherwise(54)
+
+
+def source_profile(c=F.col) -> Column:
+    """struct<kind, confidence> of how a file came about; the first rule that holds counts."""
+    row = lambda kind, confidence: F.struct(F.lit(kind).alias("kind"), F.lit(confidence).cast("int").alias("confidence") if isinstance(confidence, int) else confidence.cast("int").alias("confidence"))
+    screen = c("source_type").isin("Screenshot", "Screenshot / Export", "Messaging Export")
+    map_app = c("app").isin("Google Maps", "Google Earth")
+    wide = c("width") >= c("height")
+    return (
+        F.when((c("width") <= 0) | (c("height") <= 0), row("malformed", 74))
+        .when(map_app | ((c("map_labels") > 0) & screen), row("map screen", F.when(map_app, 84).otherwise(74)))
+        .when(c("app").isin(*BROWSERS) & (c("visible_urls") > 0), row("browser screen", 78))
+        .when(c("app").isin(*CHAT_APPS), row("chat screen", 80))
+        .when(c("source_type") == "Camera Photo", row("camera original", F.when(c("has_exif"), 86).otherwise(62)))
+        .when(c("source_type") == "Edited / Exported", row("edited export", 76))
+        .when(c("source_type").isin("Screenshot", "Screenshot / Export"), F.when(wide, row("desktop capture", 72)).otherwise(row("mobile screen", 72)))
+        .when(c("source_type") == "Messaging Export", row("chat export", 78))
+        .when(c("source_type") == "Graphic Asset", row("graphic", 70))
+        .otherwise(row("unknown", 48))
+    )
+
+
+#: Zones of a map image that a reader should look at, by priority.
+ZONES = (("search bar", 92), ("pin bubble", 90), ("route card", 86), ("labels", 78), ("corners", 72))
+
+
+def map_zones(c=F.col, limit: int = 8) -> Column:
+    """array<struct<zone, priority>> of a record with map context, first the most telling."""
+    fixed = F.array(*(F.struct(F.lit(zone).alias("zone"), F.lit(priority).alias("priority")) for zone, priority in ZONES))
+    route = F.array(F.struct(F.lit("waypoints").alias("zone"), F.lit(95).alias("priority")))
+    return F.when((c("map_intelligence") > 0) | c("route"), F.slice(F.when(c("route"), F.concat(route, fixed)).otherwise(fixed), 1, limit)).otherwise(F.array().cast("array<struct<zone:string,priority:int>>"))
+
+
+def provider_links(lat: Column, lon: Column) -> Column:
+    """array<struct<provider, url>> that show a point; null coordinates give none. Nothing is fetched."""
+    point = F.format_string("%.6f,%.6f", lat, lon)
+    marker = F.format_string("https://www.openstreetmap.org/?mlat=%.6f&mlon=%.6f#map=16/%.6f/%.6f", lat, lon, lat, lon)
+    links = (("Google Maps", F.concat(F.lit("https://www.google.com/maps/search/?api=1&query="), point)), ("OpenStreetMap", marker), ("Apple Maps", F.concat(F.lit("https://maps.apple.com/?ll="), point)))
+    some = F.array(*(F.struct(F.lit(name).alias("provider"), url.alias("url")) for name, url in links))
+    return F.when(lat.isNotNull() & lon.isNotNull(), some).otherwise(F.array().cast("array<struct<provider:string,url:string>>"))
+
+
+def best_anchor(c=F.col) -> Column:
+    """struct<kind, lat, lon> of the point that a map of a record shows: the native one, else the derived one."""
+    point = lambda kind, p: F.struct(F.lit(kind).alias("kind"), c(f"{p}_latitude").cast("double").alias("lat"), c(f"{p}_longitude").cast("double").alias("lon"))
+    return F.coalesce(F.when(native(c), point("native", "gps")), F.when(derived(c), point("derived", "derived")))
+
+
+# Points of a place by its kind.
+PLACE_POINTS = {"city": 52, "area": 58, "landmark": 66}
+
+
+def place_score(kind: Column, in_text: Column, in_url: Column, in_picture: Column, native_gps: Column, ocr: Column) -> Column:
+    """How well a place is supported, 0 to 100, by its kind and by where it was seen."""
+    base = F.lit(44)
+    for name, points in PLACE_POINTS.items():
+        base = F.when(kind == name, points).otherwise(base)
+    more = points_of((in_text, 10), (in_url, 16), (in_picture, 7), (native_gps, 10))
+    return clamp(base + more + F.least(F.lit(10), F.greatest(F.lit(0), F.floor(ocr / 10))).cast("int"), 0, 100)
+
+
+# ------------------------------------------------------------------ checks against ground truth
+
+CHECKS = {
+    "native_gps": lambda c: native(c), "derived_geo": lambda c: derived(c) | (c("map_labels") > 0), "hidden_payload": lambda c: hidden(c), "parser_failure": lambda c: c("parser_status") != "Valid",
+    "metadata_stripped": lambda c: ~c("has_exif"), "duplicate_expected": lambda c: c("duplicate_group") != "", "time_conflict": lambda c: c("time_conflicts") > 0,
+    "image_detail_generated": lambda c: c("image_confidence") > 0, "map_route_detected": lambda c: c("route"),
+}
+
+
+def truth_checks(truth: Column, c=F.col) -> Column:
+    """array<struct<key, passed>> of the expectations in a map that the record can be held against; others are skipped."""
+    rows = [F.when(truth[key].isin("true", "false"), F.struct(F.lit(key).alias("key"), (is_so(c) == (truth[key] == "true")).alias("passed"))) for key, is_so in CHECKS.items()]
+    contains, least, software = truth["source_type_contains"], truth["ocr_confidence_min"].try_cast("int"), truth["software_contains"]
+    rows += [
+        F.when(contains.isNotNull(), F.struct(F.lit("source_type_contains").alias("key"), F.lower(c("source_type")).contains(F.lower(contains)).alias("passed"))),
+        F.when(least.isNotNull(), F.struct(F.lit("ocr_confidence_min").alias("key"), (c("ocr_confidence") >= least).alias("passed"))),
+        F.when(software.isNotNull(), F.struct(F.lit("software_contains").alias("key"), F.lower(c("software")).contains(F.lower(software)).alias("passed"))),
+    ]
+    return F.array_compact(F.array(*rows))

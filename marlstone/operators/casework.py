@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import shlex
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordering import place_in_group
 
 
 def percent(x: Column) -> Column:
@@ -56,17 +57,25 @@ def risk_histogram(evidence: DataFrame, case: str = "case_id") -> DataFrame:
 
 
 def priority_rank(evidence: DataFrame, case: str = "case_id") -> DataFrame:
-    w = Window.partitionBy(case).orderBy(F.desc("weight"), F.desc("suspicion_score"), F.desc("ocr_confidence"), F.desc("evidence_id"))
-    return evidence.withColumn("priority_rank", F.row_number().over(w))
+    """Adds priority_rank, 1 for the weightiest record of a case; a case may hold any share of all records."""
+    return place_in_group(evidence, case, [F.desc("weight"), F.desc("suspicion_score"), F.desc("ocr_confidence"), F.desc("evidence_id")], "priority_rank")
 
 
 def haystack(columns: list[str]) -> Column:
     return F.lower(F.concat_ws(" ", *(F.nullif(F.col(c).cast("string"), F.lit("")) for c in columns)))
 
 
+def _yes(v: str) -> Column:
+    return F.lit(v in ("yes", "true", "1"))
+
+
 #: key of the search grammar -> predicate of its value
 KEYS = {
-    "gps": lambda v: F.col("gps_latitude").isNotNull() == F.lit(v in ("yes", "true", "1")),
+    "gps": lambda v: F.col("gps_latitude").isNotNull() == _yes(v),
+    "geo": lambda v: (F.col("gps_latitude").isNotNull() | F.col("derived_latitude").isNotNull()) == _yes(v),
+    "hidden": lambda v: ((F.col("hidden_codes") > 0) | (F.col("hidden_embeds") > 0)) == _yes(v),
+    "code": lambda v: (F.col("hidden_codes") > 0) == _yes(v),
+    "url": lambda v: (F.col("visible_urls") > 0) == _yes(v),
     "risk": lambda v: F.lower("risk_level") == v,
     "parser": lambda v: F.lower("parser_status") == v,
     "source": lambda v: F.lower("source_type").contains(v),
@@ -92,7 +101,9 @@ MODES = {
     "Screenshots": lambda: F.col("source_type").contains("Screenshot"),
     "Camera": lambda: F.col("source_type") == "Camera Photo",
     "Edited": lambda: F.col("source_type") == "Edited / Exported",
-    "Duplicates": lambda: F.col("duplicate_group").isNotNull(),
+    "Duplicates": lambda: F.coalesce(F.col("duplicate_group"), F.lit("")) != "",
+    "Geo Anchors": lambda: F.col("gps_latitude").isNotNull() | F.col("derived_latitude").isNotNull(),
+    "Hidden Content": lambda: (F.col("hidden_codes") > 0) | (F.col("hidden_embeds") > 0),
     "Parser Issues": lambda: (F.col("parser_status") != "Valid") | (F.col("signature_status") == "Mismatch"),
     "Bookmarked": lambda: F.col("bookmarked"),
 }

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+import hmac
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 GENESIS = "GENESIS"
 
@@ -18,19 +23,29 @@ def action_code(action: Column) -> Column:
 
 
 def build_chain(log: DataFrame, case: str, order: str) -> DataFrame:
-    """Adds prev_hash and event_hash to ``log``. A chain is a fold, so a case is folded as one sorted array."""
-    cols = [c for c in log.columns if c != case]
-    rows = log.groupBy(case).agg(F.sort_array(F.collect_list(F.struct(order, *(c for c in cols if c != order)))).alias("rows"))
-
-    def step(acc, row):
-        h = event_hash(F.col(case).cast("string"), row["time"], row["evidence"], row["action"], row["details"], acc["last"])
-        return F.struct(F.array_append(acc["hashes"], h).alias("hashes"), h.alias("last"))
-
-    start = F.struct(F.array().cast("array<string>").alias("hashes"), F.lit(GENESIS).alias("last"))
-    folded = rows.select(case, "rows", F.aggregate("rows", start, step)["hashes"].alias("hashes"))
-    out = folded.select(case, "hashes", F.posexplode("rows").alias("at", "row"))
-    previous = F.when(F.col("at") == 0, F.lit(GENESIS)).otherwise(F.get("hashes", F.col("at") - 1))
-    return out.select(case, *(F.col(f"row.{c}").alias(c) for c in cols), previous.alias("prev_hash"), F.get("hashes", F.col("at")).alias("event_hash"))
+    """Adds prev_hash and event_hash to ``log(case, order, time, evidence, action, details)``.
+
+    A chain is a fold in its order. Cases are dealt to tasks and sorted there, and a task carries one hash from row to
+    row, so that no case is ever held as a whole.
+    """
+    schema = StructType([*log.schema.fields, StructField("prev_hash", StringType()), StructField("event_hash", StringType())])
+    at = log.columns.index(case)
+
+    def fold(batches):
+        last_case, last = object(), GENESIS
+        for batch in batches:
+            columns = {c: batch.column(c).to_pylist() for c in ("time", "evidence", "action", "details")}
+            before, after = [], []
+            for c, time, evidence, action, details in zip(batch.column(at).to_pylist(), *columns.values()):
+                if c != last_case:
+                    last_case, last = c, GENESIS
+                fields = [None if c is None else str(c), time, "CASE" if evidence is None else evidence, action or "", details or "", last]
+                before.append(last)
+                last = hashlib.sha256("|".join(x for x in fields if x is not None).encode()).hexdigest()
+                after.append(last)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(before, pa.string()), pa.array(after, pa.string())], names=schema.names)
+
+    return log.repartition(case).sortWithinPartitions(case, order).mapInArrow(fold, schema)
 
 
 def verify_chain(log: DataFrame, case: str, order: str) -> DataFrame:
@@ -41,10 +56,43 @@ def verify_chain(log: DataFrame, case: str, order: str) -> DataFrame:
     return checked.groupBy(case).agg(F.count(F.lit(1)).alias("events"), F.min(F.when(~F.col("fine"), F.col(order))).alias("first_break"))
 
 
-def package_root(entries: DataFrame, manifest_sha: str) -> DataFrame:
-    """SHA-256 over a manifest hash and the sorted lines 'path:sha256' of its files."""
-    line = F.concat_ws(":", "relative_path", "sha256")
-    return entries.agg(F.sha2(F.concat(F.lit(manifest_sha), F.array_join(F.sort_array(F.collect_list(line)), "")), 256).alias("root"))
+def package_root(entries: DataFrame, manifest_sha: str, key: bytes | None = None) -> DataFrame:
+    """root: SHA-256 over a manifest hash and the lines 'section|path|sha256' of its entries in order; with a key, also its HMAC.
+
+    One digest reads all lines in order, so one task streams them sorted; it never holds them.
+    """
+
+    def digest(batches):
+        h = hashlib.sha256(manifest_sha.encode())
+        for batch in batches:
+            for line in batch.column(0).to_pylist():
+                h.update(line.encode())
+        root = h.hexdigest()
+        mark = hmac.new(key, root.encode(), hashlib.sha256).hexdigest() if key else None
+        yield pa.RecordBatch.from_arrays([pa.array([root]), pa.array([mark], pa.string())], names=["root", "hmac"])
+
+    if "section" not in entries.columns:
+        entries = entries.withColumn("section", F.lit("artifacts"))
+    line = F.concat(F.concat_ws("|", *(F.coalesce(F.col(c), F.lit("")) for c in ("section", "relative_path", "sha256"))), F.lit("\n"))
+    rows = entries.select("section", "relative_path", line.alias("line"))
+    none = entries.sparkSession.range(1).select(F.lit(None).cast("string").alias("section"), F.lit(None).cast("string").alias("relative_path"), F.lit("").alias("line"))  # a package without entries has a root too
+    ordered = rows.unionByName(none).repartition(1).sortWithinPartitions("section", "relative_path", "line")
+    return ordered.select("line").mapInArrow(digest, "root string, hmac string")
+
+
+#: What the check of a signature may find, in the order in which it looks.
+OUTCOMES = ("signature missing", "sidecar missing", "manifest missing", "sidecar differs", "root differs", "hmac differs", "verified")
+
+
+def signature_outcome(signature: Column, sidecar: Column, manifest: Column, signature_sha: Column, root: Column, signed_root: Column, mark: Column, expected_mark: Column) -> Column:
+    """The first of :data:`OUTCOMES` that holds, from the parts of a package (null where missing) and what they should be."""
+    return (
+        F.when(signature.isNull(), OUTCOMES[0]).when(sidecar.isNull(), OUTCOMES[1]).when(manifest.isNull(), OUTCOMES[2])
+        .when(F.element_at(F.split(F.trim(sidecar), r"\s+"), 1) != signature_sha, OUTCOMES[3])
+        .when(~root.eqNullSafe(signed_root), OUTCOMES[4])
+        .when(F.coalesce(mark, F.lit("")).isin("") | mark.eqNullSafe(expected_mark), OUTCOMES[6])
+        .otherwise(OUTCOMES[5])
+    )
 
 
 def verify_files(manifest: DataFrame, files: DataFrame) -> DataFrame:

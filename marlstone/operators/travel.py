@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import deque
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,26 +75,48 @@ def timeline_span(points: DataFrame, case: str) -> DataFrame:
     return ends.withColumn("hours", F.round(seconds_between(F.to_timestamp("last_ts"), F.to_timestamp("first_ts")) / 3600, 1))
 
 
-def scene_groups(points: DataFrame, case: str, hours: float = 6) -> DataFrame:
-    """Greedy scenes: a point joins the first scene of its source whose first point is within ``hours``; order is time, then id.
+def scene_groups(records: DataFrame, case: str, hours: float = 6) -> DataFrame:
+    """(case, id, scene, members) of the records of ``records(case, id, ts, source, app, duplicate_group)`` that share a scene.
 
-    Within a (case, source) the first fit by the first member's time is a scan
-    over sorted points, as scenes of one source never overlap: a point after the
-    newest scene's window is outside all older ones. Scenes of one point have no label.
+    In the order of time, then id, a record joins the first scene whose first record has its duplicate group, or its source
+    or app within ``hours``; else it starts one. A record without a time starts one that no other joins.
+    Scenes are first-fit, and so a scan; a task sorts its cases and remembers only the scenes that a
+    later record may still join: those within the window, and the first of each duplicate group.
     """
-
-    def scan(pdf):
-        pdf = pdf.sort_values(["ts", "id"])
-        anchor, number, out = None, 0, []
-        for ts in pdf["ts"]:
-            if anchor is None or (ts - anchor).total_seconds() > hours * 3600:
-                anchor, number = ts, number + 1
-            out.append(number)
-        pdf["scene"] = out
-        return pdf[[case, "source", "id", "ts", "scene"]]
-
-    kinds = dict(points.dtypes)
-    schema = f"{case} {kinds[case]}, source {kinds['source']}, id {kinds['id']}, ts {kinds['ts']}, scene int"
-    labelled = points.select(case, "source", "id", "ts").groupBy(case, "source").applyInPandas(scan, schema)
-    size = F.count(F.lit(1)).over(Window.partitionBy(case, "source", "scene"))
-    return labelled.withColumn("members", size).where("members > 1")
+    kinds = dict(records.dtypes)
+    limit = hours * 3600
+
+    def scan(batches):
+        now, number = object(), 0
+        for pdf in batches:
+            out = []
+            for c, ts, source, app, group in zip(pdf[case], pdf["ts"], pdf["source"], pdf["app"], pdf["duplicate_group"]):
+                if c != now:
+                    now, number, by_source, by_app, by_group = c, 0, {}, {}, {}
+                if pd.isna(ts):
+                    number += 1
+                    out.append(number)
+                    continue
+                fits = [by_group[group]] if group and group in by_group else []
+                for held, key in ((by_source, source), (by_app, app if app != "Unknown" else None)):
+                    queue = held.get(key) if key is not None else None
+                    while queue and (ts - queue[0][0]).total_seconds() > limit:
+                        queue.popleft()
+                    if queue:
+                        fits.append(queue[0][1])
+                if fits:
+                    out.append(min(fits))
+                    continue
+                number += 1
+                by_source.setdefault(source, deque()).append((ts, number))
+                by_app.setdefault(app, deque()).append((ts, number))
+                if group:
+                    by_group.setdefault(group, number)
+                out.append(number)
+            yield pd.DataFrame({case: pdf[case], "id": pdf["id"], "scene": out})
+
+    rows = records.select(case, "id", "ts", "source", F.coalesce("app", F.lit("Unknown")).alias("app"), F.coalesce("duplicate_group", F.lit("")).alias("duplicate_group"))
+    rows = rows.repartition(case).sortWithinPartitions(case, F.col("ts").isNull(), "ts", "id")
+    labelled = rows.mapInPandas(scan, f"{case} {kinds[case]}, id {kinds['id']}, scene int")
+    sizes = labelled.groupBy(case, "scene").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    return labelled.join(sizes, [case, "scene"])

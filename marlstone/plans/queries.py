@@ -90,11 +90,6 @@ def timeline_span(spark, sf_dir):
     return travel.timeline_span(points(spark, sf_dir), "subject").select("subject", "points", "hours")
 
 
-@query()
-def scene_groups(spark, sf_dir):
-    return travel.scene_groups(points(spark, sf_dir), "subject").drop("ts")
-
-
 _NEAR = f"""with {POINTS_SQL}, met as (select a.id source_id, b.id target_id, {_km("a.lat", "a.lon", "b.lat", "b.lon")} km from points a join points b on a.id < b.id and abs(a.lat - b.lat) < 0.03 and abs(a.lon - b.lon) < 0.04)"""
 
 
@@ -358,11 +353,6 @@ def priority_rank(spark, sf_dir):
 _SEARCHED = ["evidence_id", "case_id", "source_type", "device_model", "parser_status"]
 
 
-@query(f"""with {EVIDENCE_SQL} select evidence_id, case_id, source_type from evidence where gps_latitude is not null and risk_level = 'High' and lower(concat_ws(' ', evidence_id, case_id, source_type, device_model, parser_status)) like '%camera%'""")
-def inventory_search(spark, sf_dir):
-    return casework.inventory(evidence(spark, sf_dir), "Has GPS", "risk:high camera", "ID ↑", _SEARCHED).select("evidence_id", "case_id", "source_type")
-
-
 @query(f"""with {EVIDENCE_SQL} select evidence_id, row_number() over (order by ts desc nulls first, evidence_id desc) place from evidence where parser_status <> 'Valid' or signature_status = 'Mismatch' order by ts desc nulls first, evidence_id desc limit 100""")
 def inventory_sort(spark, sf_dir):
     """The first hundred of an inventory in order; the limit is the feature."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .functions.text import STRICT_LEVELS, redact
+from .functions.text import STRICT_LEVELS, redact, sensitive_hits
 from .sources.files import suffix
 
 SENTINELS = ("", "Unknown", "Unavailable", "N/A")
@@ -38,6 +38,59 @@ def export_json(df: DataFrame, path: str, level: str = "redacted_text") -> None:
     masked(df, level).write.mode("overwrite").json(path)
 
 
+#: Columns of the flat export, in order.
+EXPORT = (
+    "case_id", "evidence_id", "file_name", "file_path", "source_type", "ts", "timestamp_source", "timestamp_confidence", "gps_latitude", "gps_longitude", "derived_latitude", "derived_longitude", "gps_confidence",
+    "device_model", "software", "suspicion_score", "risk_level", "integrity_status", "parser_status", "signature_status", "duplicate_group",
+)
+
+
+def flat(df: DataFrame, level: str = "redacted_text") -> DataFrame:
+    """The export's columns, missing ones null, masked by level; strict levels give no coordinates."""
+    out = masked(df, level)
+    strict = level in STRICT_LEVELS
+    hide = lambda c: strict and c.endswith(("latitude", "longitude"))
+    return out.select(*((F.lit(None).cast("double") if hide(c) else F.col(c) if c in out.columns else F.lit(None).cast("string")).alias(c) for c in EXPORT))
+
+
+def nested(df: DataFrame, level: str = "redacted_text") -> DataFrame:
+    """One row a case: its records as an array of structs, for JSON."""
+    rows = flat(df, level)
+    return rows.groupBy("case_id").agg(F.sort_array(F.collect_list(F.struct("evidence_id", *(c for c in EXPORT if c not in ("case_id", "evidence_id"))))).alias("records"))
+
+
+def sidecar(files: DataFrame) -> DataFrame:
+    """The line '<sha256>  <path>' of each file of a manifest."""
+    return files.select(F.concat_ws("  ", "sha256", "relative_path").alias("value"))
+
+
+def leaks(artifacts: DataFrame) -> DataFrame:
+    """(relative_path, kind, hits) of sensitive text in ``artifacts(relative_path, text)`` that a strict package must not have."""
+    rows = artifacts.select("relative_path", F.explode(sensitive_hits(F.col("text"))).alias("h"))
+    return rows.select("relative_path", "h.kind", F.col("h.hits").cast("long").alias("hits"))
+
+
+#: Artifacts that a package may have, by suffix.
+ALLOWED_ASSETS = ("csv", "json", "html", "pdf", "txt", "png", "jpg", "jpeg", "webp", "sha256", "jsonl")
+
+
+def allowed(files: DataFrame) -> DataFrame:
+    """Files of a package that are on the list, and none that leaves its folder."""
+    path = F.col("relative_path")
+    return files.where(suffix(path).isin(*ALLOWED_ASSETS) & ~path.startswith("/") & ~path.rlike(r"(^|[/\\])\.\.([/\\]|$)"))
+
+
+def append_failures(df: DataFrame, path: str) -> None:
+    """Failures as JSON lines, added to those that are there."""
+    df.select("time", "context", "message", "evidence_id", "operation").write.mode("append").json(path)
+
+
+def truth_template(df: DataFrame) -> DataFrame:
+    """One row for each record with the checks that a person may fill in, all open."""
+    checks = ("native_gps", "derived_geo", "hidden_payload", "parser_failure", "metadata_stripped", "duplicate_expected", "time_conflict", "source_type_contains", "ocr_confidence_min")
+    return df.select(F.coalesce("file_name", F.col("evidence_id").cast("string")).alias("file_name"), *(F.lit(None).cast("string").alias(c) for c in checks))
+
+
 def manifest(spark, folder: str) -> DataFrame:
     """relative_path and sha256 of every file of a package."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)

@@ -31,13 +31,34 @@ def signature(content: Column) -> Column:
 
 
 def signature_status(path: Column, family: Column) -> Column:
-    """Matched, Mismatch or Unknown, from suffix and signature."""
+    """Matched, Compatible, Mismatch or Unknown, from suffix and signature; the two names of one container are compatible."""
     out = F.when(family == "Unknown", "Unknown")
     for name, suffixes in FAMILIES.items():
-        out = out.when((family == name) & suffix(path).isin(*suffixes), "Matched")
+        out = out.when((family == name) & suffix(path).isin(*suffixes), F.when(suffix(path) == "heif", "Compatible").otherwise("Matched") if name == "HEIC" else "Matched")
     return out.otherwise("Mismatch")
 
 
+def format_trust(status: Column, parser: Column) -> Column:
+    """How far a file's format can be trusted, from its signature and whether it could be read."""
+    fits = status.isin("Matched", "Compatible")
+    return F.when(status == "Mismatch", "Conflict").when(parser == "Failed", F.when(fits, "Header-only").otherwise("Weak")).when(fits, "Verified").otherwise("Weak")
+
+
+def source_type(name: Column, has_exif: Column, software: Column, width: Column, height: Column, parser: Column) -> Column:
+    """One of seven classes of a file; the first rule that holds counts."""
+    low, end = F.lower(name), suffix(name)
+    return (
+        F.when(parser == "Failed", "Malformed / Unsupported Asset")
+        .when(F.lower(F.coalesce(software, F.lit(""))).rlike("photoshop|lightroom|snapseed|canva|gimp"), "Edited / Exported")
+        .when(has_exif & end.isin("jpg", "jpeg", "tif", "tiff", "heic", "heif") & (F.greatest(width, height) >= 1200), "Camera Photo")
+        .when(low.contains("screenshot"), "Screenshot")
+        .when(low.rlike("whatsapp image|telegram|export"), "Messaging Export")
+        .when(end.isin("png", "webp") & ~has_exif, "Screenshot / Export")
+        .when(end.isin("gif", "bmp"), "Graphic Asset")
+        .otherwise("Unknown")
+    )
+
+
 def scan(spark: SparkSession, folder: str) -> DataFrame:
     """Evidence files below a folder: path, name, size, modified, sha256, md5, format and status. Bytes stay in the scan."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).where(is_supported(F.col("path")))
@@ -48,9 +69,12 @@ def scan(spark: SparkSession, folder: str) -> DataFrame:
     return out.withColumn("signature_status", signature_status(F.col("path"), F.col("family")))
 
 
-def verify_copies(sources: DataFrame, copies: DataFrame) -> DataFrame:
-    """Source files against their copies by name: verified, changed or missing."""
-    joined = sources.select("name", "sha256").join(copies.select("name", F.col("sha256").alias("copy_sha256")), "name", "left")
+def verify_copies(sources: DataFrame, copies: DataFrame, root: str = "", copy_root: str = "") -> DataFrame:
+    """Source files against their copies by path below the two roots: verified, changed or missing."""
+    below = lambda start: F.regexp_replace(F.split("path", start.rstrip("/") + "/", 2)[1], "^/+", "") if start else F.col("path")
+    left = sources.select(below(root).alias("relative_path"), "name", "sha256")
+    right = copies.select(below(copy_root).alias("relative_path"), F.col("sha256").alias("copy_sha256"))
+    joined = left.join(right, "relative_path", "left")
     return joined.withColumn("copy_status", F.when(F.col("copy_sha256").isNull(), "missing").when(F.col("sha256") == F.col("copy_sha256"), "verified").otherwise("changed"))
 
 
@@ -112,3 +136,87 @@ def failures(spark: SparkSession, path: str, most: int = 80) -> DataFrame:
     """The last failures of a JSON-lines log, malformed lines left out."""
     schema = "time string, context string, message string, evidence_id string, operation string"
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path).where("time is not null").orderBy(F.desc("time")).limit(most)
+
+
+#: Keys of a place in JSON, in the order in which they are tried.
+PLACE_KEYS = {"name": ("name", "asciiname", "place_name", "title"), "country": ("country", "country_name"), "city": ("city", "town"), "latitude": ("latitude", "lat"), "longitude": ("longitude", "lon", "lng"), "level": ("level", "type"), "population": ("population", "pop")}
+
+
+def _first_of(row: Column, keys: tuple[str, ...]) -> Column:
+    """The first key of a JSON text that has a value other than blanks."""
+    return F.coalesce(*(F.nullif(F.trim(F.get_json_object(row, f"$.{k}")), F.lit("")) for k in keys))
+
+
+def json_places(spark: SparkSession, path: str) -> DataFrame:
+    """Places of a JSON payload: a list, an object with ``places`` or ``features``, one object, or one object a line; rows without a name are left out.
+
+    A file is read as a whole text, so each payload should fit a row; JSON lines are split inside it.
+    """
+    whole = spark.read.text(path, wholetext=True).select(F.trim("value").alias("t"))
+    array = "array<string>"
+    lists = F.coalesce(F.from_json(F.get_json_object("t", "$.places"), array), F.from_json(F.get_json_object("t", "$.features"), array), F.when(F.col("t").startswith("["), F.from_json("t", array)))
+    lines = F.filter(F.split("t", r"\r?\n"), lambda x: F.trim(x).startswith("{") & F.get_json_object(x, "$").isNotNull())
+    single = F.when(F.get_json_object("t", "$").isNotNull() & F.col("t").startswith("{") & (F.size(lines) <= 1), F.array("t"))
+    rows = whole.select(F.explode(F.coalesce(lists, single, lines)).alias("row"))
+    point = F.from_json(F.get_json_object("row", "$.geometry.coordinates"), "array<double>")
+    inner = F.coalesce(F.get_json_object("row", "$.properties"), F.col("row"))
+    out = rows.select(inner.alias("row"), point.alias("point")).select(*(_first_of(F.col("row"), keys).alias(c) for c, keys in PLACE_KEYS.items()), F.from_json(F.get_json_object("row", "$.aliases"), array).alias("aliases"), "point")
+    out = out.withColumns({"latitude": F.coalesce(F.col("latitude").try_cast("double"), F.get("point", F.lit(1))), "longitude": F.coalesce(F.col("longitude").try_cast("double"), F.get("point", F.lit(0))), "population": F.col("population").try_cast("long")})
+    return out.drop("point").where("name is not null")
+
+
+#: Auxiliary tables of a place dump, by what their names hold; they are no places.
+AUXILIARY = ("alternatenames", "countryinfo", "admin1codes", "admin2codes", "timezones", "featurecodes", "readme")
+
+
+def place_kind(name: Column) -> Column:
+    """geonames, json, delimited, zip, auxiliary or other: which reader a file of a place dump needs."""
+    low, end = F.lower(name), suffix(name)
+    auxiliary = low.rlike("|".join(AUXILIARY))
+    return F.when(auxiliary, "auxiliary").when(end.isin("json", "geojson", "jsonl"), "json").when(end == "zip", "zip").when(end.isin("csv", "tsv"), "delimited").when(end == "txt", "geonames").otherwise("other")
+
+
+def zip_members(spark: SparkSession, path: str) -> DataFrame:
+    """(path, member, size, content) of the member that each zip file is read for: that named like the file, else the one of the shortest name. Members that would leave the folder are never taken."""
+    import io
+    import zipfile
+
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for file, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                try:
+                    z = zipfile.ZipFile(io.BytesIO(content))
+                except zipfile.BadZipFile:
+                    continue
+                safe = [m for m in z.infolist() if not m.is_dir() and m.filename.lower().endswith((".txt", ".csv", ".tsv", ".json")) and not m.filename.startswith(("/", "\\")) and ".." not in m.filename.replace("\\", "/").split("/")]
+                stem = file.rsplit("/", 1)[-1].rsplit(".", 1)[0].lower()
+                named = [m for m in safe if m.filename.rsplit("/", 1)[-1].rsplit(".", 1)[0].lower() == stem]
+                for m in sorted(named or safe, key=lambda m: (len(m.filename), m.filename))[:1]:
+                    rows.append((file, m.filename, m.file_size, z.read(m)))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.binary())], names=["path", "member", "size", "content"])
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.mapInArrow(run, "path string, member string, size long, content binary")
+
+
+def countries(spark: SparkSession, path: str) -> DataFrame:
+    """country_code, iso3, country, capital, continent of a country table; lines of comments are left out."""
+    rows = spark.read.csv(path, sep="\t", comment="#", quote="")
+    return rows.select(F.col("_c0").alias("country_code"), F.col("_c1").alias("iso3"), F.col("_c4").alias("country"), F.col("_c5").alias("capital"), F.col("_c8").alias("continent"))
+
+
+def admin_codes(spark: SparkSession, path: str) -> DataFrame:
+    """country_code, code (the rest of the key), name of a table of first- or second-level divisions."""
+    rows = spark.read.csv(path, sep="\t", quote="")
+    key = F.split("_c0", "[.]", 2)
+    return rows.select(key[0].alias("country_code"), key[1].alias("code"), F.col("_c1").alias("name"))
+
+
+def ground_truth(spark: SparkSession, path: str) -> DataFrame:
+    """(file_name, key, value) of a JSON object of objects; keys that begin with an underscore are about the set itself. The last of repeated names counts."""
+    rows = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string,string>").alias("m")).select(F.explode("m").alias("file_name", "body"))
+    rows = rows.where(~F.col("file_name").startswith("_")).select("file_name", F.explode(F.from_json("body", "map<string,string>")).alias("key", "value"))
+    return rows.where(~F.col("key").startswith("_"))
