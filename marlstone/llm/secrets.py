@@ -10,8 +10,11 @@ own wrapped parts join the worklist. Every decoded layer is remembered by its
 hash and place, so a layer that decodes to itself ends; the list runs until
 nothing new appears.
 
-Defined cases: null and empty texts have no spans; rows that repeat give equal
-rows; other columns are ignored by :func:`scan` and kept by :func:`redact`.
+What a compressed stream holds is unwrapped up to ``MOST_INFLATED`` bytes for each text; beyond, its content is
+still inflated in steps and scanned for the base patterns, but not unwrapped again, and the row is marked ``inflated_in_part``.
+
+Defined cases: null and empty texts have no spans; very long texts are scanned whole; rows that repeat give equal
+rows; an empty table gives an empty result; other columns are ignored by :func:`scan` and kept by :func:`redact`.
 """
 
 from __future__ import annotations
@@ -50,6 +53,9 @@ _BREAK = re.compile(r"[ \t]*(?:\r\n?|\n|(?:\\r)?\\n)[ \t]*")
 _WRAPPED = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{4,}}+(?:{_BREAK.pattern}[A-Za-z0-9+/_-]++)+={{0,2}}")
 _MAGIC = re.compile(rb"(\x1f\x8b\x08)|(x[\x01\x5e\x9c\xda])|(BZh[1-9]1AY&SY)|(\xfd7zXZ\x00)")
 _OPENS = (lambda: zlib.decompressobj(31), zlib.decompressobj, bz2.BZ2Decompressor, lzma.LZMADecompressor)
+_FAULTS = (zlib.error, OSError, ValueError, EOFError, lzma.LZMAError)
+#: Bytes of a text's inflated streams that become layers, bytes inflated at once, and characters that two scanned parts of what is beyond share.
+MOST_INFLATED, INFLATED_STEP, SHARED = 1 << 26, 1 << 20, 4096
 #: Escapes of single bytes by decoder; those of one letter stand in strings whose other bytes are written out.
 _BYTES = {
     "url": re.compile(rb"%([0-9A-Fa-f]{2})"),
@@ -74,10 +80,11 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 class Layer:
     """A decoded text with, for each character, the span of the original text behind it."""
 
-    __slots__ = ("text", "lo", "hi", "path")
+    __slots__ = ("text", "lo", "hi", "path", "beyond")
 
     def __init__(self, text: str, lo: np.ndarray | None, hi: np.ndarray | None, path: str):
         self.text, self.lo, self.hi, self.path = text, lo, hi, path
+        self.beyond: set[tuple[int, int, int]] = set()  # spans of what was scanned, but is too much to keep
 
     def origin(self, start: int, end: int) -> tuple[int, int]:
         return (start, end) if self.lo is None else (int(self.lo[start]), int(self.hi[end - 1]))
@@ -145,29 +152,86 @@ def _unicode(run: str):
     return ("".join(chars), starts, ends) if len(chars) < len(run) else None
 
 
-def _inflate(opens, raw: bytes) -> tuple[bytes, int]:
-    """What compressed bytes hold, as far as they are sound, and the length of a stream that ends; else 0."""
-    d = opens()
+class Budget:
+    """Bytes that a text's streams may still become layers for, and the spans of what was only scanned."""
+
+    __slots__ = ("left", "partial")
+
+    def __init__(self):
+        self.left, self.partial = MOST_INFLATED, False
+
+
+def _steps(opens, raw: bytes):
+    """Content of a compressed stream in parts of at most INFLATED_STEP bytes; ends with the length of a stream that ends, else 0."""
+    d, feed = opens(), raw
     try:
-        return d.decompress(raw), len(raw) - len(d.unused_data) if d.eof else 0
-    except (zlib.error, OSError, ValueError, EOFError, lzma.LZMAError):
-        d, out = opens(), []
+        while True:
+            part = d.decompress(feed, INFLATED_STEP)
+            if part:
+                yield part
+            if d.eof:
+                yield len(raw) - len(d.unused_data)
+                return
+            feed = d.unconsumed_tail if hasattr(d, "unconsumed_tail") else b""
+            if not part and not feed:
+                break
+    except _FAULTS:
+        pass
+    yield 0
+
+
+def _sound_part(opens, raw: bytes):
+    """What a broken stream holds up to its fault, byte for byte."""
+    d = opens()
     try:
         for k in range(len(raw)):
-            out.append(d.decompress(raw[k : k + 1]))
-    except (zlib.error, OSError, ValueError, EOFError, lzma.LZMAError):
+            feed = raw[k : k + 1]
+            while part := d.decompress(feed, INFLATED_STEP):
+                yield part
+                feed = d.unconsumed_tail if hasattr(d, "unconsumed_tail") else b""
+    except _FAULTS:
         pass
-    return b"".join(out), 0
+    yield 0
+
+
+def _inflate(opens, raw: bytes, budget: Budget) -> tuple[bytes, int, set[int]]:
+    """What compressed bytes hold, as far as they are sound and the budget goes, the length of a stream that ends (else 0), and the kinds of secrets beyond."""
+    for steps in (_steps, _sound_part):
+        held, kinds, tail, length = [], set(), "", 0
+        for part in steps(opens, raw):
+            if isinstance(part, int):
+                length = part
+            elif len(part) <= budget.left:
+                held.append(part)
+                budget.left -= len(part)
+            else:
+                budget.partial = True
+                text = tail + part.decode("latin-1")
+                kinds |= {kind for _, kind, _ in base_spans(text)}
+                tail = text[-SHARED:]
+        if length:
+            break
+        budget.left += sum(map(len, held)) if steps is _steps else 0  # read again, to the fault
+    return b"".join(held), length, kinds
 
 
-def _streams(raw: bytes) -> list[tuple[int, int, bytes]]:
-    """(start, end, content) of the compressed streams in bytes."""
+def _streams(raw: bytes, budget: Budget, bare: bool = False) -> list[tuple[int, int, bytes, set[int]]]:
+    """(start, end, content, kinds beyond the budget) of the compressed streams in bytes; with ``bare``, of bytes that are one deflate stream without a head."""
     out, at = [], 0
     while m := _MAGIC.search(raw, at):
-        content, length = _inflate(_OPENS[m.lastindex - 1], raw[m.start() :])
+        content, length, kinds = _inflate(_OPENS[m.lastindex - 1], raw[m.start() :], budget)
         at = m.start() + (length or 1)
-        if content:
-            out.append((m.start(), at if length else len(raw), content))
+        if content or kinds:
+            out.append((m.start(), at if length else len(raw), content, kinds))
+    if bare and not out:
+        try:
+            d = zlib.decompressobj(-15)
+            d.decompress(raw, 16)
+            content, length, kinds = _inflate(lambda: zlib.decompressobj(-15), raw, budget)
+            if length == len(raw) and len(content) >= LEAST_ASSIGN:
+                out.append((0, len(raw), content, kinds))
+        except zlib.error:
+            pass
     return out
 
 
@@ -181,19 +245,21 @@ def _text(raw: bytes) -> tuple[str, np.ndarray, np.ndarray]:
     return text, *_by_char(raw, text)
 
 
-def _inflated(layer: Layer, raw: bytes, step: str, span) -> list[Layer]:
+def _inflated(layer: Layer, raw: bytes, step: str, span, budget: Budget, bare: bool = False) -> list[Layer]:
     """Layers of the compressed streams in bytes, and of those in their content; ``span(start, end)`` is that of bytes in the layer."""
-    out, todo = [], [(*span(s, e), content, f"{layer.path}>{step}>inflate") for s, e, content in _streams(raw)]
+    out, todo = [], [(*span(s, e), content, kinds, f"{layer.path}>{step}>inflate") for s, e, content, kinds in _streams(raw, budget, bare)]
     while todo:
-        s, e, content, path = todo.pop()
+        s, e, content, kinds, path = todo.pop()
         text, *_ = _text(content)
         s0, e0 = layer.origin(s, e)
-        out.append(Layer(text, np.full(len(text), s0), np.full(len(text), e0), path))
-        todo += [(s, e, inner, f"{path}>inflate") for _, _, inner in _streams(content) if inner != content]
+        new = Layer(text, np.full(len(text), s0), np.full(len(text), e0), path)
+        new.beyond = {(s0, kind, e0) for kind in kinds}
+        out.append(new)
+        todo += [(s, e, inner, more, f"{path}>inflate") for _, _, inner, more in _streams(content, budget) if inner != content]
     return out
 
 
-def _escaped(layer: Layer, step: str) -> list[Layer]:
+def _escaped(layer: Layer, step: str, budget: Budget) -> list[Layer]:
     """Layers of compressed bytes that are written as escapes, with others between them as they are."""
     written = layer.text.encode("utf-8", "surrogatepass")
     ends, starts, parts, size, at = [0], [0], [], 0, 0  # byte of the decoded and of the written form, after each escape
@@ -210,10 +276,10 @@ def _escaped(layer: Layer, step: str) -> list[Layer]:
         i = bisect.bisect_right(ends, k) - 1
         return len(written[: starts[i] + k - ends[i]].decode("utf-8", "replace"))
 
-    return _inflated(layer, raw, step, lambda s, e: (place(s), place(e))) if parts else []
+    return _inflated(layer, raw, step, lambda s, e: (place(s), place(e)), budget) if parts else []
 
 
-def _base64(layer: Layer, run: str, places: np.ndarray, end: int) -> list[Layer]:
+def _base64(layer: Layer, run: str, places: np.ndarray, end: int, budget: Budget) -> list[Layer]:
     """Layers of a base64 run whose characters are at ``places``, at each alignment, since what it begins with may be no part of it."""
     out = []
     run = run.rstrip("=").translate(_URLSAFE)
@@ -230,20 +296,20 @@ def _base64(layer: Layer, run: str, places: np.ndarray, end: int) -> list[Layer]
             lo, hi = layer.lo[lo], layer.hi[hi - 1]
         out.append(Layer(text, lo, hi, f"{layer.path}>base64"))
         at = places[skip:]
-        out += _inflated(layer, raw, "base64", lambda s, e: (int(at[s * 8 // 6]), end if e == len(raw) else int(at[min(-(-e * 8 // 6), len(part)) - 1]) + 1))
+        out += _inflated(layer, raw, "base64", lambda s, e: (int(at[s * 8 // 6]), end if e == len(raw) else int(at[min(-(-e * 8 // 6), len(part)) - 1]) + 1), budget, not skip and len(text) == len(raw))
     return out
 
 
-def _unwrapped(layer: Layer) -> list[Layer]:
+def _unwrapped(layer: Layer, budget: Budget) -> list[Layer]:
     out = []
     if "\\" in layer.text or "%u" in layer.text:
         if (new := _rewritten(layer, _UNICODE, _unicode, "unicode")) is not None:
-            out += [new, *_escaped(layer, "unicode")]
+            out += [new, *_escaped(layer, "unicode", budget)]
     if "%" in layer.text:
         if (new := _rewritten(layer, _PERCENT, _percent, "url")) is not None:
-            out += [new, *_escaped(layer, "url")]
+            out += [new, *_escaped(layer, "url", budget)]
     for m in _BASE64.finditer(layer.text):
-        out += _base64(layer, m[0], np.arange(m.start(), m.end()), m.end())
+        out += _base64(layer, m[0], np.arange(m.start(), m.end()), m.end(), budget)
     for m in _WRAPPED.finditer(layer.text):
         places, at = [], m.start()
         for x in _BREAK.finditer(layer.text, m.start(), m.end()):
@@ -251,21 +317,23 @@ def _unwrapped(layer: Layer) -> list[Layer]:
             at = x.end()
         places = np.concatenate([*places, np.arange(at, m.end())])
         if len(places) >= LEAST_BASE64:
-            out += _base64(layer, _BREAK.sub("", m[0]), places, m.end())
+            out += _base64(layer, _BREAK.sub("", m[0]), places, m.end(), budget)
     return out
 
 
-def scan_text(text: str) -> tuple[list[tuple[int, int, int]], dict[tuple[int, int, int], str]]:
+def scan_text(text: str, budget: Budget | None = None) -> tuple[list[tuple[int, int, int]], dict[tuple[int, int, int], str]]:
     """Base spans, and all spans with the path of layers that led to each: (start, kind, end)."""
-    base = base_spans(text)
+    base, budget = base_spans(text), budget or Budget()
     found = dict.fromkeys(base, "text")
     todo, seen = [Layer(text, None, None, "text")], set()
     while todo:
-        for new in _unwrapped(todo.pop()):
+        for new in _unwrapped(todo.pop(), budget):
             mark = (hashlib.sha1(new.text.encode("utf-8", "surrogatepass")).digest(), int(new.lo[0]) if len(new.lo) else 0)
             if mark in seen:
                 continue
             seen.add(mark)
+            for span in new.beyond:
+                found.setdefault(span, new.path)
             for start, kind, end in base_spans(new.text):
                 lo, hi = new.origin(start, end)
                 found.setdefault((lo, kind, hi), new.path)
@@ -281,12 +349,13 @@ SPANS = "array<struct<kind:string,start:int,end:int,path:string>>"
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, and found: each span with its path of layers."""
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, found (each span with its path of layers) and inflated_in_part."""
 
     def run(batches):
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("path", pa.string())]))
         for batch in slices(batches):
-            rows = [scan_text(t) for t in batch.column(1).to_pylist()]
+            budgets = [Budget() for _ in range(batch.num_rows)]
+            rows = [scan_text(t, b) for t, b in zip(batch.column(1).to_pylist(), budgets)]
             count = lambda k: pa.array([sum(x[1] == k for x in base) for base, _ in rows], pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [
@@ -294,12 +363,13 @@ def scan(docs: DataFrame) -> DataFrame:
                     pa.array([hashlib.sha256(_joined(base).encode()).hexdigest() for base, _ in rows], pa.string()),
                     pa.array([_joined(found) for _, found in rows], pa.string()),
                     pa.array([[{"kind": KINDS[k], "start": s, "end": e, "path": p} for (s, k, e), p in sorted(found.items())] for _, found in rows], kind),
+                    pa.array([b.partial for b in budgets]),
                 ],
-                names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "found"],
+                names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "found", "inflated_in_part"],
             )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return rows.mapInArrow(run, f"doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, found {SPANS}")
+    return rows.mapInArrow(run, f"doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, found {SPANS}, inflated_in_part boolean")
 
 
 def mask(text: str) -> str:

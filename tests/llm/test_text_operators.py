@@ -222,6 +222,37 @@ def test_secrets_of_every_decoded_layer():
     assert not secrets.scan_text("plain words of a/path/that-is_long/enough and\nlines\nof words 100% \\ud800 %41")[1]
 
 
+def test_base_columns_equal_plain_patterns(spark, docs):
+    """Counts and hashes of base spans over a table, with the contract's patterns and nothing else."""
+    table = docs.select("doc_id", "text").unionByName(spark.read.parquet(f"/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")).withColumn("row", F.monotonically_increasing_id()).cache()
+    assign = re.compile(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+    want, n = collections.Counter(), 0
+    for r in table.collect():
+        t = r["text"] or ""
+        spans = [(m.start(), 0, m.end()) for m in assign.finditer(t) if len(m[2]) >= 6] + [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", t) if len(m[0]) >= 20] + [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
+        kinds = [k for _, k, _ in spans]
+        joined = ",".join(f"{('assign', 'access', 'hex')[k]}:{s}:{e}" for s, k, e in sorted(spans))
+        want[r["doc_id"], kinds.count(0), kinds.count(1), kinds.count(2), hashlib.sha256(joined.encode()).hexdigest()] += 1
+        n += len(spans)
+    assert collections.Counter(tuple(r)[:5] for r in secrets.scan(table).collect()) == want and n > 5
+
+
+def test_secrets_in_bombs_and_bare_deflate(spark, monkeypatch):
+    bare = zlib.compressobj(9, zlib.DEFLATED, -15)
+    packed = bare.compress(b"\xff\xfe\x00 token=abcdefgh " + bytes(range(256))) + bare.flush()
+    t = "see " + base64.b64encode(packed).decode() + " end"
+    assert {k for _, k, _ in secrets.scan_text(t)[1]} == {0}
+    monkeypatch.setattr(secrets, "MOST_INFLATED", 100_000)
+    monkeypatch.setattr(secrets, "INFLATED_STEP", 50_000)
+    bomb = base64.b64encode(zlib.compress(b"x " * 3_000_000 + b"password=hunter22 " + b"y " * 1_000_000)).decode()
+    rows = {r["doc_id"]: r for r in secrets.scan(spark.createDataFrame([(1, "a " + bomb), (2, t)], "doc_id long, text string")).collect()}
+    assert secrets.scan_text("a " + bomb)[1] == {(2, 0, 2 + len(bomb)): "text>base64>inflate"}
+    assert rows[2]["inflated_in_part"] is False and rows[1]["spans"] == f"assign:2:{2 + len(bomb)}"
+    for name, compress in (("bz2", bz2.compress), ("xz", lzma.compress), ("gzip", gzip.compress)):
+        whole = base64.b64encode(compress(b"secret: abcdefgh " * 20)).decode()
+        assert secrets.scan_text(whole)[1], name
+
+
 def test_secrets(spark, docs):
     inner = "api_key: abcdefgh12"
     layers = {
