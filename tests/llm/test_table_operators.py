@@ -254,6 +254,35 @@ def test_pipeline_stages(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
 
 
+def test_pipeline_stages_on_odd_tables(spark):
+    """Nulls in every column, empty and repeated rows, extra columns of clashing names, and no rows at all."""
+    good = "The committee met on Monday, and after some hours of talk it agreed on the plan, which was sent out the same day. " * 3
+    rows = [(i, f"{good} Number {i} of {i * 7}, as {i * 13} said.", "en", f"s{i % 3}", 300) for i in range(12)]
+    rows += [(None, good, "en", None, None), (20, None, None, None, None), (21, "", "en", "s1", 0), (3, rows[3][1], "en", "s0", 300), (3, rows[3][1], "en", "s0", 300), (3, "password=hunter22 and " + good, "de", "s0", 5), (None, None, None, None, None)]
+    plain = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    names = {"score": "1.5", "node": "cast(null as string)", "size": "7L", "row": "'x'", "doc": "array(1)", "copies": "2", "tree": "1", "key": "'k'", "label": "0", "u": "0.5", "rest": "1", "stratum": "1"}
+    docs = plain.selectExpr("*", *(f"{e} as `{n}`" for n, e in names.items()))
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns and out.dtypes == docs.dtypes, name
+        got = collections.Counter(str(r) for r in out.collect())
+        given = collections.Counter(str(r) for r in docs.collect())
+        if name == "n-gram Jaccard join":
+            assert max(got.values()) == 1 and set(got) <= set(given)
+        elif name == "mixing sources to target weights":
+            assert all(n <= 3 * given[r] for r, n in got.items())
+        elif name == "secret scans":
+            assert sum(got.values()) == len(rows) and "hunter22" not in str(got)
+        else:
+            assert not got - given
+        empty = stage(spark, docs.where("false"), SF)
+        assert empty.columns == docs.columns and empty.count() == 0, name
+    last = corpus_pipeline.STAGES[4][1]
+    packed = last(spark, docs, SF).collect()
+    assert len({(r["sequence_id"], r["offset"]) for r in packed}) == len(packed) == len(rows)
+    assert last(spark, docs.where("false"), SF).count() == 0
+
+
 def test_every_query_is_there():
     names = set(registry.queries())
     assert {n.split("_")[0] for n in names} == {f"op{i}" for i in range(1, 11)}
