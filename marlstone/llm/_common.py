@@ -30,11 +30,19 @@ def stored(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
 
 
 def removed(spark: SparkSession, *paths: str) -> None:
-    """Deletes stored tables that nothing reads any more, and lets Spark find the shuffle files that nothing refers to."""
+    """Deletes stored tables that nothing reads any more, and the shuffle files that nothing refers to."""
     hadoop = spark.sparkContext._jsc.hadoopConfiguration()
     for path in paths:
         at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(hadoop).delete(at, True)
+    swept(spark)
+
+
+def swept(spark: SparkSession) -> None:
+    """Lets Spark find the shuffle files of finished steps: it deletes those that no object of the driver refers to.
+
+    A step whose result is stored is done with its shuffles; without this they would stay until the driver's memory fills.
+    """
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 

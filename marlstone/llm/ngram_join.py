@@ -49,7 +49,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.components import components
-from ._common import removed, shared_path, slices, stored, table, text_or_empty
+from ._common import removed, shared_path, slices, stored, swept, table, text_or_empty
 from .token_index import mix64
 
 _U = np.uint64
@@ -420,6 +420,7 @@ def _linked_pairs(rows: DataFrame, classes, percent: int) -> DataFrame:
 def verified_edges(sets: DataFrame, families: DataFrame, classes, percent: int) -> DataFrame:
     """Edges (u, v) of links that connect what is linked; ``families(node, family)`` of stored ``sets(node, n_shingles, tokens)``."""
     held = stored(sets.select("node", "n_shingles", "tokens").hint("merge").join(families, "node"), "ngram-held")
+    swept(held.sparkSession)
     sizes = held.groupBy("family").agg(F.count(F.lit(1)).alias("size"), F.sum("n_shingles").alias("weight"))
     blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("weight") / BLOCK_TOKENS)).cast("int")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
@@ -436,6 +437,7 @@ def verified_edges(sets: DataFrame, families: DataFrame, classes, percent: int)
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
     own_and_common = dealt.select("node", "family", "own", F.col("node").alias("tree"), F.when(F.col("hub"), every).otherwise(F.array("own")).alias("places"))
     first = stored(_linked_pairs(met(own_and_common), classes, percent), "ngram-links")
+    swept(held.sparkSession)
     many = dealt.where("blocks > 1")
     if many.isEmpty():
         return first
@@ -493,12 +495,18 @@ def _linked(docs: DataFrame, k: int, percent: int) -> DataFrame:
     removed(spark, wide[1])
     reps = nodes.join(passing, "node").select("node", "row.label", "row.key")
     sets = stored(sets_of(docs, reps, classes, k, percent), "", wide[2])
+    del reps
+    swept(spark)
     for order in range(1, ORDERS):
         tokens = postings(sets.select("node", F.col(f"order{order}").alias("tokens")).hint("merge").join(passing, "node"))
         passing = stored(sharing(tokens, sets, percent), "ngram-passing")
+        del tokens
+        swept(spark)
     sets = sets.join(passing.hint("merge"), "node")
     heads = _heads(sets.select("node", "tokens"), classes, percent)
-    families = stored(components(candidate_edges(sets, postings(heads), percent)).withColumnRenamed("root", "family"), "ngram-families")
+    edges = stored(candidate_edges(sets, postings(heads), percent), "ngram-candidates")
+    swept(spark)
+    families = stored(components(edges).withColumnRenamed("root", "family"), "ngram-families")
     edges = verified_edges(sets, families, classes, percent)
     joined = components(edges)
     del sets, heads
@@ -521,7 +529,9 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     alone = F.when(F.col("root").isNull(), F.struct("doc_id", "key"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), _label().alias("label"), "key"))
     kept = linked.groupBy("root", alone.alias("alone")).agg(first.alias("row"))
-    kept = kept.select(F.col("row.label").alias("__label"), F.col("row.key").alias("__key"))
+    kept = stored(kept.select(F.col("row.label").alias("__label"), F.col("row.key").alias("__key")), "ngram-kept")
+    del linked
+    swept(docs.sparkSession)
     rows = docs.withColumns({"__label": _label(), "__key": key}).join(kept, ["__label", "__key"], "left_semi")
     return rows.dropDuplicates(["__label", "__key"]).select(docs.columns)
 
