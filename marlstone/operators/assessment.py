@@ -414,3 +414,68 @@ def truth_checks(truth: Column, c=F.col) -> Column:
         F.when(software.isNotNull(), F.struct(F.lit("software_contains").alias("key"), F.lower(c("software")).contains(F.lower(software)).alias("passed"))),
     ]
     return F.array_compact(F.array(*rows))
+
+
+# ------------------------------------------------------------------ map intelligence, content, posture
+
+
+def map_intelligence(c=F.col) -> Column:
+    """How surely a record shows a map, from the columns detected, basis, visual_score, interface_text, signal_confidence, route, route_confidence, city, area, landmark, their file-name forms, strong_region, offline_hit, endpoints."""
+    floor = lambda holds, x: F.when(holds, x).otherwise(0)
+    named = c("basis") == "filename"
+    score = F.greatest(
+        floor(c("detected"), F.when(named | (c("basis") == ""), 38).otherwise(F.greatest(c("visual_score"), F.lit(55)))), floor(c("interface_text"), 86), floor(c("signal_confidence") > 0, c("signal_confidence")),
+        floor(c("route"), F.least(F.lit(92), c("route_confidence") + 8)), F.when(c("city"), 78).when(c("named_city"), 44).otherwise(0), F.when(c("area"), 80).when(c("named_area"), 46).otherwise(0),
+        F.when(c("landmark"), 82).when(c("named_landmark"), 48).otherwise(0), floor(c("strong_region"), 84), floor(c("offline_hit") > 0, F.least(F.lit(88), c("offline_hit"))), floor(c("endpoints"), 76),
+    )
+    return F.when(named, F.least(score, F.lit(35))).otherwise(score).cast("int")
+
+
+def content_label(c=F.col) -> tuple[Column, Column]:
+    """What kind of content a record is, and how surely."""
+    base = clamp(36 + F.floor(c("image_confidence") / 2) + F.least(F.lit(24), 5 * (c("map_labels") + c("visible_urls"))), 38, 74)
+    mapped, chat, web = (c("map_intelligence") >= 50) | c("route"), c("app").isin(*CHAT_APPS), (c("visible_urls") > 0) | c("app").isin(*BROWSERS)
+    camera, screen = c("source_type") == "Camera Photo", F.lower(c("source_type")).contains("screenshot")
+    label = F.when(mapped, "map").when(chat, "messaging").when(web, "web").when(camera, "camera").when(screen, "screen").otherwise("general")
+    floor = (
+        F.when(mapped, F.greatest(c("map_intelligence"), F.when(c("route"), 76).otherwise(68))).when(chat, 76).when(web, 70)
+        .when(camera, F.when(c("device_model").isin("Unknown", "N/A", ""), 68).otherwise(80)).when(screen, 58).otherwise(0)
+    )
+    pixel = F.when(c("pixel_score") >= 40, F.least(F.lit(92), 62 + F.floor(c("pixel_score") / 2))).otherwise(0)
+    return label, F.greatest(base, floor, pixel).cast("int")
+
+
+def existence(c=F.col) -> Column:
+    """struct<exact, near>: whether a record has a twin in its case; any duplicate group counts as either."""
+    group = ~F.coalesce(c("duplicate_group"), F.lit("")).isin("", "unique")
+    note = F.lower(F.coalesce(c("note"), F.lit("")))
+    said = note.rlike("near[ -]duplicate detected|similar image detected|similar peer|duplicate peer") & ~note.rlike("no near[ -]duplicate|no duplicate|no similar|not identified|none identified")
+    return F.struct(group.alias("exact"), (group | said).alias("near"))
+
+
+def search_gate(c=F.col) -> Column:
+    """struct<coordinates, sensitive>: what stands against searching for a record's clues outside."""
+    kinds = F.array_compact(F.array(F.when(native(c), F.lit("metadata")), F.when(c("map_url") | derived(c), F.lit("map")), F.when(c("scene_confidence") >= 30, F.lit("country")), F.when(c("visible_text"), F.lit("text"))))
+    return F.struct((native(c) | derived(c)).alias("coordinates"), F.array_sort(kinds).alias("sensitive"))
+
+
+def support_count(name: Column, *buckets: Column) -> Column:
+    """How many buckets (arrays of texts) name a candidate."""
+    low = F.lower(F.trim(F.coalesce(name, F.lit(""))))
+    hits = [F.coalesce(F.lower(F.array_join(b, " | ")).contains(low), F.lit(False)).cast("int") for b in buckets]
+    return F.when(low == "", 0).otherwise(reduce(lambda a, b: a + b, hits))
+
+
+def audit_summary(records: DataFrame, case: str = "case_id", level: str = "redacted_text", verified: bool = False) -> DataFrame:
+    """Per case: records, high risks, records without a firm place, and the number of blockers of a handoff."""
+    ready, _ = map_answer_readiness()
+    out = records.groupBy(case).agg(F.count(F.lit(1)).alias("records"), F.count_if(F.col("risk_level") == "High").alias("high"), F.count_if((ready < 50) & ~native()).alias("weak"))
+    return out.withColumn("blockers", F.lit(int(level == "full") + int(not verified)) + (F.col("weak") > 0).cast("int"))
+
+
+def privacy_posture(records: DataFrame, case: str = "case_id", level: str = "redacted_text") -> DataFrame:
+    """Per case and level: records whose coordinates, texts or names an export must mask, and the status of the export."""
+    strict = level in ("redacted_text", "courtroom_redacted")
+    place, read = native() | derived(), F.col("visible_text") | (F.col("visible_urls") > 0)
+    out = records.groupBy(case).agg(F.count_if(place & F.lit(strict)).alias("coordinates"), F.count_if(read & F.lit(strict)).alias("texts"), F.count(F.lit(1)).alias("records"))
+    return out.withColumn("status", F.lit("Safe" if strict else "Needs review"))

@@ -129,3 +129,104 @@ def pixel_verdict(strings: Column, alpha: Column, random_channels: Column, biase
     score = F.when(F.size(strings) >= 3, 62).when(F.size(strings) == 2, 42).when(F.size(strings) == 1, 35).otherwise(0)
     score = F.least(F.lit(100), score + F.when(alpha, 28).otherwise(0) + F.when(random_channels >= 2, 14).otherwise(0) + F.when(biased, 8).otherwise(0) + F.when(balanced, 8).otherwise(0))
     return score, F.when(score >= 70, "strong").when(score >= 40, "review").when(score >= 15, "weak").otherwise("clear")
+
+
+def colour_ratios(px: np.ndarray) -> dict[str, float]:
+    """Shares of pixels of colours that tell maps, screens and photos apart."""
+    r, g, b = (px[:, k].astype(int) for k in range(3))
+    mean = (r + g + b) / 3
+    spread = np.maximum(np.maximum(r, g), b) - np.minimum(np.minimum(r, g), b)
+    # The limits of each colour.
+    masks = {
+        "light": mean >= 190, "dark": mean <= 45, "saturated": spread >= 60, "green": (g >= 105) & (g >= r + 8) & (g >= b - 10), "sky": (b >= 145) & (g >= 110) & (r <= 155) & (b >= r + 20),
+        "water": (b >= 95) & (g >= 70) & (r <= 105) & (b >= r + 25), "red": (r >= 155) & (r >= g + 35) & (r >= b + 35), "yellow": (r >= 170) & (g >= 145) & (b <= 100), "orange": (r >= 210) & (g >= 85) & (g <= 175) & (b <= 90),
+        "route_blue": (b >= 155) & (r <= 95) & (g >= 85) & (g <= 190), "road_grey": (mean >= 82) & (mean <= 205) & (spread <= 22), "purple": (r >= 120) & (b >= 145) & (g <= 120) & (np.abs(r - b) <= 90),
+        "skin": (r > 95) & (g > 55) & (b > 35) & (r > g) & (g > b) & (r - b >= 35), "white": (mean >= 232) & (spread <= 24), "black": (mean <= 28) & (spread <= 24), "alpha": px[:, 3] < 255,
+    }
+    return {name: round(float(m.sum()) / max(1, len(px)), 4) for name, m in masks.items()}
+
+
+def edge_density(px: np.ndarray, width: int, limit: int = 24) -> float:
+    """Share of neighbours, to the right and below, whose brightness differs by more than a limit."""
+    height = len(px) // max(1, width)
+    grey = px[: height * width, :3].mean(axis=1).reshape(height, width)
+    across, down = np.abs(np.diff(grey, axis=1)) > limit, np.abs(np.diff(grey, axis=0)) > limit
+    return float(across.sum() + down.sum()) / max(1, across.size + down.size)
+
+
+def map_scores(ratios: dict[str, float], edges: float) -> tuple[int, int]:
+    """How much an image looks like a map, and how much like one with a route; both at most 95."""
+    rules = (
+        (ratios["light"] >= 0.40, 26), (ratios["white"] >= 0.28, 10), (ratios["water"] >= 0.035, 15), (ratios["green"] >= 0.035, 14), (ratios["yellow"] >= 0.010 or ratios["orange"] >= 0.008, 10),
+        (ratios["red"] >= 0.001, 6), (ratios["dark"] >= 0.35 and edges >= 0.055, 16),
+    )
+    line = ratios["route_blue"] + ratios["purple"]
+    return min(95, sum(n for holds, n in rules if holds)), min(95, (54 if line >= 0.003 else 0) + (20 if line >= 0.008 else 0) + (8 if ratios["red"] >= 0.001 else 0))
+
+
+def component_boxes(mask: np.ndarray, least: int = 2, diagonal: bool = False) -> list[tuple[int, int, int, int, int]]:
+    """(left, top, right, bottom, area) of the connected parts of a mask, from top to bottom, by joining the runs of its rows."""
+    parent: list[int] = []
+    boxes: list[list[int]] = []
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    above: list[tuple[int, int, int]] = []
+    for y, row in enumerate(mask.astype(bool)):
+        edges = np.flatnonzero(np.diff(np.concatenate([[False], row, [False]]).astype(np.int8))).reshape(-1, 2).tolist()
+        here, k = [], 0
+        for a, e in edges:
+            label = len(parent)
+            parent.append(label)
+            boxes.append([a, y, e, y + 1, e - a])
+            reach = 1 if diagonal else 0
+            while k < len(above) and above[k][1] <= a - reach:
+                k += 1
+            j = k
+            while j < len(above) and above[j][0] < e + reach:
+                one, other = find(label), find(above[j][2])
+                if one != other:
+                    low, high = min(one, other), max(one, other)
+                    parent[high] = low
+                    x, z = boxes[low], boxes[high]
+                    boxes[low] = [min(x[0], z[0]), min(x[1], z[1]), max(x[2], z[2]), max(x[3], z[3]), x[4] + z[4]]
+                j += 1
+            here.append((a, e, label))
+        above = here
+    return sorted((tuple(boxes[k]) for k in range(len(parent)) if find(k) == k and boxes[k][4] >= least), key=lambda x: (x[1], x[0]))
+
+
+def image_vector(px: np.ndarray, width: int) -> np.ndarray:
+    """42 numbers of unit length: eight bins of each channel, four by four cells of brightness, edges and spread."""
+    if not len(px):
+        return np.zeros(42)
+    bins = [np.bincount(px[:, k] >> 5, minlength=8) / len(px) for k in range(3)]
+    v = np.concatenate([*bins, luma(px, width, 4, 4).reshape(-1) / 255, [edge_density(px, width), float(px[:, :3].std()) / 128]])
+    return v / max(1e-12, float(np.linalg.norm(v)))
+
+
+COLOURS = ("light", "dark", "saturated", "green", "sky", "water", "red", "yellow", "orange", "route_blue", "road_grey", "purple", "skin", "white", "black", "alpha")
+
+
+def colours(images: DataFrame) -> DataFrame:
+    """``images(key..., rgba, width)`` without the pixels, with :data:`COLOURS`, edges, map_score, route_score and vector."""
+    kept = [c for c in images.columns if c not in ("rgba", "width")]
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for raw, width in zip(batch.column("rgba").to_pylist(), batch.column("width").to_pylist()):
+                px = np.frombuffer(raw or b"", np.uint8)
+                px = px[: len(px) // 4 * 4].reshape(-1, 4)
+                width = min(max(1, width or 1), max(1, len(px)))
+                ratios, edges = colour_ratios(px), edge_density(px, width) if len(px) else 0.0
+                rows.append((*ratios.values(), edges, *map_scores(ratios, edges), image_vector(px, width).tolist()))
+            kinds = [pa.float64()] * 17 + [pa.int32()] * 2 + [pa.list_(pa.float64())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], names=[*kept, *COLOURS, "edges", "map_score", "route_score", "vector"])
+
+    schema = ", ".join(f"`{c}` {t}" for c, t in images.dtypes if c in kept)
+    return images.mapInArrow(run, f"{schema}, " + ", ".join(f"{c} double" for c in (*COLOURS, "edges")) + ", map_score int, route_score int, vector array<double>")

@@ -96,3 +96,45 @@ def manifest(spark, folder: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
     tail = F.element_at(F.split("path", folder.rstrip("/").rsplit("/", 1)[-1] + "/"), -1)
     return files.select(tail.alias("relative_path"), F.sha2("content", 256).alias("sha256"))
+
+
+def write_snapshot(df: DataFrame, path: str) -> None:
+    """One row of JSON at ``path``; what was there becomes '.bak', which the reader of snapshots falls back to."""
+    spark = df.sparkSession
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    make = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    new, old, backup = make(f"{path}.new"), make(path), make(f"{path}.bak")
+    df.limit(1).coalesce(1).write.mode("overwrite").json(f"{path}.new")
+    fs = old.getFileSystem(hadoop)
+    if fs.exists(old):
+        fs.delete(backup, True)
+        fs.rename(old, backup)
+    fs.rename(new, old)
+
+
+def html_table(df: DataFrame, level: str = "redacted_text") -> DataFrame:
+    """Rows of an HTML table of the flat export, escaped, one text a record."""
+    rows = flat(df, level)
+    escape = lambda c: F.replace(F.replace(F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    return rows.select(F.concat(F.lit("<tr><td>"), F.concat_ws("</td><td>", *(escape(c) for c in EXPORT)), F.lit("</td></tr>")).alias("value"))
+
+
+def map_features(df: DataFrame) -> DataFrame:
+    """One GeoJSON point for each record of ``df(evidence_id, lat, lon)`` that has one."""
+    point = F.struct(F.lit("Point").alias("type"), F.array("lon", "lat").alias("coordinates"))
+    feature = F.struct(F.lit("Feature").alias("type"), point.alias("geometry"), F.struct("evidence_id").alias("properties"))
+    return df.where("lat is not null and lon is not null").select(F.to_json(feature).alias("value"))
+
+
+def export_claims(claims: DataFrame, path: str) -> None:
+    claims.write.mode("overwrite").csv(path, header=True)
+
+
+def write_cache(df: DataFrame, path: str, version: int) -> None:
+    """Results by record and content hash, with the version of their form, added to what is cached."""
+    df.withColumn("schema_version", F.lit(version)).write.mode("append").parquet(path)
+
+
+def read_cache(spark, path: str, wanted: DataFrame, version: int) -> DataFrame:
+    """Cached results of ``wanted(evidence_id, sha256)``, of this version alone; other content is no hit."""
+    return spark.read.parquet(path).where(F.col("schema_version") == version).join(wanted, ["evidence_id", "sha256"], "left_semi")

@@ -287,3 +287,72 @@ def test_hash_pairs_against_all_pairs(spark):
     got = [tuple(r) for r in relations.hamming_pairs(df, 6).collect()]
     assert len(got) == len(want) and set(got) == want
     assert casework.MODES and relations.near_hash_edges(df).count() >= 1
+
+
+def test_visible_text(spark):
+    from marlstone.functions import ocr_text
+
+    lines = {"Main Street 12": True, "--- ::": False, "a": False, "a!!": False, "خريطة": True, "ab": False, "x1 2": True, "......a....": False}
+    got = spark.createDataFrame([(x,) for x in lines], "t string").select("t", ocr_text.readable(F.col("t")).alias("r")).collect()
+    assert {r["t"]: r["r"] for r in got} == lines
+    strings = {"hello world again": True, "IHDR something": False, "#$%^&*()_+!@": False, "see http://x": True, "short": False, "zzzzzzzzzz": True, "0123 4567 8901": False}
+    got = spark.createDataFrame([(x,) for x in strings], "t string").select("t", ocr_text.readable_string(F.col("t")).alias("r")).collect()
+    assert {r["t"]: r["r"] for r in got} == strings
+    r = spark.createDataFrame([("Giza — 78% — city", "byuctf{City-State}", "cairo_trip-2024.jpg")], "a string, f string, n string").select(
+        ocr_text.rank_label(F.col("a")).alias("l"), ocr_text.flag_answer(F.lit("Giza, Egypt"), F.col("f")).alias("w"), ocr_text.file_name_hints(F.col("n"), ["Cairo", "Giza"]).alias("h"), ocr_text.region_hint(F.lit("Egypt / x")).alias("g"), ocr_text.good_label(F.lit(" Maps ")).alias("b")
+    ).first()
+    assert tuple(r["l"]) == ("Giza", 78, "city") and r["w"] == "byuctf{Giza-Egypt}" and r["h"] == ["Cairo"] and r["g"] == "Egypt" and not r["b"]
+
+
+def test_components_of_masks():
+    rng = np.random.default_rng(3)
+    for diagonal in (False, True):
+        for _ in range(30):
+            mask = rng.random((12, 15)) < 0.45
+            seen, want = np.zeros(mask.shape, bool), []
+            for y, x in zip(*np.nonzero(mask)):
+                if seen[y, x]:
+                    continue
+                todo, part = [(y, x)], []
+                seen[y, x] = True
+                while todo:
+                    a, b = todo.pop()
+                    part.append((a, b))
+                    for da in (-1, 0, 1):
+                        for db in (-1, 0, 1):
+                            if (da, db) != (0, 0) and (diagonal or not da or not db):
+                                p, q = a + da, b + db
+                                if 0 <= p < 12 and 0 <= q < 15 and mask[p, q] and not seen[p, q]:
+                                    seen[p, q] = True
+                                    todo.append((p, q))
+                if len(part) >= 2:
+                    ys, xs = zip(*part)
+                    want.append((min(xs), min(ys), max(xs) + 1, max(ys) + 1, len(part)))
+            assert sorted(pixels.component_boxes(mask, 2, diagonal)) == sorted(want)
+
+
+def test_colours():
+    px = np.array([[255, 255, 255, 255], [0, 0, 0, 255], [0, 100, 200, 255], [200, 50, 50, 0]], np.uint8)
+    r = pixels.colour_ratios(px)
+    assert (r["light"], r["dark"], r["white"], r["black"], r["red"], r["alpha"], r["route_blue"]) == (0.25,) * 7
+    assert pixels.map_scores(dict.fromkeys(pixels.COLOURS, 0.0) | {"light": 0.5, "white": 0.3, "route_blue": 0.01, "red": 0.01}, 0.0) == (42, 82)
+    assert pixels.edge_density(px, 2) == 0.75 or pixels.edge_density(px, 2) > 0.4
+    assert len(pixels.image_vector(px, 2)) == 42 and np.linalg.norm(pixels.image_vector(px, 2)) == pytest.approx(1)
+
+
+def test_snapshots_and_caches(spark, tmp_path):
+    path = str(tmp_path / "s.json")
+    for name in ("first", "second"):
+        sinks.write_snapshot(spark.createDataFrame([(name,)], "case_id string"), path)
+    assert files.snapshot(spark, path, "case_id string").first()[0] == "second"
+    import shutil
+
+    shutil.rmtree(path)
+    assert files.snapshot(spark, path, "case_id string").first()[0] == "first"
+    rows = spark.createDataFrame([(1, "h", "x"), (2, "old", "y")], "evidence_id int, sha256 string, result string")
+    sinks.write_cache(rows, str(tmp_path / "cache"), 3)
+    sinks.write_cache(rows.withColumn("result", F.lit("stale")), str(tmp_path / "cache"), 2)
+    wanted = spark.createDataFrame([(1, "h"), (2, "new")], "evidence_id int, sha256 string")
+    assert [r["result"] for r in sinks.read_cache(spark, str(tmp_path / "cache"), wanted, 3).collect()] == ["x"]
+    one = spark.createDataFrame([("c", 1, "<a&b>.jpg", 30.0, 31.0)], "case_id string, evidence_id int, file_name string, lat double, lon double")
+    assert "&lt;a&amp;b&gt;.jpg" in sinks.html_table(one, "full").first()[0] and json.loads(sinks.map_features(one).first()[0])["geometry"]["coordinates"] == [31.0, 30.0]

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from marlstone.plans import case_queries, place_queries, record_queries, rule_queries, signal_queries  # noqa: F401  (register their queries)
+from marlstone.plans import case_queries, place_queries, record_queries, review_queries, rule_queries, signal_queries  # noqa: F401  (register their queries)
 from marlstone.plans.queries import ORACLE, QUERIES
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
