@@ -113,7 +113,7 @@ def region_weight(region: Column) -> Column:
 
 def rank_label(label: Column) -> Column:
     """struct<place, score, category> of a label 'place — score% — category'."""
-    parts = F.transform(F.split(F.coalesce(label, F.lit("")), "—"), F.trim)
+    parts = F.transform(F.split(F.coalesce(label, F.lit("")), "—"), lambda x: F.trim(x))
     score = F.regexp_replace(F.coalesce(F.get(parts, F.lit(1)), F.lit("")), "%", "").try_cast("int")
     return F.struct(F.get(parts, F.lit(0)).alias("place"), F.coalesce(score, F.lit(0)).alias("score"), F.coalesce(F.get(parts, F.lit(2)), F.lit("candidate")).alias("category"))
 
