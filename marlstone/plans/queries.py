@@ -111,50 +111,57 @@ def same_device_edges(spark, sf_dir):
     return relations.device_edges(_by_device(spark, sf_dir), "device")
 
 
-_SIMPLE_KINDS = ("windows_path", "url", "email", "token")
+#: Patterns without looks behind or ahead, which the other engine lacks: what stands around a hit is a group of its own.
+_PLAIN = {
+    "unix_path": (r"(^|[^0-9A-Za-z_])(/(?:Users|home|mnt|var|tmp|private|Volumes)/[^\s\n\r\t]+)()", 2),
+    "username": (r"(^|[^0-9A-Za-z_.])(@[A-Za-z0-9_.-]{2,}\b)()", 2),
+    "coordinates": (r"(^|[^0-9A-Za-z_.])(-?\d{1,3}\.\d{4,}\s*,\s*-?\d{1,3}\.\d{4,})($|[^0-9A-Za-z_.])", 2),
+    "phone": (r"(^|[^0-9A-Za-z_])((?:\+?\d{1,3}[\s.-]?)?(?:\(?\d{2,4}\)?[\s.-]?)?\d{3,4}[\s.-]?\d{4})($|[^0-9A-Za-z_])", 2),
+}
 
 
 def _sql_redact(column: str) -> str:
     out = column
-    for kind in text.SENSITIVE:
-        if kind in _SIMPLE_KINDS:
-            pattern, mark = text.SENSITIVE[kind]
-            out = f"regexp_replace({out}, '{pattern.replace(chr(39), chr(39) * 2)}', '{mark}', 'g')"
+    for kind, (pattern, mark) in text.SENSITIVE.items():
+        pattern, mark = (_PLAIN[kind][0], f"\\1{mark}\\3") if kind in _PLAIN else (pattern, mark)
+        quoted = pattern.replace("'", "''")
+        out = f"regexp_replace({out}, '{quoted}', '{mark}', 'g')"
+        if kind in _PLAIN:  # a sign between two hits is taken by the first
+            out = f"regexp_replace({out}, '{quoted}', '{mark}', 'g')"
     return out
 
 
 @query(f"select doc_id, sha256({_sql_redact('text')}) redacted_sha256, {_sql_redact('text')} <> text changed from documents")
 def redact_text(spark, sf_dir):
-    redacted = text.redact(F.col("text"), _SIMPLE_KINDS)
+    redacted = text.redact(F.col("text"))
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(redacted, 256).alias("redacted_sha256"), (redacted != F.col("text")).alias("changed"))
 
 
-@query()
-def redact_all(spark, sf_dir):
-    redacted = text.redact(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(redacted, 256).alias("redacted_sha256"), (redacted != F.col("text")).alias("changed"))
+def _sql_hits(kind: str) -> str:
+    pattern, group = _PLAIN.get(kind, (text.SENSITIVE[kind][0], 0))
+    return f"len(regexp_extract_all(text, '{pattern.replace(chr(39), chr(39) * 2)}', {group}))"
 
 
-@query(
-    "select * from ("
-    + " union all ".join(f"select doc_id, '{k}' kind, len(regexp_extract_all(text, '{text.SENSITIVE[k][0].replace(chr(39), chr(39) * 2)}')) hits from documents" for k in _SIMPLE_KINDS)
-    + ") where hits > 0"
-)
+@query("select * from (" + " union all ".join(f"select doc_id, '{k}' kind, {_sql_hits(k)} hits from documents" for k in text.SENSITIVE) + ") where hits > 0")
 def pii_hits(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.explode(text.sensitive_hits(F.col("text"), _SIMPLE_KINDS)).alias("h"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.explode(text.sensitive_hits(F.col("text"))).alias("h"))
     return docs.select("doc_id", "h.kind", F.col("h.hits").cast("long").alias("hits"))
 
 
-@query(
-    f"""with e as (select doc_id, unnest(regexp_extract_all(text, '{text.ENTITIES[1][1]}')) v from documents)
-select distinct doc_id, 'email' entity_type, lower(trim(v, ' ,.;:|()[]{{}}')) low, 88 confidence from e"""
+_FOUND = " union all ".join(
+    f"select doc_id, '{kind}' entity_type, '{sensitivity}' sensitivity, {confidence} confidence, unnest(regexp_extract_all(text, '{(pattern if kind != 'username' else r'(?:^|[^0-9A-Za-z_.])(@[A-Za-z0-9_.]{3,32})' + chr(92) + 'b').replace(chr(39), chr(39) * 2)}', {1 if kind == 'username' else 0})) v from documents"
+    for kind, pattern, confidence, sensitivity in text.ENTITIES
 )
+_ENTITIES = f"with e as ({_FOUND}), c as (select distinct doc_id, entity_type, sensitivity, confidence, lower(trim(regexp_replace(v, '\\s+', ' ', 'g'), ' ,.;:|()[]{{}}')) low from e)"
+
+
+@query(_ENTITIES + " select doc_id, entity_type, low, confidence from c where low <> ''")
 def entities_long(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", F.explode(text.entities(F.col("text"))).alias("e"))
-    return docs.where("e.entity_type = 'email'").select("doc_id", "e.entity_type", F.lower("e.value").alias("low"), "e.confidence")
+    return docs.select("doc_id", "e.entity_type", F.lower("e.value").alias("low"), "e.confidence")
 
 
-@query()
+@query(_ENTITIES + " select entity_type, sensitivity, count(*) entities, count(distinct doc_id) records from c where low <> '' group by all")
 def privacy_review(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", F.explode(text.entities(F.col("text"))).alias("e"))
     return docs.groupBy("e.entity_type", "e.sensitivity").agg(F.count(F.lit(1)).alias("entities"), F.count_distinct("doc_id").alias("records"))

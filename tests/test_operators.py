@@ -356,3 +356,12 @@ def test_snapshots_and_caches(spark, tmp_path):
     assert [r["result"] for r in sinks.read_cache(spark, str(tmp_path / "cache"), wanted, 3).collect()] == ["x"]
     one = spark.createDataFrame([("c", 1, "<a&b>.jpg", 30.0, 31.0)], "case_id string, evidence_id int, file_name string, lat double, lon double")
     assert "&lt;a&amp;b&gt;.jpg" in sinks.html_table(one, "full").first()[0] and json.loads(sinks.map_features(one).first()[0])["geometry"]["coordinates"] == [31.0, 30.0]
+
+
+def test_cities_and_landmarks(spark):
+    values = spark.createDataFrame([("Alxandria",), ("greater cairo",), ("Cairo",), ("Oslo",), ("",)], "value string")
+    aliases = spark.createDataFrame([("Alexandria", "Alexandria", 0), ("Cairo", "Cairo", 1)], "name string, alias string, ord int")
+    got = {r["value"]: (r["name"], r["score"]) for r in gazetteer.normalise_cities(values, aliases).collect()}
+    assert got["Alxandria"][0] == "Alexandria" and got["greater cairo"] == ("Cairo", 0.94) and got["Cairo"] == ("Cairo", 1.0) and got["Oslo"] == ("Oslo", 0.0)
+    a, b = (spark.createDataFrame([(n, src)], "name string, src string") for n, src in (("Big Ben", "mine"), ("big ben ", "built in")))
+    assert [r["src"] for r in gazetteer.landmarks(a, b).collect()] == ["mine"]
