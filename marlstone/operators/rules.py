@@ -128,6 +128,30 @@ def region_scores(text: Column, profiles: dict[str, tuple[int, int, int, tuple[s
     return F.transform(ranked, lambda x: F.struct(x["region"].alias("region"), (-x["order"]).alias("score"), x["hits"].alias("hits")))
 
 
+def classify_region(text: Column, profiles: dict[str, tuple], least: int = 30) -> Column:
+    """struct<region, score>: the profile with the most points, of equals the first; under ``least`` only the script is told.
+
+    A profile is (cap, (base, step, word cap, words), ((pattern, points), ...)): words give base + step for each that
+    occurs, patterns (script, telephone, domain, coordinates) their points, all together at most cap.
+    """
+    low = F.lower(F.coalesce(text, F.lit("")))
+    rows = []
+    for nth, (region, (cap, (base, step, most, words), patterns)) in enumerate(profiles.items()):
+        hits = F.aggregate(F.array(*(low.contains(w).cast("int") for w in words)), F.lit(0), lambda s, x: s + x)
+        points = F.when(hits > 0, F.least(F.lit(most), base + step * hits)).otherwise(0)
+        for pattern, more in patterns:
+            points = points + F.when(low.rlike(pattern), more).otherwise(0)
+        rows.append(F.struct((-F.least(F.lit(cap), points)).alias("order"), F.lit(nth).alias("nth"), F.lit(region).alias("region")))
+    best = F.get(F.array_sort(F.array(*rows)), F.lit(0))
+    found = lambda region, score: F.struct(region.alias("region"), score.cast("int").alias("score"))
+    return (
+        F.when(-best["order"] >= least, found(best["region"], -best["order"]))
+        .when(low.rlike("[\u0600-\u06ff]"), found(F.lit("Arabic script"), F.lit(28)))
+        .when(low.rlike("[a-z]"), found(F.lit("Latin script"), F.lit(24)))
+        .otherwise(found(F.lit("Unknown"), F.lit(0)))
+    )
+
+
 def urls(text: Column) -> Column:
     return all_matches(text, r"(?i)(?:https?://|www\.)[^\s<>'\"()]+")
 

@@ -52,6 +52,33 @@ def region_classifier(spark, sf_dir):
     return docs.select("doc_id", "r.region", "r.score", "r.hits")
 
 
+#: Profiles with evidence besides words; those of a deployment are data of its own.
+PROFILES = {
+    "german": (90, (16, 3, 40, (" der ", " und ", " die ", " mit ", " ist ")), (("[\u00e4\u00f6\u00fc\u00df]", 14), ("\\.de\\b", 30))),
+    "french": (88, (12, 3, 36, (" les ", " de ", " et ", " la ")), (("[\u00e8\u00ea\u00e7]", 16), ("\\+33", 34))),
+    "spanish": (78, (14, 3, 36, (" el ", " que ", " los ", " de ")), (("[\u00f1\u00f3]", 14),)),
+    "english": (72, (14, 4, 45, ("the ", " and ", " of ", " was ")), (("[0-9]{3}-[0-9]{4}", 18),)),
+}
+
+
+def _profile_sql() -> str:
+    scores = []
+    for cap, (base, step, most, words), patterns in PROFILES.values():
+        hits = " + ".join(f"cast(contains(low, '{w}') as int)" for w in words)
+        more = "".join(f" + case when regexp_matches(low, '{p}') then {n} else 0 end" for p, n in patterns)
+        scores.append(f"least({cap}, case when {hits} > 0 then least({most}, {base} + {step} * ({hits})) else 0 end{more})")
+    names = "', '".join(PROFILES)
+    return f"""with d as (select doc_id, lower(coalesce(text, '')) low from documents), s as (select doc_id, low, [{', '.join(scores)}] s from d), b as (select *, list_max(s) m from s)
+select doc_id, case when m >= 30 then ['{names}'][list_position(s, m)] when regexp_matches(low, '[\u0600-\u06ff]') then 'Arabic script' when regexp_matches(low, '[a-z]') then 'Latin script' else 'Unknown' end region,
+  cast(case when m >= 30 then m when regexp_matches(low, '[\u0600-\u06ff]') then 28 when regexp_matches(low, '[a-z]') then 24 else 0 end as int) score from b"""
+
+
+@query(_profile_sql())
+def region_profiles(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", rules.classify_region(F.col("text"), PROFILES).alias("r")).select("doc_id", "r.*")
+
+
 @query(
     f"""with {EVIDENCE_SQL}, s as (select *, {_STRENGTH} strength from evidence), t as (select *, strength >= 78 and integrity_status = 'Verified' and (gps_latitude is not null or timestamp_confidence >= 80) proof from s)
 select case_id, count(*) records, count(*) filter (risk_level = 'High') high, count(*) filter (proof or strength >= 55) strong, count(*) filter (not (proof or strength >= 55) and strength >= 20) leads,
