@@ -65,12 +65,13 @@ def best_peers(relations: DataFrame) -> DataFrame:
 
 def histogram(values: DataFrame, column: str, bins: int = 8) -> DataFrame:
     """(bin, low, high, n) of equal bins from the least to the largest value; empty bins are kept."""
-    ends = values.agg(F.min(column).cast("double").alias("least"), F.max(column).cast("double").alias("most"))
-    width = (F.col("most") - F.col("least")) / bins
-    at = F.when(width > 0, F.least(F.floor((F.col(column) - F.col("least")) / width), F.lit(bins - 1))).otherwise(0).cast("int")
-    counts = values.where(F.col(column).isNotNull()).join(F.broadcast(ends)).groupBy(at.alias("bin")).agg(F.count(F.lit(1)).alias("n"))  # ends is one row
-    grid = ends.where("least is not null").select("least", width.alias("width"), F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
-    return grid.join(counts, "bin", "left").select("bin", (F.col("least") + F.col("bin") * F.col("width")).alias("low"), (F.col("least") + (F.col("bin") + 1) * F.col("width")).alias("high"), F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    ends = values.agg(F.min(column).cast("double").alias("least"), F.max(column).cast("double").alias("most")).first()
+    least, width = ends["least"], (ends["most"] - ends["least"]) / bins if ends["least"] is not None else 0.0
+    at = F.least(F.floor((F.col(column) - F.lit(least)) / F.lit(width)), F.lit(bins - 1)).cast("int") if width else F.lit(0)
+    counts = values.where(F.col(column).isNotNull()).groupBy(at.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    grid = values.sparkSession.range(bins if least is not None else 0).select(F.col("id").cast("int").alias("bin"))
+    low = lambda k: F.lit(least or 0.0) + k * F.lit(width)
+    return grid.join(counts, "bin", "left").select("bin", low(F.col("bin")).alias("low"), low(F.col("bin") + 1).alias("high"), F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
 def top_values(records: DataFrame, case: str, column: str, most: int = 2) -> DataFrame:

@@ -198,7 +198,7 @@ def package_root(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     section = F.when(F.col("doc_id") % 2 == 0, "artifacts").otherwise("report_assets")
     entries = d.select(section.alias("section"), F.concat(F.lit("d"), F.lpad(F.col("doc_id").cast("string"), 9, "0")).alias("relative_path"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256"))
-    return custody.package_root(entries, "manifest").select("root").join(F.broadcast(entries.agg(F.count(F.lit(1)).alias("entries"))))
+    return custody.package_root(entries, "manifest").select("root", F.lit(entries.count()).cast("long").alias("entries"))
 
 
 @query(
