@@ -68,14 +68,13 @@ def source_targets(sizes: DataFrame, most_copies: int = 3, weights: tuple[int, .
     out = out.withColumn("weight", weight).withColumn("cap", F.lit(float(most_copies)) * F.col("source_size")).withColumn("ratio", F.col("cap") / F.col("weight"))
     out = _running(out, [F.col("ratio"), F.col("skey")], {"place": "one", "cap_to": "cap", "weight_to": "weight"}, "mix-ratios")
     out = stored(out, "mix-levels")
-    totals = out.agg(F.sum("source_size").alias("all_words"), F.sum("weight").alias("all_weight"))
-    out = out.join(F.broadcast(totals))  # one row
-    level = (F.col("all_words") - (F.col("cap_to") - F.col("cap"))) / (F.col("all_weight") - (F.col("weight_to") - F.col("weight")))
+    totals = out.agg(F.sum("source_size").alias("words"), F.sum("weight").alias("weight")).first()
+    level = (F.lit(totals["words"] or 0) - (F.col("cap_to") - F.col("cap"))) / (F.lit(totals["weight"] or 0.0) - (F.col("weight_to") - F.col("weight")))
     out = out.withColumn("level", level)
-    first = out.agg(F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("place", "level"))).alias("first"))
-    out = out.drop("level").join(F.broadcast(first))  # one row
-    free = F.col("place") >= F.col("first.place")
-    return out.select("skey", "source_size", F.when(free, F.col("weight") * F.col("first.level")).otherwise(F.col("cap")).alias("target"))
+    first = out.agg(F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("place", "level"))).alias("first")).first()["first"]
+    place, level = (first["place"], first["level"]) if first else (0, 0.0)
+    free = F.col("place") >= place
+    return out.select("skey", "source_size", F.when(free, F.col("weight") * F.lit(float(level))).otherwise(F.col("cap")).alias("target"))
 
 
 def draws(strata: DataFrame) -> DataFrame:
