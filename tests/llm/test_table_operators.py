@@ -52,6 +52,54 @@ def test_html_wrappers_and_rest_of_main():
     assert html_text.main_text(page).split("\n") == ["Title", "Lead, in short.", *["Some text, with commas, that goes on and on for a while, and ends."] * 4, "After it.", "bare words", "Item"]
 
 
+def test_attributes_and_names():
+    """Quotes only where a value starts; whole attribute names; weak words only as whole names or outside the article's own."""
+    text = html_text.main_text
+    assert text("<p>One <a title=don't href=x>two</a> three.</p><p>It's four, five.</p><p>Six.</p>") == "One two three.\nIt's four, five.\nSix."
+    assert text("<article><p data-hidden='false'>one, here</p><p data-id='ad'>two</p><p title='the hidden gem'>three</p><p hidden>no</p><p aria-hidden=true>no</p><p style='Display : none'>no</p></article>") == "one, here\ntwo\nthree"
+    assert text("<article><div class='post-header'><h1>Title</h1></div><p>text, here</p><div class='site-header'>no</div><div class='share'>no</div></article>") == "Title\ntext, here"
+    assert text("<article><p>a<br/>b</p><p class=x/>c</p><p>d</p") == "a b\nc\nd"
+
+
+def test_nesting_takes_linear_time():
+    import time
+
+    for tag in ("<div>", "<ul>", "<form>", "<div class=menu>", "<table><tr><td>", "<p><b>"):
+        page = (tag + "<p>x, y and z</p>") * 8000
+        began = time.process_time()
+        html_text.main_text(page)
+        assert time.process_time() - began < 4, tag
+
+
+def layout(rng, blocks):
+    """A page of one of several layouts around the blocks of an article."""
+    body = "".join(f"<{t}>{b}</{t}>" for t, b in blocks)
+    menu = "<ul>" + "".join(f"<li><a href=/{k}>Section {k}</a></li>" for k in range(rng.randrange(3, 9))) + "</ul>"
+    noise = {
+        "nav": f"<nav>{menu}</nav>", "header": f"<header><a href=/>Site name</a>{menu}</header>", "side": f"<div class='{rng.choice(['sidebar', 'col left-side', 'widget related'])}'><p>Most read, this week, and more.</p>{menu}</div>",
+        "ads": f"<div id={rng.choice(['ad-slot', 'advert1', 'sponsored'])}><p>Buy now, while stocks last, at once.</p></div>", "cookie": "<div class='cookie-banner'><p>We use cookies, as you know, and more.</p><button>OK</button></div>",
+        "comments": "<section class=comments><article class=comment><p>Well, I for one, having read it, agree, with all, of it.</p></article></section>", "footer": f"<footer><p>Rights, all, reserved.</p>{menu}</footer>",
+        "script": "<script>if (a < b) { c = '<p>no, no, no</p>' }</script><style>p > a { x: y }</style>",
+    }
+    wrap = rng.choice([
+        "<article>{}</article>", "<main><article class='post'>{}</article></main>", "<div class='story-body'>{}</div>", "<div id=content><div class=entry-content>{}</div></div>",
+        "<main>{}</main>", "<table><tr><td>{}</td></tr></table>", "<form action=x><div class=text>{}</div></form>", "<div class='has-sidebar layout'><article>{}</article></div>",
+    ])
+    keys = list(noise)
+    rng.shuffle(keys)
+    before, after = keys[: rng.randrange(len(keys))], keys[-2:]
+    return "<html><head><title>no</title></head><body>" + "".join(noise[k] for k in before) + wrap.format(body) + "".join(noise[k] for k in after if k not in before) + "</body></html>"
+
+
+def test_many_layouts():
+    rng = random.Random(8)
+    words = "time year people way day man thing woman life child world school state family student group country problem hand part".split()
+    for _ in range(300):
+        blocks = [("p", " ".join(rng.choice(words) for _ in range(rng.randrange(25, 90))) + ", " + " ".join(rng.choice(words) for _ in range(9)) + ".") for _ in range(rng.randrange(4, 10))]
+        page = layout(rng, blocks)
+        assert html_text.main_text(page).split("\n") == [b for _, b in blocks], page
+
+
 def test_extract_pages(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     for r in html_text.extract(pages).join(pages.select("page_id", "html"), "page_id").collect():
