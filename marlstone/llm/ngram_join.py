@@ -56,13 +56,13 @@ _U = np.uint64
 #: Slots of the count sketch, and counts a block of it that is summed at once.
 SLOTS, SLOT_BLOCK = 1 << 20, 1 << 16
 PARTS, FINE_PARTS = 64, 256
-#: Rows of a bucket, or nodes and tokens of a family, that one group holds before it is dealt out in blocks.
-BLOCK, BLOCK_TOKENS = 160, 1 << 19
+#: Rows of a bucket, and nodes and tokens of a family, that one group holds before it is dealt out in blocks.
+BUCKET, BLOCK, BLOCK_TOKENS = 1024, 160, 1 << 19
 #: Members of a family that each of its blocks has besides its own.
 HUBS = 6
 ORDERS = 3
 #: Share of a set by which prefixes are longer than what shares one token.
-LONGER = 0.05
+LONGER = 0.1
 #: Bytes hashed at once.
 SLAB = 1 << 19
 
@@ -225,12 +225,14 @@ def describe(docs: DataFrame, classes, k: int, percent: int) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, key long, n_shingles long, node long, tokens binary")
 
 
-def postings(nodes: DataFrame) -> DataFrame:
-    """(token, node) of ``nodes(node, tokens)``."""
+def postings(nodes: DataFrame, head=None) -> DataFrame:
+    """(token, node) of ``nodes(node, tokens)``, of what ``head`` makes of the tokens if it is given."""
 
     def run(batches):
         for batch in slices(batches):
             raw = batch.column(1).to_pylist()
+            if head is not None:
+                raw = [head(np.frombuffer(x, _U)).tobytes() for x in raw]
             counts = [len(x) // 8 for x in raw]
             yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(raw), np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), counts))], names=["token", "node"])
 
@@ -238,8 +240,13 @@ def postings(nodes: DataFrame) -> DataFrame:
 
 
 def _shared(tokens: DataFrame) -> DataFrame:
-    """``tokens(token, node)`` that more than one node has, with their number."""
-    return tokens.hint("merge").join(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"), "token")
+    """``tokens(token, node)`` that more than one node has, with their number.
+
+    The numbers are stored first: both sides of the join are then plain exchanges, so that a very common token is split.
+    """
+    counts = stored(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"), "ngram-counts")
+    swept(counts.sparkSession)
+    return tokens.hint("merge").join(counts, "token")
 
 
 def sharing(tokens: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
@@ -335,8 +342,8 @@ def forest(n: np.ndarray, parts: np.ndarray, percent: int, agrees=None, tree: np
 
 
 def _dealt(rows: DataFrame, key: str, size: str, node: str) -> DataFrame:
-    """Adds block columns lo and hi: (0, 0) for groups up to BLOCK, else every pair of blocks that the row's block is in."""
-    blocks = F.ceil(F.col(size) / BLOCK).cast("int")
+    """Adds block columns lo and hi: (0, 0) for groups up to BUCKET rows, else every pair of blocks that the row's block is in."""
+    blocks = F.ceil(F.col(size) / BUCKET).cast("int")
     own = F.pmod(F.xxhash64(node), blocks).cast("int")
     pairs = F.when(blocks <= 1, F.array(F.struct(F.lit(0).alias("lo"), F.lit(0).alias("hi")))).otherwise(
         F.transform(F.sequence(F.lit(0), blocks - 1), lambda x: F.struct(F.least(x, own).alias("lo"), F.greatest(x, own).alias("hi")))
@@ -450,17 +457,6 @@ def verified_edges(sets: DataFrame, families: DataFrame, classes, percent: int)
     return stored(first.unionByName(second), "ngram-links")
 
 
-def _heads(sets: DataFrame, classes, percent: int) -> DataFrame:
-    """node and tokens (prefix under the first order) of ``sets(node, tokens)``."""
-
-    def run(batches):
-        for batch in slices(batches):
-            heads = [prefix(np.frombuffer(x, _U), classes.value, 0, percent).tobytes() for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(heads, pa.binary())], names=["node", "tokens"])
-
-    return sets.mapInArrow(run, "node long, tokens binary")
-
-
 def _label():
     """The doc_id, with null as a value of its own."""
     return F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
@@ -503,8 +499,8 @@ def _linked(docs: DataFrame, k: int, percent: int) -> DataFrame:
         del tokens
         swept(spark)
     sets = sets.join(passing.hint("merge"), "node")
-    heads = _heads(sets.select("node", "tokens"), classes, percent)
-    edges = stored(candidate_edges(sets, postings(heads), percent), "ngram-candidates")
+    heads = postings(sets, lambda tokens: prefix(tokens, classes.value, 0, percent))
+    edges = stored(candidate_edges(sets, heads, percent), "ngram-candidates")
     swept(spark)
     families = stored(components(edges).withColumnRenamed("root", "family"), "ngram-families")
     edges = verified_edges(sets, families, classes, percent)

@@ -29,7 +29,7 @@ from ._common import slices, table, text_or_empty
 
 EMBED, WIDTH, STRIDE, FILTERS, CHUNK, HIDDEN = 8, 8, 4, 48, 64, 24
 #: Bytes convolved at once; longer documents come in slabs of whole chunks.
-SLAB = 1 << 19
+SLAB = 1 << 17
 MOST_PER_CLASS, MOST_TRAINED = 1500, 40_960
 EPOCHS, BATCH, RATE, SEED, THRESHOLD = 10, 32, 4e-3, 7, 0.3
 

@@ -199,6 +199,7 @@ def families():
 @pytest.mark.parametrize("k,percent,block,tokens,hubs", [(3, 90, 512, 1 << 19, 6), (5, 80, 512, 1 << 19, 6), (3, 90, 7, 1 << 19, 2), (2, 60, 16, 500, 1)])
 def test_ngram_join(spark, families, monkeypatch, k, percent, block, tokens, hubs):
     monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(ngram_join, "BUCKET", block)
     monkeypatch.setattr(ngram_join, "BLOCK_TOKENS", tokens)
     monkeypatch.setattr(ngram_join, "HUBS", hubs)
     docs = spark.createDataFrame(families, "doc_id long, text string").selectExpr("*", "1 as node", "2 as size")
