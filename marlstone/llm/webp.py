@@ -94,11 +94,21 @@ def _bit_reversal(bits: int) -> np.ndarray:
     return _reversed_bits[bits]
 
 
+_NO_BITS = np.zeros(1, np.uint8)
+
+
 class PrefixCode:
     """Decoding table over ``bits`` bits: symbol and length of what starts there."""
 
     __slots__ = ("bits", "symbols", "lengths", "single")
 
+    @classmethod
+    def of_one(cls, symbol: int) -> PrefixCode:
+        """The code of a symbol that takes no bits."""
+        code = cls.__new__(cls)
+        code.single, code.bits, code.symbols, code.lengths = symbol, 0, np.array([symbol]), _NO_BITS
+        return code
+
     def __init__(self, lengths: np.ndarray):
         used = np.flatnonzero(lengths)
         if len(used) < 2:
@@ -165,6 +175,8 @@ def _read_code(r: BitReader, size: int) -> PrefixCode:
     if r.read(1):
         n, wide = r.read(1) + 1, r.read(1)
         first = r.read(8 if wide else 1)
+        if n == 1:
+            return PrefixCode.of_one(first)
         symbols = [first] + ([r.read(8)] if n == 2 else [])
         lengths[symbols] = 1
         return PrefixCode(lengths)
@@ -838,9 +850,7 @@ def _write_green(w: BitWriter, flat: np.ndarray, width: int, alpha: int = 255) -
 def _write_rest(w: BitWriter, alpha: int, far: np.ndarray | None) -> None:
     """Codes of the channels that do not vary, and of distances."""
     for s in (0, 0, alpha):
-        only = np.zeros(256, np.uint8)
-        only[s] = 1
-        _write_code(w, only)
+        w.write(5 | s << 3, 11)  # a simple code of one symbol of eight bits
     if far is None:
         far = np.zeros(40, np.uint8)
         far[0] = 1
