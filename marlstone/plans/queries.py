@@ -133,7 +133,7 @@ def _sql_redact(column: str) -> str:
 
 @query(f"select doc_id, sha256({_sql_redact('text')}) redacted_sha256, {_sql_redact('text')} <> text changed from documents")
 def redact_text(spark, sf_dir):
-    redacted = text.redact(F.col("text"))
+    redacted = F.when(F.col("text").isNotNull(), text.redact(F.col("text")))
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(redacted, 256).alias("redacted_sha256"), (redacted != F.col("text")).alias("changed"))
 
 

@@ -39,3 +39,13 @@ def test_query(spark, duck, name):
     if name in ORACLE:
         out = duck.execute(ORACLE[name])
         assert got == rows_of([d[0] for d in out.description], out.fetchall())
+
+
+def test_redaction_of_odd_texts(spark, duck, tmp_path):
+    """Nulls, letters of other scripts and vertical tabs beside hits, letters that fold to ASCII, and hits that abut."""
+    texts = [None, "", "éC:\\a", "josé.x@y.org éa@b.org", "@josé", "x:/y\x0b/home/z", "to\u212aen=abcdefgh1", "\u017fecret=abcdefgh1", "Ktoken: abcdefgh1", "@user@other", "12345678(02) 1234567", "12345678 +20 12345678", "1234567-12-345-6789", "30.12345, 31.23456, 30.12345,31.23456\n"]
+    path = str(tmp_path / "documents.parquet")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(path)
+    got = {r["doc_id"]: (r["redacted_sha256"], r["changed"]) for r in QUERIES["redact_text"](spark, str(tmp_path)).collect()}
+    sql = ORACLE["redact_text"].replace("from documents", f"from '{path}/*.parquet'")
+    assert got == {r[0]: r[1:] for r in duck.execute(sql).fetchall()}
