@@ -365,3 +365,28 @@ def test_cities_and_landmarks(spark):
     assert got["Alxandria"][0] == "Alexandria" and got["greater cairo"] == ("Cairo", 0.94) and got["Cairo"] == ("Cairo", 1.0) and got["Oslo"] == ("Oslo", 0.0)
     a, b = (spark.createDataFrame([(n, src)], "name string, src string") for n, src in (("Big Ben", "mine"), ("big ben ", "built in")))
     assert [r["src"] for r in gazetteer.landmarks(a, b).collect()] == ["mine"]
+
+
+def test_alias_hits_keep_texts_in_place(spark):
+    """Every word of a long alias counts, no word of a text is moved, and the words are those of the column's normaliser."""
+    long = [f"w{k}" for k in range(70)]
+    rows = [(1, " ".join(long)), (2, " ".join(reversed(long))), (3, " ".join(w for w in long if w != "w65")), (4, "Straße in Łódź, al-Qāhira, القاهرة أحمد\u200fK"), (5, None), (6, "!")]
+    docs = spark.createDataFrame(rows, "doc_id int, text string")
+    aliases = spark.createDataFrame([("L", " ".join(long)), ("S", "STRASSE"), ("Q", "qahira القاهره"), ("W", "w3 w4"), ("X", "w4 w3 w2"), ("N", "?")], "place string, alias string")
+    found = gazetteer.alias_hits(docs, aliases)
+    assert {(r["doc_id"], r["place"], r["exact"]) for r in found.collect()} == {(1, "L", True), (2, "L", False), (4, "S", True), (4, "Q", True), (1, "W", True), (2, "W", False), (3, "W", True), (1, "X", False), (2, "X", True), (3, "X", False)}
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {(r["doc_id"], r["place"]) for r in gazetteer.match(docs, aliases).collect()} == {(1, "L"), (4, "S"), (4, "Q"), (1, "W"), (3, "W"), (2, "X")}
+    for r in docs.select("text", text.normalize_place(F.col("text")).alias("t")).collect():
+        assert " ".join(text.place_words(r["text"])) == r["t"]
+
+
+def test_best_places_where_the_text_is(spark, monkeypatch):
+    """The best places are the same in one share of the aliases, in several, and by the way of repeated rows."""
+    docs = spark.createDataFrame([(k, f"alpha{k % 5} beta{k % 3} gamma delta{k % 7} mu") for k in range(40)], "doc_id long, text string")
+    places = spark.createDataFrame([(f"P{k}", ("poi", "area", "city", "country", "x")[k % 5], 50 + k % 40, k % 2 == 0, [f"beta{k % 3} gamma", f"gamma alpha{k % 5}", "mu", f"d{k}"]) for k in range(30)], "place string, level string, source_confidence int, generated boolean, aliases array<string>")
+    whole = sorted(map(tuple, gazetteer.match_places(docs, places, 4).collect()))
+    monkeypatch.setattr(gazetteer, "ALIASES_AT_ONCE", 40)
+    assert sorted(map(tuple, gazetteer.match_places(docs, places, 4).collect())) == whole
+    monkeypatch.setattr(gazetteer, "_repeated", lambda rows, key: True)
+    assert sorted(map(tuple, gazetteer.match_places(docs, places, 4).collect())) == whole and len(whole) > 100
