@@ -15,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marlstone import registry, sinks
-from marlstone.functions import map_text, text, timeparse
+from marlstone.functions import map_text, text, timeparse, vectors
 from marlstone.operators import candidates, case_tables, casework, custody, gazetteer, ordering, pixels, relations, travel
 from marlstone.sources import containers, files
 
@@ -390,3 +390,22 @@ def test_best_places_where_the_text_is(spark, monkeypatch):
     assert sorted(map(tuple, gazetteer.match_places(docs, places, 4).collect())) == whole
     monkeypatch.setattr(gazetteer, "_repeated", lambda rows, key: True)
     assert sorted(map(tuple, gazetteer.match_places(docs, places, 4).collect())) == whole and len(whole) > 100
+
+
+def test_cosine_search_by_blocks(spark, monkeypatch):
+    """Blocks, equal vectors, zeros, other lengths and nulls give what all pairs give, and pairs under the bound are not made."""
+    rnd = random.Random(3)
+    rows = [(k, "ab"[k % 2], [rnd.gauss(0, 1) for _ in range(6)]) for k in range(150)] + [(k, "c", [1.0, 2.0, 3.0, 0.1, 0.7, 0.2]) for k in range(150, 190)]
+    rows += [(190, "z", [0.0] * 6), (191, "s", [1.0, 2.0]), (192, "n", None), (193, "m", [1.0, None, 2.0, 3.0, 1.0, 1.0])]
+    v = spark.createDataFrame(rows, "id long, label string, embedding array<float>")
+    kept = spark.createDataFrame([r for r in rows if r[0] < 192], "id long, label string, embedding array<float>")
+    q = kept.where("id % 10 = 0")
+    every = sorted(map(tuple, kept.crossJoin(q.select(F.col("id").alias("query_id"), F.col("embedding").alias("q"))).select("query_id", "id", "label", vectors.cosine(F.col("embedding"), F.col("q")).alias("c")).collect()))
+    monkeypatch.setattr(relations, "VECTORS_AT_ONCE", 60)
+    monkeypatch.setattr(relations, "QUERIES_AT_ONCE", 7)
+    assert sorted(map(tuple, relations.cosine_search(v, q).collect())) == every
+    some = relations.cosine_search(v, q, least=0.4)
+    assert sorted(map(tuple, some.where("c >= 0.4").collect())) == [r for r in every if r[3] >= 0.4] and some.count() < len(every) / 2
+    best = sorted(r for k in {r[0] for r in every} for r in sorted((r for r in every if r[0] == k and r[3] > 0), key=lambda r: (-r[3], r[1]))[:8])
+    got = relations.best_of_each(relations.cosine_search(v, q, least=0.0, best=8))
+    assert sorted((r[0], r[1]) for r in got.collect()) == [r[:2] for r in best]
