@@ -411,7 +411,7 @@ def test_cosine_search_by_blocks(spark, monkeypatch):
     assert sorted((r[0], r[1]) for r in got.collect()) == [r[:2] for r in best]
 
 
-def test_evidence_graph_of_many_at_one_point(spark):
+def test_evidence_graph_of_many_at_one_point(spark, monkeypatch):
     """Cases that duplicates fill get no lighter edges made, and others keep the first edges among many records at two near points."""
     row = lambda case, k, group, lat: (case, k, group, "Unknown", f"item {k + 1}" if k % 9 == 0 else "", lat, 31.0)
     rows = [row("full", k, "G", 30.0) for k in range(40)] + [row("some", k, "G" if k < 3 else "", 30.0 + k % 2 * 0.01) for k in range(40)]
@@ -425,6 +425,7 @@ def test_evidence_graph_of_many_at_one_point(spark):
     for most in (5, 30):
         got = {c: sorted((-r["weight"], r["relation"], r["source_id"], r["target_id"]) for r in relations.evidence_graph(made, most=most).collect() if r["case_id"] == c) for c in edges}
         assert got == {c: sorted(e)[:most] for c, e in edges.items()}
-    met = relations.evidence_graph(made.where("case_id = 'full'"), most=30)
-    met.collect()
-    assert "nearby" not in str(met.select("relation").distinct().collect())
+    points, near = [], relations.nearby_edges
+    monkeypatch.setattr(relations, "nearby_edges", lambda p, **a: points.append(p) or near(p, **a))
+    relations.evidence_graph(made, most=30)
+    assert {r["case_id"] for r in points[0].select("case_id").distinct().collect()} == {"some"}
