@@ -27,7 +27,8 @@ Steps:
    all orders are compared exactly, unless they are connected already; the
    links found form a forest. Its components are the result. A family of more than a block of rows or of
    tokens is dealt out in blocks, each with a few common members. If this leaves it in
-   several components, those but the largest also meet all other blocks.
+   several components, those but the largest also meet all other blocks. Before any set of such a family is
+   sent to blocks, ``refined`` splits it by counts of many more parts: long texts of one family are mostly alone then.
 
 No step writes all pairs of a group, and none drops a group.
 
@@ -49,7 +50,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.components import components
-from ._common import removed, shared_path, slices, stored, swept, table, text_or_empty
+from ._common import broadcast_if_small, removed, shared_path, slices, stored, swept, table, text_or_empty
 from .token_index import mix64
 
 _U = np.uint64
@@ -60,6 +61,8 @@ PARTS, FINE_PARTS = 64, 256
 BUCKET, BLOCK, BLOCK_TOKENS = 1024, 160, 1 << 19
 #: Members of a family that each of its blocks has besides its own.
 HUBS = 6
+#: Counts of parts in a block by which a large family is split, and most parts of a set.
+REFINED, MOST_PARTS = 1 << 20, 4096
 ORDERS = 3
 #: Share of a set by which prefixes are longer than what shares one token.
 LONGER = 0.1
@@ -341,9 +344,9 @@ def forest(n: np.ndarray, parts: np.ndarray, percent: int, agrees=None, tree: np
     return out
 
 
-def _dealt(rows: DataFrame, key: str, size: str, node: str) -> DataFrame:
-    """Adds block columns lo and hi: (0, 0) for groups up to BUCKET rows, else every pair of blocks that the row's block is in."""
-    blocks = F.ceil(F.col(size) / BUCKET).cast("int")
+def _dealt(rows: DataFrame, key: str, size: str, node: str, most=None) -> DataFrame:
+    """Adds block columns lo and hi: (0, 0) for groups up to BUCKET (or a column of) rows, else every pair of blocks that the row's block is in."""
+    blocks = F.ceil(F.col(size) / (F.lit(BUCKET) if most is None else most)).cast("int")
     own = F.pmod(F.xxhash64(node), blocks).cast("int")
     pairs = F.when(blocks <= 1, F.array(F.struct(F.lit(0).alias("lo"), F.lit(0).alias("hi")))).otherwise(
         F.transform(F.sequence(F.lit(0), blocks - 1), lambda x: F.struct(F.least(x, own).alias("lo"), F.greatest(x, own).alias("hi")))
@@ -424,12 +427,61 @@ def _linked_pairs(rows: DataFrame, classes, percent: int) -> DataFrame:
     return rows.mapInArrow(verify, "u long, v long")
 
 
+def refined(held: DataFrame, percent: int) -> DataFrame:
+    """(node, n_shingles, family) of stored ``held(node, n_shingles, tokens, family)``, families of more than a block split where part counts allow no link.
+
+    Counts of some two to four tokens a part tell apart what the few parts of ``candidate_edges`` can't in long sets, at a
+    sixteenth of their bytes or less. What is alone in a family then is left out. Blocks of these counts meet in pairs.
+    """
+    nodes = held.select("node", "n_shingles", "family")
+    sizes = nodes.groupBy("family").agg(F.count(F.lit(1)).alias("size"), F.sum("n_shingles").alias("weight"))
+    parts = F.least(F.lit(MOST_PARTS), F.greatest(F.lit(FINE_PARTS), F.pow(F.lit(2), F.floor(F.log2(F.col("weight") / F.col("size"))) - 1))).cast("int")
+    large = stored(sizes.where(_blocks() > 1).select("family", "size", parts.alias("parts")), "ngram-large")
+    if large.isEmpty():
+        return nodes
+    per_block = F.least(F.lit(BUCKET), F.greatest(F.lit(2), F.floor(F.lit(REFINED) / F.col("parts")))).cast("int")
+    large = broadcast_if_small(large.withColumn("per_block", per_block))  # the sets stay where they are
+
+    def count(batches):
+        for batch in slices(batches):
+            kinds = batch.column(4).to_pylist()
+            fine = [part_counts(np.frombuffer(x, _U), p).tobytes() for x, p in zip(batch.column(3).to_pylist(), kinds)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (0, 1, 2)), pa.array(fine, pa.binary()), *(batch.column(c) for c in (5, 6))], names=["node", "n_shingles", "family", "fine", "size", "per_block"])
+
+    def split(batches):
+        for t, starts in _grouped(batches, 3):
+            node, n, fine = t.column("node").to_numpy(), t.column("n_shingles").to_numpy(), t.column("fine")
+            us, vs = [], []
+            for a, e in zip(starts[:-1].tolist(), starts[1:].tolist()):
+                rows = fine.slice(a, e - a).to_pylist()
+                for i, j in forest(n[a:e], np.frombuffer(b"".join(rows), np.uint8).reshape(e - a, -1), percent):
+                    us.append(node[a + i])
+                    vs.append(node[a + j])
+            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
+
+    rows = held.join(large, "family").select("node", "n_shingles", "family", "tokens", "parts", "size", "per_block")
+    fine = rows.mapInArrow(count, "node long, n_shingles long, family long, fine binary, size long, per_block int")
+    met = _dealt(fine, "family", "size", "node", F.col("per_block")).repartition("family", "lo", "hi").sortWithinPartitions("family", "lo", "hi")
+    edges = stored(met.select("family", "lo", "hi", "node", "n_shingles", "fine").mapInArrow(split, "u long, v long"), "ngram-refined")
+    swept(held.sparkSession)
+    small = nodes.join(large.select("family"), "family", "left_anti").select("node", "n_shingles", "family")
+    parted = nodes.select("node", "n_shingles").join(components(edges).withColumnRenamed("root", "family"), "node")
+    return stored(small.unionByName(parted), "ngram-families")
+
+
+def _blocks():
+    """Blocks of a family of ``size`` rows and ``weight`` tokens."""
+    return F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("weight") / BLOCK_TOKENS)).cast("int")
+
+
 def verified_edges(sets: DataFrame, families: DataFrame, classes, percent: int) -> DataFrame:
     """Edges (u, v) of links that connect what is linked; ``families(node, family)`` of stored ``sets(node, n_shingles, tokens)``."""
     held = stored(sets.select("node", "n_shingles", "tokens").hint("merge").join(families, "node"), "ngram-held")
     swept(held.sparkSession)
-    sizes = held.groupBy("family").agg(F.count(F.lit(1)).alias("size"), F.sum("n_shingles").alias("weight"))
-    blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("weight") / BLOCK_TOKENS)).cast("int")
+    families = refined(held, percent)
+    sizes = families.groupBy("family").agg(F.count(F.lit(1)).alias("size"), F.sum("n_shingles").alias("weight"))
+    blocks = _blocks()
+    families = families.select("node", "family")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     dealt = families.join(sizes.select("family", blocks.alias("blocks")), "family").withColumn("own", own)
     some = F.explode(F.array_distinct(F.array(*[F.min(F.struct(F.xxhash64(F.lit(k), "node"), "node"))["node"] for k in range(HUBS)])))

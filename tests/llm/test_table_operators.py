@@ -6,6 +6,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -227,6 +228,28 @@ def test_ngram_join_of_null_and_repeated_ids(spark):
     assert edges == {(0, 1), (1, 2), (2, 3)}
 
 
+def test_ngram_join_moves_few_sets_of_a_family_without_links(spark, monkeypatch):
+    # long sets of one family: part counts of 64 can't tell them apart, and each would meet all blocks
+    rng = random.Random(5)
+    alone = [[rng.getrandbits(64) for _ in range(1500)] for _ in range(120)]
+    near = [[*alone[0][: 1500 - 10 * k], *(rng.getrandbits(64) for _ in range(10 * k))] for k in range(1, 31)]
+    sets = [(k, 1500, bytearray(np.sort(np.array(x, "u8")).tobytes())) for k, x in enumerate(alone + near)]
+    sets = spark.createDataFrame(sets, "node long, n_shingles long, tokens binary")
+    moved, linked = [], ngram_join._linked_pairs
+    monkeypatch.setattr(ngram_join, "BLOCK", 8)
+    monkeypatch.setattr(ngram_join, "REFINED", 1 << 15)
+    monkeypatch.setattr(ngram_join, "_linked_pairs", lambda rows, *a: moved.append(rows.count()) or linked(rows, *a))
+    classes = spark.sparkContext.broadcast(np.zeros(ngram_join.SLOTS, np.uint8))
+    edges = ngram_join.verified_edges(sets, sets.selectExpr("node", "0L as family"), classes, 80).collect()
+    joined = {0}
+    for _ in range(150):
+        joined |= {x for e in edges for x in e if joined & {*e}}
+    whole = [*alone, *near]
+    links = {(i, j) for i in range(150) for j in range(i) if 180 * len(both := set(whole[i]) & set(whole[j])) >= 80 * 3000 and both}
+    assert joined == {0} | {x for e in links for x in e} and len(joined) > 10
+    assert sum(moved) < 2 * 150  # 3,036 before
+
+
 def test_slabs_of_long_texts(monkeypatch):
     rng = random.Random(4)
     texts = [" ".join(rng.choice(["ab", "É", "C d", "e\tf", "x" * 90]) for _ in range(300)), "y" * 5000, "  " * 900, "a b"]
