@@ -8,11 +8,12 @@ arrays ``uint32[height, width]`` of ARGB.
 Streams whose only varying channel is green, with one group and no cache, as
 :func:`encode_samples` writes them, are decoded without a step per pixel and
 channel: code lengths are looked up for every bit position at once, one
-light walk finds the positions where codes start, and back-references are copied as wholes.
+light walk, of four literals a step, finds the positions where codes start, and back-references are copied as wholes.
 """
 
 from __future__ import annotations
 
+import functools
 import heapq
 import struct
 
@@ -72,13 +73,10 @@ def canonical(lengths: np.ndarray) -> np.ndarray:
     order = np.lexsort((np.arange(len(lengths)), lengths))
     order = order[lengths[order] > 0]
     codes = np.zeros(len(lengths), dtype=np.uint32)
-    code, last = 0, 0
-    for s in order.tolist():
-        n = int(lengths[s])
-        code <<= n - last
-        last = n
-        codes[s] = int(f"{code:0{n}b}"[::-1], 2)
-        code += 1
+    if len(order):
+        longest = int(lengths[order[-1]])
+        spans = 1 << (longest - lengths[order].astype(np.int64))
+        codes[order] = _bit_reversal(longest)[np.cumsum(spans) - spans]  # what a code's span starts with, padded by zeros
     return codes
 
 
@@ -222,6 +220,12 @@ def _distance(d: int, width: int) -> int:
     return max(1, x + y * width)
 
 
+def _doubled(size: np.ndarray) -> np.ndarray:
+    """Bits of twice as many literals from each position on, of those of some from each; 0 where another code comes first. The last 64 are 0."""
+    after = size[np.minimum(np.arange(len(size)) + size, len(size) - 1)]
+    return np.where((size > 0) & (after > 0), size + after, 0).astype(np.uint8)
+
+
 def _green_stream(r: BitReader, code: PrefixCode, far: PrefixCode, n: int, width: int) -> np.ndarray:
     """``n`` values of the green channel, from literals and back-references of one code."""
     if code.single is not None and code.single < 256:
@@ -234,16 +238,23 @@ def _green_stream(r: BitReader, code: PrefixCode, far: PrefixCode, n: int, width
     size = np.empty((len(word), 8), dtype=np.uint8)
     for k in range(8):
         size[:, k] = literal[(word >> _U32(k)) & mask]
-    sizes = size.tobytes()
-    at, p, count = [], start & 7, 0
+    size = np.concatenate([size.reshape(-1), np.zeros(64, np.uint8)])
+    sizes, four = size[:-64].tobytes(), _doubled(_doubled(size))[:-64].tobytes()
+    at, p, count = [], start & 7, 0  # where four literals start, or ~ where one does
     put = at.append
     copies = []  # (literals before, length, pixels back)
-    copied = 0
+    copied, most = 0, n - 3
     try:
         while count < n:
+            size_here = four[p]
+            if size_here and count < most:
+                put(p)
+                p += size_here
+                count += 4
+                continue
             size_here = sizes[p]
             if size_here:
-                put(p)
+                put(~p)
                 p += size_here
                 count += 1
                 continue
@@ -252,13 +263,21 @@ def _green_stream(r: BitReader, code: PrefixCode, far: PrefixCode, n: int, width
             d = _distance(_prefix_value(r, r.symbol(far)), width)
             if d > count or count + length > n:
                 raise ValueError("back-reference outside the image")
-            copies.append((len(at), length, d))
+            copies.append((count - copied, length, d))
             copied += length
             count += length
             p = r.at - (start & ~7)
     except IndexError:
         raise ValueError("stream ends early") from None
-    places = np.array(at, dtype=np.int64)
+    first = np.array(at, dtype=np.int64)
+    one = first < 0
+    places = np.empty((len(first), 4), dtype=np.int64)
+    places[:, 0] = np.where(one, ~first, first)
+    for k in range(3):
+        places[:, k + 1] = places[:, k] + size[np.minimum(places[:, k], len(size) - 1)]
+    kept = np.ones(places.shape, dtype=bool)
+    kept[one, 1:] = False
+    places = places[kept]
     r.seek((start & ~7) + p)
     values = code.symbols[(word[places >> 3] >> (places & 7).astype(np.uint32)) & mask]
     if not copies:
@@ -624,15 +643,22 @@ def _prefix_of(value: int) -> tuple[int, int, int]:
     return 2 * high + second, v & ((1 << extra) - 1), extra
 
 
+@functools.lru_cache(maxsize=64)
+def _near(width: int) -> dict[int, int]:
+    """Short codes of distances in pixels."""
+    near: dict[int, int] = {}
+    for code, (x, y) in enumerate(NEAR, 1):
+        near.setdefault(max(1, x + y * width), code)
+    return near
+
+
 def _write_pixels(w: BitWriter, argb: np.ndarray, cache_bits: int = 0, references: bool = False, meta: tuple | None = None, top: bool = True) -> None:
     """An image; ``meta`` is (bits, group of each block) to use several prefix code groups."""
     height, width = argb.shape
     flat = argb.reshape(-1).tolist()
     tokens, k, recent = [], 0, {}
     cache = [0] * (1 << cache_bits) if cache_bits else None
-    near = {}
-    for code, (x, y) in enumerate(NEAR, 1):
-        near.setdefault(max(1, x + y * width), code)
+    near = _near(width)
 
     def note(argb):
         if cache is not None:
@@ -780,10 +806,12 @@ def _copies(flat: np.ndarray) -> list[tuple[int, int, int]]:
     before = np.full(n, -1, dtype=np.int64)
     before[order[1:][same]] = order[:-1][same]
     out, end = [], 0
-    for k in np.flatnonzero(before >= 0).tolist():
+    at = np.flatnonzero(before[: n - LEAST_COPY + 8] >= 0)
+    at = at[eight[at + LEAST_COPY - 8] == eight[before[at] + LEAST_COPY - 8]]  # of LEAST_COPY samples, which are at most sixteen
+    for k in at.tolist():
         if k < end:
             continue
-        j, length, most = int(before[k]), 8, min(MOST_COPY, len(flat) - k)
+        j, length, most = int(before[k]), LEAST_COPY, min(MOST_COPY, len(flat) - k)
         while length < most:
             step = min(256, most - length)
             a, b = flat[k + length : k + length + step], flat[j + length : j + length + step]
@@ -793,9 +821,8 @@ def _copies(flat: np.ndarray) -> list[tuple[int, int, int]]:
                 length += at
                 break
             length += step
-        if length >= LEAST_COPY:
-            out.append((k, length, k - j))
-            end = k + length
+        out.append((k, length, k - j))
+        end = k + length
     return out
 
 
@@ -815,9 +842,7 @@ def _write_green(w: BitWriter, flat: np.ndarray, width: int, alpha: int = 255) -
         inside = np.zeros(len(flat), dtype=bool)
         for k, length, _ in copies:
             inside[k : k + length] = True
-        near = {}
-        for code, (x, y) in enumerate(NEAR, 1):
-            near.setdefault(max(1, x + y * width), code)
+        near = _near(width)
         heads = [(_prefix_of(length), _prefix_of(near.get(d, d + 120))) for _, length, d in copies]
         with_copies = np.bincount(flat[~inside], minlength=280) + np.bincount([256 + a[0] for a, _ in heads], minlength=280)
         far = np.bincount([b[0] for _, b in heads], minlength=40)
@@ -835,16 +860,20 @@ def _write_green(w: BitWriter, flat: np.ndarray, width: int, alpha: int = 255) -
     _write_rest(w, alpha, far_lengths)
     codes, far_codes = canonical(lengths), canonical(far_lengths)
     one_far = (far_lengths > 0).sum() == 1
-    # literals, and four entries for a back-reference: length, its extra bits, distance, its extra bits
-    parts, sizes, at = [], [], 0
-    for (k, length, _), ((s, extra, bits), (t, more, far_bits)) in zip(copies, heads):
-        run = flat[at:k]
-        parts += [codes[run], [codes[256 + s], extra, 0 if one_far else far_codes[t], more & 0x7FF, more >> 11]]
-        sizes += [lengths[run], [lengths[256 + s], bits, 0 if one_far else far_lengths[t], min(far_bits, 11), max(0, far_bits - 11)]]
-        at = k + length
-    parts.append(codes[flat[at:]])
-    sizes.append(lengths[flat[at:]])
-    w.many(np.concatenate(parts).astype(np.uint32), np.concatenate(sizes).astype(np.uint8))
+    # literals, and five entries for a back-reference: length, its extra bits, distance, its extra bits in two
+    literal = flat[~inside]
+    (s, extra, bits), (t, more, far_bits) = (np.array(x, dtype=np.int64).T for x in zip(*heads))
+    values = np.stack([codes[256 + s], extra, 0 * t if one_far else far_codes[t], more & 0x7FF, more >> 11], axis=1)
+    sizes = np.stack([lengths[256 + s], bits, 0 * t if one_far else far_lengths[t], np.minimum(far_bits, 11), np.maximum(0, far_bits - 11)], axis=1)
+    starts, long = np.array([(k, length) for k, length, _ in copies], dtype=np.int64).T
+    at = starts - (np.cumsum(long) - long)  # literals before
+    at = (at + 5 * np.arange(len(copies)))[:, None] + np.arange(5)
+    single = np.ones(len(literal) + at.size, dtype=bool)
+    single[at] = False
+    all_values, all_sizes = np.empty(len(single), np.uint32), np.empty(len(single), np.uint8)
+    all_values[single], all_sizes[single] = codes[literal], lengths[literal]
+    all_values[at], all_sizes[at] = values, sizes
+    w.many(all_values, all_sizes)
 
 
 def _write_rest(w: BitWriter, alpha: int, far: np.ndarray | None) -> None:

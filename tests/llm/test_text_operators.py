@@ -422,6 +422,23 @@ def test_samples_take_the_shortest_form():
         assert (webp.decode_samples(webp.encode_samples(x)) == x).all()
 
 
+def test_decoder_takes_literals_four_at_a_time(monkeypatch):
+    rng = random.Random(9)
+    images = []
+    for n in (1, 3, 4, 5, 64, 640):  # of all lengths of what is left after the fours, with repeats of all lengths between
+        flat = [rng.choice(b"aaaaaaabbbcdefghijklmnopqrstuvwxyz") for _ in range(64 * n)]
+        for k in range(0, 64 * n - 100, 150):
+            flat[k + 60 : k + 60 + 13 + k % 7] = flat[k : k + 13 + k % 7]
+        images.append(np.array(flat, np.uint8).reshape(n, 64))
+    walked, doubled = [], webp._doubled
+    monkeypatch.setattr(webp, "_doubled", lambda size: walked.append(doubled(size)) or walked[-1])
+    for image in images:
+        assert (webp.decode_samples(webp.encode_samples(image)) == image).all()
+    assert len(walked) >= 2 * len(images)
+    size = np.array([3, 1, 0, 2, 1, 5] + [0] * 64, np.uint8)
+    assert doubled(size)[:6].tolist() == [5, 0, 0, 7, 6, 0] and not doubled(size)[6:].any()
+
+
 def plain_feature(payload):
     n = len(payload)
     mean = sum(payload) / n
