@@ -20,6 +20,11 @@ def cosine(a: Column, b: Column, norm_a: Column | None = None, norm_b: Column |
     return F.when((F.size(a) != F.size(b)) | (below == 0), 0.0).otherwise(dot(a, b) / below)
 
 
+def similarity_score(c: Column) -> Column:
+    """A cosine from -1 to 1 as a score from 0 to 100 of two decimals, rounded as SQL rounds doubles; ``round`` would make a decimal of each."""
+    return F.floor((F.greatest(F.least(c, F.lit(1.0)), F.lit(-1.0)) + 1) * 50 * 100 + 0.5) / 100
+
+
 def sign_bits(v: Column, n: int = 64) -> Column:
     """The signs of the first ``n`` values as a bigint, first value lowest."""
     return F.aggregate(F.transform(F.slice(v, 1, n), lambda x, i: F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("bigint"), i)).otherwise(F.lit(0).cast("bigint"))), F.lit(0).cast("bigint"), lambda s, x: s.bitwiseOR(x))

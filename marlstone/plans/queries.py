@@ -265,9 +265,8 @@ def cosine_topk(spark, sf_dir):
 from s where round((greatest(least(c, 1), -1) + 1) * 50, 2) >= 60"""
 )
 def similarity_threshold(spark, sf_dir):
-    score = F.round((F.greatest(F.least("c", F.lit(1.0)), F.lit(-1.0)) + 1) * 50, 2)
     raw = (F.col("c") + 1) * 50
-    out = _cosines(spark, sf_dir, least=0.1998).withColumn("score", score).where("score >= 60")  # 59.995 is rounded to 60, a cosine of 0.1999
+    out = _cosines(spark, sf_dir, least=0.1998).withColumn("score", vectors.similarity_score(F.col("c"))).where("score >= 60")  # 59.995 is rounded to 60, a cosine of 0.1999
     return out.select("query_id", "id", "label", "score", F.when(raw >= 96, "near-identical").when(raw >= 90, "very similar").otherwise("similar").alias("band"))
 
 

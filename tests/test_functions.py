@@ -50,6 +50,15 @@ def test_place_text(spark):
     assert value(spark, text.unique_fold(F.array(*(F.lit(x) for x in ("a  b", "A b", " c", ""))))) == ["a b", "c"]
 
 
+def test_similarity_score(spark):
+    """Scores are rounded as the query's SQL rounds them, where a decimal of the double has another last place."""
+    duckdb = pytest.importorskip("duckdb")
+    cosines = [k / 10000 for k in range(-10000, 10001)] + [0.1999, 0.9861, 0.9883, 1.0000000002]
+    rows = spark.createDataFrame([(c,) for c in cosines], "c double").select("c", vectors.similarity_score(F.col("c")).alias("s"), F.round((F.col("c") + 1) * 50, 2).alias("d")).collect()
+    want = [r[0] for r in duckdb.sql("select round((greatest(least(c, 1), -1) + 1) * 50, 2) from (select unnest($c) c)", params={"c": [r["c"] for r in rows]}).fetchall()]
+    assert [r["s"] for r in rows] == want != [r["d"] for r in rows]
+
+
 def test_hashes(spark):
     assert value(spark, vectors.hex_hamming(F.lit("abcd000000000000"), F.lit("abcd000000000001"))) == 1
     assert value(spark, vectors.hex_hamming(F.lit("0000"), F.lit("0001"))) == 64
